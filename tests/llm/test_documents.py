@@ -1,0 +1,353 @@
+"""Operators over documents against brute force, on a small table with nulls, empty and long texts, copies, ties and clashing columns."""
+
+import base64
+import gzip
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from wayfare.llm import decontamination, licenses, neardup, packing, pii, quality, suffix_dedup, token_index, toxicity, warc
+from wayfare.llm.files import get
+from wayfare.llm.license_rules import rules
+from wayfare.llm.suffixes import suffix_array
+from wayfare.llm.tokens import encoder, vocabulary
+
+SCHEMA = "doc_id long, text string, part long, n string, u int, v int, hash string, row long, id string, component string"
+
+
+def _texts():
+    rng = random.Random(5)
+    words = ["the", "Of", "naïve", "x-1", "straße", "mit", "License", "gnu", "general", "public", "12", "Ünder", "#tag", "a|b", "and,"]
+    make = lambda n: "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "  ", ", "]) for _ in range(n))
+    base = make(120)
+    out = [None, "", " \n ", "one", base, base, base.replace("the", "teh", 1), make(400), "a " * 3000, "z" * 4000, make(60) + base + make(60)]
+    out += [" ".join(w if rng.random() > 0.03 * k else "edit%d" % rng.randrange(9999) for w in base.split()) for k in range(1, 9)]
+    out += [make(rng.randrange(1, 40)) for _ in range(20)]
+    out += ["MIT License, mit license! Licensed under the Apache License, Version 2.0. GNU General Public License v3", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. MIT License", "SPDX-License-Identifier: GPL-3.0-or-later\nCC BY-NC 4.0"]
+    out += ["Mail Jo.Do@mail.example.com or jo.do@mail.example.com, +1 (017) 555-7713, 10.0.0.1, 4111111111111111, Frau Anna Kant and Frau Anna Kant. 日本語 “quoted” — Ω"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    texts = _texts()
+    rows = [(k * 3, t) for k, t in enumerate(texts)]
+    rows += [rows[6], (None, texts[4]), (None, None), (1, texts[4][:200]), (-5, texts[7])]
+    random.Random(1).shuffle(rows)
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, 1, "n", 2, 3, "h", 4, "x", "c") for i, t in rows], SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+def _low(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def _same(df, want):
+    got = Counter(tuple(r) for r in df.collect())
+    assert got == Counter(want)
+
+
+def test_token_index(docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary())
+    ids = lambda t: whole.encode(t or "", add_special_tokens=False).ids + [2]
+    found = token_index.token_index(docs, vocabulary()).collect()
+    found.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in found] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, t in rows for x in [ids(t)])
+    assert [r.start for r in found] == np.cumsum([0] + [r.n_tokens for r in found])[:-1].tolist()
+    assert token_index.token_index(empty, vocabulary()).count() == 0
+
+
+def test_keyed_access(spark, docs, rows):
+    from wayfare.plans.scratch import new_path
+
+    manifest = token_index.write_index(docs, new_path(spark, "t"), vocabulary(), 2, shard_tokens=50)
+    keys = spark.createDataFrame([(9,), (-5,), (77777,), (None,)], "doc_id long")
+    got = {(r.doc_id, tuple(r.ids)) for r in token_index.fetch(manifest, keys).collect()}
+    e = encoder(vocabulary())
+    assert got == {(i, (*np.frombuffer(e.encode(t), "<u4").tolist(), 2)) for i, t in rows if i in (9, -5)}
+
+
+def test_perfect_hash():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000)).view(np.uint64)
+    assert sorted(token_index.PerfectHash.build(keys)(keys)) == list(range(len(keys)))
+    assert token_index.PerfectHash.build(keys[:0])(keys).max() == -1
+
+
+def test_encoder_equals_library():
+    from tokenizers import Tokenizer
+
+    whole, e, rng = Tokenizer.from_file(vocabulary()), encoder(vocabulary()), random.Random(2)
+    alphabet = "abcXYZ éÉßüÿ'’.,!?<|>0129\n\t\x0b\x1c\x85\xa0́ Σς日İµªº½²_-$@&😀"
+    for _ in range(3000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(12))) + rng.choice(["", "<|endoftext|>", "<|ENDOFTEXT|> it's"])
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_packing(docs, rows, empty):
+    found = packing.pack_documents(docs, vocabulary(), capacity=64).collect()
+    by = defaultdict(list)
+    for r in found:
+        by[r.sequence_id].append((r.offset, r.length))
+    for pieces in by.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == np.cumsum([0] + [n for _, n in pieces])[:-1].tolist() and sum(n for _, n in pieces) <= 64
+    e = encoder(vocabulary())
+    want = Counter()
+    for i, t in rows:
+        x = e.encode(t) + bytes(4)
+        want.update((i, k, k * 64, len(x[a : a + 256]) // 4, zlib.crc32(x[a : a + 256])) for k, a in enumerate(range(0, len(x), 256)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == want
+    bound = -(-sum(r.length for r in found) // 64)
+    assert len(by) <= bound + 1
+    assert packing.pack_documents(empty, vocabulary()).count() == 0
+
+
+def test_best_two_fit_swaps():
+    sequence, offset = packing.best_two_fit(np.array([6, 3, 2, 2]), 10)  # greedy alone: 6 3 | 2 2
+    assert len(set(sequence[[0, 2, 3]])) == 1 and sequence[1] != sequence[0]
+
+
+def test_sequences(docs):
+    placed = packing.pack_documents(docs, vocabulary(), capacity=64)
+    ids = packing.pieces(docs, vocabulary(), capacity=64, with_ids=True)
+    total = {r.sequence_id: len(r.ids) for r in packing.sequences(placed, ids).collect()}
+    want = Counter()
+    for r in placed.collect():
+        want[r.sequence_id] += r.length
+    assert total == want
+
+
+def _repeats(words):
+    seen = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    return len({j for i in range(len(words) - 4) if seen[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)})
+
+
+def test_quality(docs, rows, empty):
+    want = []
+    for i, t in rows:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines), len(lines) - len(set(lines)), _repeats(w)))
+    rows = quality.ledger(docs).cache()
+    _same(rows.select("doc_id", *quality.MEASURES[:6]), want)
+    for r in rows.collect():
+        assert (r.failures & 1 > 0) == (r.n_words < 10) and (r.failures & 2 > 0) == (100 * r.n_repeat_words > 20 * r.n_words)
+    assert quality.ledger(empty).count() == 0
+    kept = rows.where(quality.passes("v1")).count()
+    for r in quality.ablation(rows, "v1").collect():
+        without = rows.where(f"failures & {quality.mask([x for x in quality.POLICIES['v1'] if x != r.rule])} = 0").count()
+        assert r.n_kept_without == without and without - kept == r.n_failed_alone
+
+
+def _cut(rows, length):
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    least = {}
+    for i, b in texts:
+        for k in range(len(b) - length + 1):
+            s = b[k : k + length]
+            if i is not None and i < least.get(s, 10**9):
+                least[s] = i
+    out = []
+    for i, b in texts:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - length + 1):
+            if i is not None and least[b[k : k + length]] < i:
+                gone[k : k + length] = True
+        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if len(b) else 0
+        out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("length", [20, 50])
+def test_suffix_dedup(docs, rows, empty, length):
+    _same(suffix_dedup.dedup_substrings(docs, length), _cut(rows, length))
+    assert suffix_dedup.dedup_substrings(empty, length).count() == 0
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(3)
+    for trial in range(200):
+        t = rng.integers(1, rng.integers(2, 6), rng.integers(1, 50))
+        t = np.append(np.tile(t, 1 + trial % 3), 0)
+        assert suffix_array(t, int(t.max()) + 1).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
+def test_warc(spark):
+    html = ["<p>a</p>", "<p>a</p>", None, "", "x" * 50_000, "é\r\n\r\nWARC/1.1", "<p>a</p>"] + [f"page {k} " * (k % 50) for k in range(300)]
+    pages = [(k, f"http://e.org/{k} ü", t, "z") for k, t in enumerate(html)] + [(None, None, "<p>a</p>", "z"), (None, "u", "only", "z"), (3, "u", "again", "z")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, size string").repartition(3)
+    last = {}
+    for i, _, t, _ in pages:
+        if i is not None:
+            last[t or ""] = max(last.get(t or "", -1), i)
+    want = []
+    for i, _, t, _ in pages:
+        b, o = (t or "").encode(), last.get(t or "")
+        again = o is not None and i != o
+        want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", o if again else None))
+    _same(warc.archive(df), want)
+    from wayfare.plans.scratch import new_path
+
+    manifest = warc.write_warc(df, new_path(spark, "w"))
+    _same(warc.read_warc(manifest, split_bytes=300), want)
+    assert sum(gzip.decompress(get(r.path)).count(b"WARC-Type") for r in manifest.collect()) == len(pages)
+    assert warc.archive(df.where("false")).count() == 0
+
+
+def _near(rows):
+    sets = defaultdict(set)
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", _low(t))
+        sets[i, t] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i, _ in rows if i is not None}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    keys = [k for k in sets if k[0] is not None and sets[k]]
+    for a in keys:
+        for b in keys:
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = root(a[0]), root(b[0])
+                parent[max(x, y)] = min(x, y)
+    return [(i, len(sets[i, t]), None if i is None else root(i), i is None or root(i) == i) for i, t in rows]
+
+
+def test_near_duplicates(docs, rows, empty):
+    _same(neardup.near_duplicates(docs), _near(rows))
+    assert neardup.near_duplicates(empty).count() == 0
+
+
+def test_near_duplicates_of_many_copies(spark):
+    rng = random.Random(9)
+    base = ["w%d" % rng.randrange(10**6) for _ in range(120)]
+    rows = [(k, " ".join(w if rng.random() > 0.015 * (k % 5) else "e%d" % rng.randrange(10**6) for w in base)) for k in range(150)]
+    _same(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), _near(rows))
+
+
+def test_signature_distance_is_guaranteed():
+    """Any two signatures that differ in 2 * CHUNKS - 1 places share a key."""
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        wrong = rng.choice(neardup.PLACES, 2 * neardup.CHUNKS - 1, replace=False)
+        assert np.bincount(wrong // neardup.WIDTH, minlength=neardup.CHUNKS).min() <= 1
+
+
+def _hits(rows, items, size=13):
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _low(t))
+    out = []
+    for i, t in rows:
+        w, hit, found = word(t), set(), set()
+        for k, text in items:
+            x = word(text)
+            n = min(size, len(x))
+            for s in range(len(x) - n + 1 if x else 0):
+                for at in range(len(w) - n + 1):
+                    if w[at : at + n] == x[s : s + n]:
+                        hit.update(range(at, at + n))
+                        found.add(str(k) if k is not None else "")
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+@pytest.mark.parametrize("block", [8 << 20, 400])
+def test_decontamination(spark, docs, rows, empty, block):
+    texts = _texts()
+    items = [(1, " ".join(texts[4].split()[5:40])), (2, "one"), (3, None), (4, "the of"), (10, texts[7][:300]), (None, "general public 12"), (2, "one"), (6, "...")]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    _same(decontamination.decontaminate(docs, df, block_bytes=block), _hits(rows, items))
+    assert decontamination.decontaminate(empty, df).count() == 0
+    assert decontamination.decontaminate(docs, df.where("false")).where("n_hit > 0").count() == 0
+
+
+def _licences(t):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _low(t))
+    base = [(lab, k) for k in range(len(w)) for lab, p in [("mit", ["mit", "license"]), ("apache", ["apache", "license"]), ("gpl", ["general", "public", "license"])] if w[k : k + len(p)] == p]
+    text, hits = " " + " ".join(w) + " ", []
+    for r, (label, prio, word, rx) in enumerate(rules()):
+        if f" {word}" in text:
+            hits += [(prio, text[: m.start()].count(" "), text[: m.end()].count(" "), r, label) for m in re.finditer(rx, text)]
+    left = [h for h in hits if not any(g is not h and g[1] <= h[1] and g[2] >= h[2] and g[0] >= h[0] and (g[0] > h[0] or (g[1], g[2]) != (h[1], h[2]) or g[3] < h[3]) for g in hits)]
+    at = [k for _, k in base]
+    score = max([licenses.SCORES[h[0]] for h in left] + [0.5] * bool(base), default=0.0)
+    labels = sorted({h[4] for h in left} | {b for b, _ in base})
+    return len(w), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({b for b, _ in base})), ",".join(labels), score, len(left)
+
+
+def test_licences(docs, rows, empty):
+    _same(licenses.scan(docs), [(i, *_licences(t)) for i, t in rows])
+    assert licenses.scan(empty).count() == 0
+    assert len(rules()) >= 200
+
+
+def test_licence_plan_is_native(spark):
+    docs = spark.range(3).selectExpr("id as doc_id", "'MIT license' as text")
+    plan = spark._jvm.PythonSQLUtils.explainString(licenses.scan(docs)._jdf.queryExecution(), "formatted")
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_toxicity(spark):
+    rng = random.Random(4)
+    words = ["w%d" % k for k in range(300)]
+    bad = ["awful", "nasty", "vile", "gross"]
+    rows, labels = [], []
+    for k in range(900):
+        w = [rng.choice(words) for _ in range(rng.randrange(20, 60))]
+        toxic = k % 5 == 0
+        if toxic:
+            for b in rng.sample(bad, 3):
+                w.insert(rng.randrange(len(w)), b)
+        rows.append((k, " ".join(w)))
+        labels += [(k, int(toxic), 1)] if k < 600 else []
+    rows += [(1000, None), (1001, ""), (None, "plain words")]
+    labels += [(1000, 1, 0), (None, 1, 1), (5, None, 1), (4444, 1, 1), (0, 0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int, p_toxic int")).collect()
+    assert len(got) == len(rows)
+    held = [r for r in got if r.doc_id is not None and 600 <= r.doc_id < 900]
+    assert sum(r.is_toxic == (r.doc_id % 5 == 0) for r in held) >= 0.98 * len(held)
+    assert not any(r.is_toxic for r in got if not r.text)
+    none = toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert none.where("is_toxic").count() == 0 and none.count() == len(rows)
+    assert toxicity.toxicity(docs.where("false"), spark.createDataFrame(labels, "doc_id long, toxic int, p_toxic int")).count() == 0
+
+
+def test_surrogates(docs, rows, empty):
+    got = pii.with_surrogates(docs).collect()
+    assert len(got) == len(rows) and sum(r.text is None for r in got) == sum(t is None for _, t in rows)
+    text = next(r.text for r in got if r.text and "Mail " in r.text)
+    assert not re.search(r"555-7713|10\.0\.0\.1|4111111111111111|Kant|[Jj]o\.[Dd]o@", text)
+    names = re.findall(r"Frau (\w+ \w+)", text)
+    assert len(names) == 2 and names[0] == names[1] and names[0].split()[0] in pii.WOMEN
+    for r in pii.audit(docs).collect():
+        assert r.n_values == r.n_surrogates and r.n_unchanged == 0
+    assert pii.with_surrogates(empty).count() == 0
+
+
+def test_permutations():
+    for n in (2, 3, 26, 100, 1000):
+        out = [pii.moved(pii.KEY, "t", n, x) for x in range(n)]
+        assert sorted(out) == list(range(n)) and all(a != b for a, b in enumerate(out))
+    cards = {pii.surrogate("card", f"41111111111{k:05d}") for k in range(300)}
+    assert len(cards) == 300
+    assert pii.luhn(pii.surrogate("card", "4111111111111111").replace(" ", "")) and re.fullmatch(r"\d{16}", pii.surrogate("card", "4111111111111111"))

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfare.llm.tokens import encoder
 from wayfare.plans.scratch import stored
@@ -107,7 +108,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
     """Rows with ``length`` between 1 and ``capacity``, and doc_id and piece, get ``sequence_id`` and ``offset``."""
     rows = stored(rows, "pieces")
     groups = max(1, round(rows.count() / group))
-    schema = rows.drop("group").schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = rows.columns
 
     def place(table: pa.Table) -> pa.Table:

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayfare.llm.decontamination import decontaminate
+from wayfare.llm.licenses import scan
 from wayfare.llm.neardup import near_duplicates
 from wayfare.llm.packing import pack_documents
 from wayfare.llm.quality import MEASURES, RULES, ledger, mask, passes, POLICIES
+from wayfare.llm.pii import with_surrogates
+from wayfare.llm.suffix_dedup import dedup_substrings
 from wayfare.llm.token_index import token_index
 from wayfare.llm.tokens import vocabulary
+from wayfare.llm.toxicity import toxicity
+from wayfare.llm.warc import archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +26,10 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end_id=0, capacity=2048)
 
@@ -30,15 +40,39 @@ def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *named, (~passes("base")).alias("base_failed"), passes("v1").alias("kept"), "failures")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"), length=50)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages"), least=0)
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = F.aggregate(F.map_values("pii_counts"), F.lit(0), lambda a, x: a + x).cast("long")
+    kinds = F.array_join(F.array_sort(F.map_keys("pii_counts")), ",")
+    return rows.select("doc_id", "text", count.alias("n_entities"), kinds.alias("entity_types"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_index, op3_best_fit_packing, op4_quality_ledger, op7_minhash_dedup, op10_decontaminate)}
+_ALL = (
+    op1_token_index, op2_license_scan, op3_best_fit_packing, op4_quality_ledger, op5_suffix_dedup, op6_warc,
+    op7_minhash_dedup, op8_toxicity_chain, op9_pii_surrogates, op10_decontaminate,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _FAILURES = " + ".join(f"case when {cond} then {1 << k} else 0 end" for k, (_, cond) in enumerate(RULES))
 
@@ -91,4 +125,14 @@ from lo left join cov using (r) left join ids using (r)"""
 
 _OP7 = _OP7.replace("regexp_replace(coalesce(text, ''), '[A-Z]', lower('\\0'))", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')").replace("list_transform(w0, x -> lower(x))", "w0")
 
-ORACLES = {"op4_quality_ledger": _OP4, "op7_minhash_dedup": _OP7, "op10_decontaminate": _OP10}
+_OP6 = r"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+s as (select page_id, html, strlen(html) as n, upper(sha1(html)) as hex from p),
+g as (select html, max(page_id) as original from p group by html),
+d as (select page_id, html, n, list_aggregate(list_transform(range(0, 8), lambda k: list_aggregate(list_transform(range(0, 4),
+        lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(hex, cast(5 * k + 1 as bigint), 5) as bigint) >> (15 - 5 * j)) & 31), 1)), 'string_agg', '')), 'string_agg', '') as digest from s)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
+  case when page_id = original then 'response' else 'revisit' end as record_type, case when page_id <> original then original end as refers_to
+from d join g using (html)"""
+
+ORACLES = {"op4_quality_ledger": _OP4, "op6_warc": _OP6, "op7_minhash_dedup": _OP7, "op10_decontaminate": _OP10}
