@@ -7,8 +7,8 @@ A document's set is its distinct 5-word shingles; documents are linked when 100
 2. Multi-index join: the signature is split into CHUNKS chunks.  Two signatures that differ in at most
    2 * CHUNKS - 1 places have, by the pigeonhole principle, a chunk with at most one error; so the keys of a chunk
    are its WIDTH subsets that leave one place out.  Every pair under that distance shares a key.
-3. Within a key each class is paired with the smallest class only, and each class keeps its nearest and its
-   smallest partner, so a group of any size gives a linear number of pairs.  Pairs are confirmed on full sets.
+3. Within a key each class is paired only with the class in the middle of those that have the key, and each class
+   keeps its nearest partners, so a group of any size gives a linear number of pairs.  Pairs are confirmed on full sets.
 4. Exact completion for classes that share a key but are not yet connected: shingles are ordered by rarity
    (a fixed-size count sketch), and classes of different components that share a shingle of their prefixes
    are paired if both can still reach the needed overlap from there (prefix and positional bounds).  A link
@@ -43,6 +43,8 @@ _B = _rng.integers(0, 2**32, PLACES, dtype=np.uint32)
 _SALT = mix(np.arange(1, CHUNKS * WIDTH + 1, dtype=np.uint64))
 #: Sketches of one bit a place that differ in more places than this are of sets far below the threshold.
 SKETCH = 24
+#: Nearest partners of a class that are confirmed at once; the completion finds links of the others.
+PARTNERS = 3
 #: Counters of the rarity sketch, whatever the size of the input: 4 bytes each.
 RARITY_BITS = 21
 
@@ -145,22 +147,33 @@ def _keys(classes: DataFrame, buckets: int) -> DataFrame:
 
 
 def _stars(table: pa.Table) -> pa.Table:
-    """For each key: its smallest class (by size, then id) paired with every other that may reach the threshold."""
+    """For each key: the class nearest to the middle of all classes with the key, paired with each of the others.
+
+    The middle is the majority of each bit of their sketches; of edited copies of one text it is close to the
+    text itself, with which more of them are linked than with each other.
+    """
     key, ids, n, sketch = _unpacked(table, np.uint64, np.int64, np.int32, np.uint64)
     order = np.lexsort((ids, n))
-    key, ids, n, sketch = key[order], ids[order], n[order], sketch[order]
+    key, ids, n, sketch = key[order], ids[order], n[order].astype(np.int64), sketch[order]
     order, a, b = _runs(key)
     size = b - a
-    at = order[np.repeat(a, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-    head = np.repeat(order[a], size)
+    first = np.cumsum(size) - size
+    at = order[np.repeat(a, size) + np.arange(size.sum()) - np.repeat(first, size)]
+    if not len(at):
+        return pa.table({"x": pa.array([], pa.int64()), "p": pa.array([], pa.int64()), "far": pa.array([], pa.int32())})
+    bits = np.unpackbits(sketch[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    middle = np.packbits(2 * np.add.reduceat(bits, first, axis=0, dtype=np.int64) > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    off = np.bitwise_count(sketch[at] ^ np.repeat(middle, size)).astype(np.int64)
+    rank = off << 40 | np.arange(len(at))  # ties: the smaller size, then the smaller id, as ordered above
+    least = np.minimum.reduceat(rank, first)
+    head = at[np.repeat(least & ((1 << 40) - 1), size)]
     ok = ids[at] != ids[head]
     at, head = at[ok], head[ok]
-    far = np.bitwise_count(sketch[at] ^ sketch[head]).astype(np.int32)
-    good = (far <= SKETCH) & (100 * n[head].astype(np.int64) >= SHARE * n[at].astype(np.int64))
+    far = np.bitwise_count(sketch[at] ^ sketch[head]).astype(np.int64)
+    good = (far <= SKETCH) & (100 * np.minimum(n[head], n[at]) >= SHARE * np.maximum(n[head], n[at]))
     # a class with no partner that may reach the threshold still is a candidate of step 4
-    far = np.where(good, far, 99)
-    pairs = np.unique(np.stack([ids[at], ids[head], far.astype(np.int64), n[head].astype(np.int64)], 1), axis=0) if len(at) else np.empty((0, 4), np.int64)
-    return pa.table({"x": pairs[:, 0], "p": pairs[:, 1], "far": pairs[:, 2].astype(np.int32), "np": pairs[:, 3]})
+    pairs = np.unique(np.stack([ids[at], ids[head], np.where(good, far, 99)], 1), axis=0)
+    return pa.table({"x": pairs[:, 0], "p": pairs[:, 1], "far": pairs[:, 2].astype(np.int32)})
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
@@ -292,10 +305,10 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig"))
     classes = stored(classes, "classes")
     buckets = min(4096, max(16, total // 20_000))
-    stars = stored(_keys(classes, buckets).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_stars, "x long, p long, far int, np long"), "stars")
-    picked = stars.groupBy("x").agg(F.min(F.struct("far", "p")).alias("near"), F.min(F.when(F.col("far") < 99, F.struct("np", "p", "far"))).alias("small"))
-    picked = picked.select("x", F.explode(F.array_distinct(F.array(F.when(F.col("near.far") < 99, F.col("near.p")), F.col("small.p")))).alias("p")).where("p is not null")
-    pairs = stored(picked, "pairs")
+    stars = stored(_keys(classes, buckets).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_stars, "x long, p long, far int"), "stars")
+    # at most PLACES partners a class, one a key
+    near = F.slice(F.array_sort(F.collect_set(F.struct("far", "p"))), 1, PARTNERS)
+    pairs = stored(stars.where("far < 99").groupBy("x").agg(near.alias("near")).select("x", F.explode("near.p").alias("p")), "pairs")
     members = stars.select(F.col("x").alias("id")).union(stars.select(F.col("p").alias("id"))).distinct()
     sets = stored(_full_sets(docs, classes, members), "sets")
     links = stored(_confirmed(pairs, sets, parts), "links")
@@ -335,3 +348,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = rows.join(comps.select(F.col("id").alias("cid"), "component").repartition("cid", "component"), "cid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cid", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each group of near duplicates, with all its columns; rows without doc_id all stay."""
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null"))
