@@ -193,14 +193,16 @@ def _digest(rows: DataFrame) -> DataFrame:
                 hit.append(n)
             items = [sorted(set(x)) for x in d["items"]]
             cols = [batch.column(0), batch.column(2), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items])]
+            cols.insert(1, batch.column(1))
             cols.append(pa.array([h > 0 and 20 * h >= n for h, n in zip(hit, d["n_words"])], pa.bool_()))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row_key", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return rows.mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return rows.mapInArrow(digest, "doc_id long, row_key long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, shingle: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
-    """For each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (a twentieth of the words or more is hit)."""
+    """For each document: doc_id, row_key (xxhash64 of its text), n_words, n_hit, n_items, items_sha256 and
+    contaminated (a twentieth of the words or more is hit)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("row_key"))
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -222,3 +224,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, shingle:
     joined = words.alias("w").join(hits.alias("h"), F.expr("w.doc_id <=> h.doc_id and w.row_key = h.row_key"), "left")
     none = F.array().cast("array<long>"), F.array().cast("array<string>")
     return _digest(joined.select("w.doc_id", "w.row_key", "w.n_words", F.coalesce("h.spans", none[0]).alias("spans"), F.coalesce("h.items", none[1]).alias("items")))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    bad = decontaminate(docs, items).where("contaminated").select("doc_id", "row_key").distinct()
+    same = F.expr("d.doc_id <=> b.doc_id and xxhash64(cast(d.text as string)) = b.row_key")
+    return docs.alias("d").join(bad.alias("b"), same, "left_anti")
