@@ -135,7 +135,8 @@ def bridges(nodes: DataFrame, edges: DataFrame, cell: float = 50.0) -> DataFrame
         q = rows.join(left, ["plan_id", "place"], "left_semi")
         q = q.withColumn("gx", F.explode(F.sequence(cell_of("x", radius) - 1, cell_of("x", radius) + 1))).withColumn("gy", F.explode(F.sequence(cell_of("y", radius) - 1, cell_of("y", radius) + 1)))
         joined = q.join(old.withColumn("gx", cell_of("ox", radius)).withColumn("gy", cell_of("oy", radius)), ["plan_id", "gx", "gy"]).where("before < place")
-        d = F.hypot((F.col("x") - F.col("ox")).cast("double"), (F.col("y") - F.col("oy")).cast("double"))
+        dx, dy = (F.col("x") - F.col("ox")).cast("double"), (F.col("y") - F.col("oy")).cast("double")
+        d = F.sqrt(dx * dx + dy * dy)
         best = joined.groupBy("plan_id", "place").agg(F.min(F.struct(d.alias("length"), "v", F.col("id").alias("u"))).alias("b")).select("plan_id", "place", "b.v", "b.u", "b.length")
         if radius < span:
             best = best.where(F.col("length") <= radius)

@@ -177,8 +177,8 @@ def mask_minus(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def canvas(plans: DataFrame, extent: Extent) -> DataFrame:
     """All cells of each plan."""
-    rows = plans.select("plan_id").distinct().select("plan_id", F.explode(F.sequence(F.lit(0), F.lit(extent[0] - 1))).cast("long").alias("x"))
-    return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(extent[1] - 1))).cast("long").alias("y"))
+    upto = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")))
+    return plans.select("plan_id").distinct().select("plan_id", upto(extent[0]).alias("x")).select("*", upto(extent[1]).alias("y"))
 
 
 def mask_not(mask: DataFrame, plans: DataFrame, extent: Extent) -> DataFrame:

@@ -199,7 +199,7 @@ def exit_points(units: DataFrame, step: int = 20, max_steps: int = 120, extra: i
     at = lambda k: (F.col("cx") + k * step * F.col("nx"), F.col("cy") + k * step * F.col("ny"))
     outside = F.filter(F.sequence(F.lit(1), F.lit(max_steps - 1)), lambda k: ~g.contains("ring", *at(k)))
     rays = rays.withColumn("k", F.when(F.size(outside) > 0, F.element_at(outside, 1))).where("k is not null")
-    tries = rays.select("plan_id", "uid", "dir", "cx", "cy", "nx", "ny", (F.col("k") + F.explode(F.sequence(F.lit(1), F.lit(extra)))).alias("steps"))
+    tries = rays.select("plan_id", "uid", "dir", "cx", "cy", "nx", "ny", F.explode(F.sequence(F.col("k") + 1, F.col("k") + extra)).alias("steps"))
     tries = stored(tries.withColumn("x", at(F.col("steps"))[0]).withColumn("y", at(F.col("steps"))[1]), "tries")
     key = ["plan_id", "uid", "dir", "steps"]
     taken = points_in_polygons(tries, units.select("plan_id", F.col("uid").alias("other"), "ring"), cell).select(*key).distinct()
