@@ -211,7 +211,7 @@ def ordered_chains(edges: DataFrame) -> DataFrame:
 
 
 def contours(mask: DataFrame) -> DataFrame:
-    """The outlines of a mask as closed lines of cell corners: plan_id, contour, rank, x, y, hole.
+    """The outlines of a mask as closed lines of cell corners: plan_id, contour, rank, x, y, the cell inside (cell_x, cell_y), hole.
 
     Sides between a cell of the mask and one outside it are directed with the mask on their right; at a corner where
     two outlines touch, cells that meet by a corner stay together.  Outlines are lists of sides, cut at their least
@@ -219,7 +219,7 @@ def contours(mask: DataFrame) -> DataFrame:
     """
     m = mask.select("plan_id", "x", "y").distinct()
     out = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("dx", "dy", "ax", "ay", "bx", "by", "d"), row))) for row in ((0, -1, 0, 0, 1, 0, 0), (1, 0, 1, 0, 1, 1, 1), (0, 1, 1, 1, 0, 1, 2), (-1, 0, 0, 1, 0, 0, 3))))
-    sides = m.select("plan_id", "x", "y", F.explode(out).alias("s")).select("plan_id", (F.col("x") + F.col("s.dx")).alias("nx"), (F.col("y") + F.col("s.dy")).alias("ny"), (F.col("x") + F.col("s.ax")).alias("ax"), (F.col("y") + F.col("s.ay")).alias("ay"), (F.col("x") + F.col("s.bx")).alias("bx"), (F.col("y") + F.col("s.by")).alias("by"), F.col("s.d").alias("d"))
+    sides = m.select("plan_id", "x", "y", F.explode(out).alias("s")).select("plan_id", F.col("x").alias("cell_x"), F.col("y").alias("cell_y"), (F.col("x") + F.col("s.dx")).alias("nx"), (F.col("y") + F.col("s.dy")).alias("ny"), (F.col("x") + F.col("s.ax")).alias("ax"), (F.col("y") + F.col("s.ay")).alias("ay"), (F.col("x") + F.col("s.bx")).alias("bx"), (F.col("y") + F.col("s.by")).alias("by"), F.col("s.d").alias("d"))
     sides = sides.join(m.select("plan_id", F.col("x").alias("nx"), F.col("y").alias("ny")), ["plan_id", "nx", "ny"], "left_anti").drop("nx", "ny")
     number = F.shiftleft(F.col("plan_id"), 50) + F.shiftleft(F.col("ay"), 26) + F.shiftleft(F.col("ax"), 2) + F.col("d")
     sides = stored(sides.withColumn("id", number), "sides")
@@ -229,7 +229,7 @@ def contours(mask: DataFrame) -> DataFrame:
     links = stored(sides.join(onto, ["plan_id", "bx", "by"]).groupBy("id").agg(pick.alias("next")), "links")
     loops = components(links.select(F.col("id").alias("u"), F.col("next").alias("v")))
     ranks = ranked_chains(links.join(loops.where("id = component").select(F.col("id").alias("next")), "next", "left_anti"))
-    rows = sides.join(ranks, "id").select("plan_id", F.col("head").alias("contour"), "rank", F.col("ax").alias("x"), F.col("ay").alias("y"), (F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).alias("cross"))
+    rows = sides.join(ranks, "id").select("plan_id", F.col("head").alias("contour"), "rank", F.col("ax").alias("x"), F.col("ay").alias("y"), "cell_x", "cell_y", (F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).alias("cross"))
     area = rows.groupBy("contour").agg(F.sum("cross").alias("area2"))
     return rows.drop("cross").join(area.select("contour", (F.col("area2") < 0).alias("hole")), "contour")
 
