@@ -34,11 +34,13 @@ from pyspark.sql import functions as F
 from wayfare.llm.suffixes import shared_prefix, suffix_array
 from wayfare.llm.text import _BYTE, _MUL, U64, _powers, chunks, mix, utf8
 
-GRAM = 24
+GRAM = 20
+#: Bits of an anchor that are sent: they only have to tell most anchors of one bucket apart, since chance finds cost time alone.
+TAG = 40
 #: Bytes of text in a part.
 PART_BYTES = 6 << 20
 #: Bytes of text for each shard; its segments are a fraction of them.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 #: The longest segment, in strings: runs of one anchor are cut there (neighbouring segments overlap by length - 1 bytes).
 SEGMENT = 4096
 
@@ -100,11 +102,13 @@ def _ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _NONE = 2**63 - 1
 
 
-def _packed(key: str, bucket: np.ndarray, buckets: int, part: int, *columns: np.ndarray) -> pa.Table:
+def _packed(key: str, bucket: np.ndarray, buckets: int, part: int, *columns: tuple) -> pa.Table:
+    """One row a bucket; each column (values, encoder) as the encoded values of the bucket."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     some = np.flatnonzero(np.diff(cuts))
-    parts = {f"c{i}": pa.array([c[order][cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()) for i, c in enumerate(columns)}
+    sets = {f"c{i}": (c[order], pack) for i, (c, pack) in enumerate(columns)}
+    parts = {n: pa.array([pack(c[cuts[k] : cuts[k + 1]]) for k in some], pa.binary()) for n, (c, pack) in sets.items()}
     return pa.table({key: pa.array(some, pa.int64()), "part": pa.array(np.full(len(some), part), pa.int64()), **parts})
 
 
@@ -112,6 +116,22 @@ def _blob(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+def _planes(values: np.ndarray, n_bytes: int = 8) -> bytes:
+    """The low bytes of 64-bit numbers, first all lowest bytes, then all next ones: what is alike lies together and packs well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :n_bytes].T.tobytes()
+
+
+def _numbers(parts: list[bytes], n_bytes: int = 8) -> list[np.ndarray]:
+    """The numbers of each of many ``_planes``."""
+    out = []
+    for raw in parts:
+        n = len(raw) // n_bytes
+        v = np.zeros((n, 8), np.uint8)
+        v[:, :n_bytes] = np.frombuffer(raw, np.uint8).reshape(n_bytes, n).T
+        out.append(v.reshape(-1).view(np.uint64))
+    return out
+
+
 def _anchors(length: int, buckets: int):
     def anchors(table: pa.Table) -> pa.Table:
         data, offsets, ids = _ordered(table)
@@ -123,27 +143,40 @@ def _anchors(length: int, buckets: int):
             values.append(s.anchor[known])
             docs.append(doc[known])
         v, d = np.concatenate(values), np.concatenate(docs)
-        order = np.argsort(v, kind="stable")  # documents are in order, so first and last tell if there are two
+        order = np.argsort(v)
         v, d = v[order], d[order]
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.empty(0, np.int64)
-        last = np.append(first[1:], len(v)) - 1
-        twice = (d[first] != d[last]).astype(np.uint8)
-        return _packed("bucket", (mix(v[first]) % U64(buckets)).astype(np.int64), buckets, table.column("part")[0].as_py(), v[first], twice)
+        twice = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(v) else np.zeros(0, bool)
+        tag, bits = lambda x: _planes(x >> U64(64 - TAG), TAG // 8), lambda x: np.packbits(x).tobytes()
+        return _packed("bucket", (mix(v[first]) % U64(buckets)).astype(np.int64), buckets, table.column("part")[0].as_py(), (v[first], tag), (twice, bits))
 
     return anchors
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """The anchors of a bucket that two documents have, for each part that has them."""
-    parts = [np.frombuffer(x, np.uint64) for x in table.column("c0").to_pylist()]
+    """The anchors of a bucket that two documents have, for each part that has them (as tags)."""
+    parts = _numbers(table.column("c0").to_pylist(), TAG // 8)
     v = np.concatenate(parts)
     order = np.sort(v)
     again = order[1:][order[1:] == order[:-1]]
-    shared = np.union1d(again, v[_blob(table.column("c1"), np.uint8) > 0])
-    out = [p[np.isin(p, shared, assume_unique=False)].tobytes() for p in parts]
+    twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(p)] for x, p in zip(table.column("c1").to_pylist(), parts)])
+    shared = np.union1d(again, v[twice > 0])
+    out = [_planes(p[_member(p, shared)], TAG // 8) for p in parts]
     return pa.table({"part": table.column("part").combine_chunks(), "c0": pa.array(out, pa.binary())}).filter(pa.array([bool(x) for x in out], pa.bool_()))
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def byte_prints(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, as ``Strings.prints`` gives them."""
+    p, inverse = _powers(len(data) + 1)
+    total = np.concatenate([[U64(0)], np.cumsum(_BYTE[data] * p[: len(data)], dtype=np.uint64)])
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _MUL)
+
+
 def _member(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(len(values), bool)
@@ -158,24 +191,23 @@ def _segments(length: int, shards: int):
         if not left.num_rows or not right.num_rows:
             return none
         data, offsets, ids = _ordered(left)
-        keys = np.sort(_blob(right.column("c0"), np.uint64))
+        keys = np.sort(np.concatenate(_numbers(right.column("c0").to_pylist(), TAG // 8)))
         found = []
         for a, b in chunks(offsets):
             s = Strings(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
             doc = ids[a + s.doc]
-            k = np.flatnonzero(_member(s.anchor, keys) & (doc != _NONE))
+            k = np.flatnonzero(_member(s.anchor >> U64(64 - TAG), keys) & (doc != _NONE))
             found.append((s.prints(length)[k], s.anchor[k], s.start[k] + offsets[a], (s.stop - s.start)[k] + length - 1, doc[k]))
         print_, anchor, start, size, doc = (np.concatenate(x) for x in zip(*found))
         if not len(print_):
             return none
-        order = np.argsort(print_, kind="stable")
+        order = np.argsort(print_)
         p = print_[order]
         first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        last = np.append(first[1:], len(p)) - 1
         one = order[first]
-        low, high = doc[one], doc[order[last]]
+        low, high = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
         shard = (mix(anchor[one] ^ U64(0x5851F42D4C957F2D)) % U64(shards)).astype(np.int64)
-        table = _packed("shard", shard, shards, left.column("part")[0].as_py(), print_[one], size[one].astype(np.int32), low, high)
+        table = _packed("shard", shard, shards, left.column("part")[0].as_py(), (size[one], lambda x: _planes(x, 2)), (low, _planes), (high, _planes), ((anchor[one] >> U64(32)).astype(np.uint32), bytes))
         by = np.argsort(shard, kind="stable")
         n = size[one][by]
         ends = np.cumsum(n)
@@ -198,10 +230,10 @@ def earliest(text: np.ndarray, sizes: np.ndarray, low: np.ndarray, length: int)
     sa = suffix_array(joined, 258)
     padded = np.zeros(len(joined) + length + 16, np.uint8)
     padded[at] = text
-    lcp = shared_prefix(padded, sa, length)
     seg = np.repeat(np.arange(len(sizes)), sizes + 1)
     left = np.zeros(len(joined), np.int64)
     left[: len(seg)] = (begin + sizes + np.arange(len(sizes)))[seg] - np.arange(len(seg))
+    lcp = shared_prefix(padded, sa, length, left >= length)
     own = sa[left[sa] >= length]  # suffixes that hold a whole string, in order; equal strings are neighbours
     group = np.ones(len(own), bool)
     # between two of them there may be only suffixes that do not share ``length`` bytes with either
@@ -217,30 +249,38 @@ def earliest(text: np.ndarray, sizes: np.ndarray, low: np.ndarray, length: int)
 
 def _sorted_shard(length: int):
     def shard(table: pa.Table) -> pa.Table:
-        prints, sizes = _blob(table.column("c0"), np.uint64), _blob(table.column("c1"), np.int32).astype(np.int64)
-        low, high = _blob(table.column("c2"), np.int64), _blob(table.column("c3"), np.int64)
+        sizes = np.concatenate(_numbers(table.column("c0").to_pylist(), 2)).astype(np.int64)
+        low, high = (np.concatenate(_numbers(table.column(c).to_pylist())).view(np.int64) for c in ("c1", "c2"))
+        tag = _blob(table.column("c3"), np.uint32)
         text = _blob(table.column("bytes"), np.uint8)
-        counts = [len(x) // 8 for x in table.column("c0").to_pylist()]
+        counts = [len(x) // 4 for x in table.column("c3").to_pylist()]
         part = np.repeat(table.column("part").to_numpy(), counts)
-        order = np.argsort(prints, kind="stable")
+        begin = np.cumsum(sizes) - sizes
+        prints = byte_prints(text, begin, begin + sizes)
+        order = np.argsort(prints)
         p = prints[order]
         first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
         which = np.empty(len(p), np.int64)
         which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(p))))
         one = order[first]
         least = np.minimum.reduceat(low[order], first)
-        begin = np.cumsum(sizes) - sizes
+        # an anchor with one segment only: its strings are those of the segment, wherever they are
         n = sizes[one]
+        same = np.unique(tag[one], return_inverse=True, return_counts=True)
+        alone = same[2][same[1]] == 1
         ends = np.cumsum(n)
-        own = text[np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(begin[one], n)]
-        early = earliest(own, n, least, length)
-        # runs of strings with one earliest document, by segment
         starts = ends - n
-        change = np.ones(len(own), bool)
+        early = np.full(ends[-1], _NONE)
+        early[_ranges(starts[alone], n[alone] - length + 1)] = np.repeat(least[alone], n[alone] - length + 1)
+        if not alone.all():
+            many = ~alone
+            early[_ranges(starts[many], n[many])] = earliest(text[_ranges(begin[one[many]], n[many])], n[many], least[many], length)
+        # runs of strings with one earliest document, by segment
+        change = np.ones(len(early), bool)
         change[1:] = early[1:] != early[:-1]
         change[starts] = True
         a = np.flatnonzero(change)
-        b = np.append(a[1:], len(own))
+        b = np.append(a[1:], len(early))
         seg = np.searchsorted(starts, a, "right") - 1
         some = early[a] != _NONE
         a, b, seg, doc = a[some] - starts[seg[some]], b[some] - starts[seg[some]], seg[some], early[a[some]]
@@ -251,7 +291,8 @@ def _sorted_shard(length: int):
         good = doc[k] < high[entry]
         k, entry = k[good], entry[good]
         names, back = np.unique(part[entry], return_inverse=True)
-        out = _packed("at", back, len(names), 0, prints[entry], a[k].astype(np.int32), b[k].astype(np.int32), doc[k])
+        two = lambda x: _planes(x, 2)
+        out = _packed("at", back, len(names), 0, (prints[entry], bytes), (a[k], two), (b[k], two), (doc[k], _planes))
         return out.set_column(1, "part", pa.array(names, pa.int64())).drop_columns(["at"])
 
     return shard
@@ -263,9 +304,10 @@ def _cut(length: int):
         if not left.num_rows:
             return pa.table({n: pa.array([], pa.string() if n == "kept_sha256" else pa.int64()) for n in names})
         data, offsets, ids = _ordered(left)
-        prints, a0, b0, doc0 = (_blob(right.column(f"c{i}"), t) for i, t in enumerate((np.uint64, np.int32, np.int32, np.int64)))
-        order = np.argsort(prints, kind="stable")
-        prints, a0, b0, doc0 = prints[order], a0[order].astype(np.int64), b0[order].astype(np.int64), doc0[order]
+        prints = _blob(right.column("c0"), np.uint64)
+        a0, b0, doc0 = (np.concatenate([np.empty(0, np.uint64), *_numbers(right.column(c).to_pylist(), w)]).view(np.int64) for c, w in (("c1", 2), ("c2", 2), ("c3", 8)))
+        order = np.argsort(prints)
+        prints, a0, b0, doc0 = prints[order], a0[order], b0[order], doc0[order]
         out = []
         for a, b in chunks(offsets):
             own, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]

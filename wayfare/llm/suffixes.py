@@ -100,7 +100,7 @@ def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
 
     def induced(order: np.ndarray) -> np.ndarray:
-        sa = np.full(n, -1, np.int64)
+        sa = np.full(n, -1, np.int32 if n < 2**31 else np.int64)
         # seeds at the ends of their buckets, in the given order
         by = np.argsort(t[order], kind="stable")
         seeds = order[by]
@@ -129,23 +129,20 @@ def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     return induced(found)
 
 
-def shared_prefix(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+def shared_prefix(text: np.ndarray, sa: np.ndarray, most: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Permuted common prefixes: for each suffix in text order, what it shares with the suffix before it in order, up to ``most``.
 
-    ``text`` is followed by at least ``most`` + 8 bytes of padding.  Eight bytes are compared at a time.
+    ``text`` is followed by at least ``most`` + 8 bytes of padding.  Eight bytes are compared at a time, and only
+    suffixes that have shared all so far go on.  With ``wanted`` (by text position), others are left at 0.
     """
     n = len(sa)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
-    words = np.lib.stride_tricks.sliding_window_view(text, 8)
-    out, left = np.zeros(n, np.int64), np.flatnonzero(phi >= 0)
+    words = np.ndarray((len(text) - 7,), "<u8", np.ascontiguousarray(text), strides=(1,))
+    out, left = np.zeros(n, np.int64), np.flatnonzero((phi >= 0) if wanted is None else (phi >= 0) & wanted)
     for k in range(0, most, 8):
-        a, b = words[left + k], words[phi[left] + k]
-        differ = a != b
-        same = ~differ.any(1)
-        out[left[~same]] = k + differ[~same].argmax(1)
-        left = left[same]
-        if not len(left):
-            break
-        out[left] = k + 8
+        x = words[left + k] ^ words[phi[left] + k]
+        low = x & (~x + U64(1))  # the lowest bit in which they differ is in the first byte that does
+        out[left] = k + np.where(x == 0, 8, np.log2(np.maximum(low, U64(1)).astype(np.float64)).astype(np.int64) // 8)
+        left = left[x == 0]
     return np.minimum(out, most)
