@@ -83,7 +83,7 @@ def cluster_means(points: DataFrame, tol: float, key: str = "pid", method: str =
     ``method="grid"`` instead rounds each coordinate to a multiple of ``tol`` (halves to even), which is its own cluster.
     """
     if method == "grid":
-        rounded = points.withColumn("cx", F.bround(F.col("x") / tol) * tol).withColumn("cy", F.bround(F.col("y") / tol) * tol)
+        rounded = points.withColumn("cx", F.bround(F.col("x") / tol) * tol + 0.0).withColumn("cy", F.bround(F.col("y") / tol) * tol + 0.0)
         return rounded.withColumn("cluster", F.min(key).over(Window.partitionBy("plan_id", "cx", "cy")))
     rows = clusters(points, tol, key)
     means = rows.groupBy("cluster").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions import geom as g
-from wayfare.operators import edits, graph, raster, relational, route, spatial
+from wayfare.operators import edits, extract, graph, raster, relational, route, spatial
 from wayfare.operators.components import components
 from wayfare.plans.fixtures import oracle, view
 from wayfare.plans.scratch import stored
@@ -633,6 +633,37 @@ def dedupe_greedy(spark, d):
     return kept.groupBy("uid").agg(F.count("*").alias("n"))
 
 
+@query("""r as (select uid, 1 as corner, [(x, y)] as kept from fx_unit_corner where corner = 1
+union all select r.uid, c.corner, case when len(list_filter(kept, lambda q: (q[1]-c.x)*(q[1]-c.x)+(q[2]-c.y)*(q[2]-c.y) < 3600)) = 0 then list_append(kept, (c.x, c.y)) else kept end
+from r join fx_unit_corner c on c.uid = r.uid and c.corner = r.corner + 1)
+select uid, max(len(kept)) as n from r group by uid""")
+def superclean(spark, d):
+    kept = relational.superclean(view(spark, d, "fx_unit_corner"), KEYS, 60)
+    return kept.groupBy("uid").agg(F.count("*").alias("n"))
+
+
+@query("select uid, true as is_inside, (w + 1) // 2 >= 1 as has_room from fx_unit_box")
+def pole_center(spark, d):
+    u = units(spark, d)
+    size = relational.canvas_extent(view(spark, d, "fx_unit_corner")).first()
+    found = extract.pole_centers(u, (size["width"], size["height"])).join(u, "uid")
+    return found.select("uid", g.contains("ring", "cx", "cy").alias("is_inside"), (F.col("d2") >= 1).alias("has_room"))
+
+
+@query("""select pl_id, min(case when seq = 1 then x end) as first_x, min(case when seq = 1 then y end) as first_y, arg_max(x, seq) as last_x, arg_max(y, seq) as last_y, true as is_shorter from fx_trace group by pl_id""")
+def simplify_lines(spark, d):
+    point = F.struct(F.col("x").alias("x"), F.col("y").alias("y"))
+    lines = view(spark, d, "fx_trace").groupBy("plan_id", "pl_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", point.alias("p")))), lambda v: v["p"]).alias("points"))
+    got = route.simplified(lines.withColumn("n", F.size("points")), 1.2)
+    at = lambda k, c: F.element_at("points", k)[c]
+    return got.select("pl_id", at(1, "x").alias("first_x"), at(1, "y").alias("first_y"), at(-1, "x").alias("last_x"), at(-1, "y").alias("last_y"), (F.size("points") <= F.col("n")).alias("is_shorter"))
+
+
+@query("select pid, round_even(x / 8e0, 0) * 8 + 0e0 as cx, round_even(y / 8e0, 0) * 8 + 0e0 as cy, min(pid) over (partition by round_even(x / 8e0, 0) + 0e0, round_even(y / 8e0, 0) + 0e0) as cluster from fx_point")
+def grid_clusters(spark, d):
+    return spatial.cluster_means(view(spark, d, "fx_point"), 8, method="grid").select("pid", "cx", "cy", "cluster")
+
+
 @query("select uid, case when l_shape then 5 else 4 end as n_corners, true as has_all from fx_unit_box")
 def hull_check(spark, d):
     hull = relational.hulls(view(spark, d, "fx_unit_corner"), KEYS).select("uid", F.col("ring").alias("hull"))
