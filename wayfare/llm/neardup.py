@@ -43,6 +43,8 @@ _B = _rng.integers(0, 2**32, PLACES, dtype=np.uint32)
 _SALT = mix(np.arange(1, CHUNKS * WIDTH + 1, dtype=np.uint64))
 #: Sketches of one bit a place that differ in more places than this are of sets far below the threshold.
 SKETCH = 24
+#: Documents for each bucket of keys; a bucket's keys are in memory at once.
+CLASSES = 6000
 #: Nearest partners of a class that are confirmed at once; the completion finds links of the others.
 PARTNERS = 3
 #: Counters of the rarity sketch, whatever the size of the input: 4 bytes each.
@@ -103,10 +105,10 @@ def features(docs: DataFrame) -> DataFrame:
 
 def _packed(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> pa.RecordBatch:
     """One row a bucket, each column as the bytes of its values there."""
-    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     some = np.flatnonzero(np.diff(cuts))
-    parts = [pa.array([c[order][cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()) for c in columns]
+    parts = [pa.array([c[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()) for c in (c[order] for c in columns)]
     return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *parts], ["bucket", *(f"c{i}" for i in range(len(columns)))])
 
 
@@ -304,7 +306,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig"))
     classes = stored(classes, "classes")
-    buckets = min(4096, max(16, total // 20_000))
+    buckets = max(16, total // CLASSES)
     stars = stored(_keys(classes, buckets).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_stars, "x long, p long, far int"), "stars")
     # at most PLACES partners a class, one a key
     near = F.slice(F.array_sort(F.collect_set(F.struct("far", "p"))), 1, PARTNERS)
@@ -318,7 +320,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = _prefixes(labelled, rarity, buckets).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_completed, "p long, x long").distinct()
     more = stored(more, "more")
     links = links.unionByName(stored(_confirmed(more, sets, parts), "links"))
-    return rows.join(classes.select("n", "a", "b", F.col("id").alias("cid")).repartition("n", "a"), ["n", "a", "b"], "left").select("doc_id", "n", "cid"), links
+    return rows.join(classes.select("n", "a", "b", F.col("id").alias("cid")), ["n", "a", "b"], "left").select("doc_id", "n", "cid"), links
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
