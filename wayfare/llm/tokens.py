@@ -14,8 +14,8 @@ import numpy as np
 DEFAULT = "word_bpe_49k.json"
 _LATIN = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([!-/:-@\[-^`{-~]*)")
 _ODD = re.compile(r"[^\x00-\xff]|[\x0b\x0c\x1c-\x1f\x85\xa0]|<\|")
-#: Pieces that a worker keeps, about 200 bytes each; all are forgotten when there are more.
-KEEP = 700_000
+#: Pieces, and words, that a worker keeps, about 200 bytes each; all are forgotten when there are more.
+KEEP = 200_000
 _open: dict[str, Encoder] = {}
 
 
