@@ -219,15 +219,16 @@ def _rarity(spark: SparkSession, sets: DataFrame) -> np.ndarray:
         for batch in batches:
             h = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
             total += np.bincount((h >> shift).astype(np.int64), minlength=1 << RARITY_BITS).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array([total[k * each : (k + 1) * each].tobytes() for k in range(parts)], pa.binary())], ["part", "counts"])
+        some = np.flatnonzero(total)  # a task's counters that are not zero
+        yield _packed(some // each, parts, (some % each).astype(np.uint32), total[some]).rename_columns(["part", "at", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(each, np.uint64)
-        for x in table.column("counts").to_pylist():
-            total += np.frombuffer(x, np.uint32)
+        for at, x in zip(table.column("at").to_pylist(), table.column("counts").to_pylist()):
+            total[np.frombuffer(at, np.uint32)] += np.frombuffer(x, np.uint32)
         return pa.table({"part": table.column("part")[:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
-    rows = sets.select("items").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    rows = sets.select("items").mapInArrow(count, "part int, at binary, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
     out = np.zeros((parts, each), np.uint32)
     for part, counts in rows:
         out[part] = np.frombuffer(counts, np.uint32)

@@ -16,7 +16,6 @@ _LATIN = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([!-/:-@\[-^`{-~]*)")
 _ODD = re.compile(r"[^\x00-\xff]|[\x0b\x0c\x1c-\x1f\x85\xa0]|<\|")
 #: Pieces, and words, that a worker keeps, about 200 bytes each; all are forgotten when there are more.
 KEEP = 200_000
-_open: dict[str, Encoder] = {}
 
 
 def vocabulary(name: str = DEFAULT) -> str:
@@ -84,7 +83,5 @@ class Encoder(dict):
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of a file, one for each Python worker."""
-    if path not in _open:
-        _open[path] = Encoder(path)
-    return _open[path]
+    """A new encoder.  A task makes its own and drops it at its end, so that workers hold no memory between tasks."""
+    return Encoder(path)
