@@ -300,6 +300,39 @@ def test_licences(docs, rows, empty):
     assert len(rules()) >= 200
 
 
+def _sample(parsed, rng):
+    """A random string that a parsed pattern matches, without what it looks ahead for."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            out += chr(rng.choice([c for kind, v in arg for c in ([v] if str(kind) == "LITERAL" else range(v[0], v[1] + 1))]))
+        elif name == "BRANCH":
+            out += _sample(rng.choice(arg[1]), rng)
+        elif name == "SUBPATTERN":
+            out += _sample(arg[3], rng)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(_sample(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], 6))))
+        else:
+            assert name == "ASSERT"
+    return out
+
+
+def test_licence_gates_drop_nothing(spark, monkeypatch):
+    """Every pattern is found as if it were tried on every text: by neither of the two gates a match is lost."""
+    texts = ["FreeBSD License", "0BSD license", "MIT No Attribution License", "(CC) BY-NC 4.0", "CC BY 4.0", "CC - BY-SA", "CC  BY 4.0", "_CC_BY_4.0", "succ by 4.0", "limit license"]
+    rng = random.Random(6)
+    for _, _, _, rx in rules():
+        texts += [re.sub(" ", lambda m: rng.choice([" ", "  ", " - ", "-", "_", "\n"]), _sample(re._parser.parse(rx), rng).swapcase()) + "." for _ in range(3)]
+    monkeypatch.setitem(globals(), "rules", lambda all_rules=rules(): [(label, p, "", rx) for label, p, _, rx in all_rules])
+    want = [(i, *_licences(t)) for i, t in enumerate(texts)]
+    assert [w[6] for w in want[:6]] == ["bsd-2-clause", "0bsd", "mit-0", "cc-by-nc-4.0", "cc-by-4.0", "cc-by-sa"]
+    assert all(w[6] for w in want[10:])
+    _same(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), want)
+
+
 def test_licence_plan_is_native(spark):
     docs = spark.range(3).selectExpr("id as doc_id", "'MIT license' as text")
     plan = spark._jvm.PythonSQLUtils.explainString(licenses.scan(docs)._jdf.queryExecution(), "formatted")

@@ -1,6 +1,7 @@
 """Signature rules for licences, written against normalised text: lower-case words, one space between them.
 
-A rule is (label, priority, keyword, pattern).  The keyword must occur in the text before the pattern is tried.
+A rule is (label, priority, keyword, pattern).  The keyword must occur in the text before the pattern is tried, at
+any place: it is a part of everything that the pattern matches.
 Priorities: 4 identifiers and full texts, 3 a grant that names licence and version, 2 licence and version,
 1 the licence's name.  Families are written by hand as a name, its versions and the labels they give.
 """
@@ -13,7 +14,7 @@ _GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided) und
 #: family: (keyword, name pattern, label of the bare name, {version pattern: label})
 FAMILIES = {
     "mit": ("mit", "mit", "mit", {}),
-    "mit-0": ("mit 0", "mit 0|mit no attribution", "mit-0", {}),
+    "mit-0": ("mit", "mit 0|mit no attribution", "mit-0", {}),
     "x11": ("x11", "x11", "x11", {}),
     "isc": ("isc", "isc", "isc", {}),
     "apache": ("apache", "apache(?: software)?(?: foundation)?", "apache", {"2(?: 0)?": "apache-2.0", "1 1": "apache-1.1", "1 0": "apache-1.0"}),

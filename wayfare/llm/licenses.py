@@ -21,7 +21,7 @@ from wayfare.llm.license_rules import BASE, rules
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Every rule and base phrase needs one of these; a superset test on the text as it is.
-_HINT = r"(?i)licen[cs]e|spdx|permission|redistribution|unencumbered|domain|\bcc[^0-9A-Za-z\x80-\x{10FFFF}]by|creative|released|distributed|available|published|provided"
+_HINT = r"(?i)licen[cs]e|spdx|permission|redistribution|unencumbered|domain|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|creative|released|distributed|available|published|provided"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCORES = {1: 0.5, 2: 0.7, 3: 0.9, 4: 1.0}
 
@@ -39,7 +39,7 @@ def _spans(text: Column, r: Column) -> Column:
 
 def _detections(text: Column) -> Column:
     """All matches in a normalised text: of base phrases (rule -1, -2, ...) and of the rules whose keyword is there."""
-    table = [(k, label, p, f" {word}", rx) for k, (label, p, word, rx) in enumerate(rules())]
+    table = [(k, label, p, word, rx) for k, (label, p, word, rx) in enumerate(rules())]
     table = [(-1 - k, label, 0, f" {phrase}", f" {phrase}(?= )") for k, (label, phrase) in enumerate(BASE)] + table
     names = ("rule", "label", "priority", "keyword", "pattern")
     rows = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in table))
