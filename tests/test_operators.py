@@ -320,3 +320,15 @@ def test_image_source(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(png([[(255, 0, 0), (0, 255, 0), (0, 0, 255)], [(255, 255, 255), (0, 0, 0), (255, 128, 0)]]))
     rows = {(r.x, r.y): (r.h, r.s, r.v) for r in raster.image_pixels(spark, f"file://{tmp_path}").collect()}
     assert rows == {(0, 0): (0, 255, 255), (1, 0): (60, 255, 255), (2, 0): (120, 255, 255), (0, 1): (0, 0, 255), (1, 1): (0, 0, 0), (2, 1): (15, 255, 255)}
+
+
+def test_rounds_do_not_end_silently(spark):
+    block = cells(spark, *((x, y) for x in range(1, 10) for y in range(1, 10)))
+    with pytest.raises(RuntimeError):
+        raster.skeleton(block, (11, 11), most=2)
+    assert (5, 5) in {(r.x, r.y) for r in raster.skeleton(block, (11, 11)).collect()}
+    assert raster.skeleton(cells(spark, *((x, y) for x in range(3) for y in range(3))), (3, 3)).count() == 0
+    gaps = spark.createDataFrame([(1, k, k + 1, 10.0 - k) for k in range(9)], "plan_id long, a long, b long, d2 double")
+    with pytest.raises(RuntimeError):
+        graph.mutual_pairs(gaps, rounds=2)
+    assert sorted((r.a, r.b) for r in graph.mutual_pairs(gaps).collect()) == [(k, k + 1) for k in range(0, 9, 2)]

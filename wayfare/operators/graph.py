@@ -258,15 +258,16 @@ def stitch_pairs(tips: DataFrame, free: DataFrame | None, most: float = 18.0, an
     return pairs.select("plan_id", "a", "b", "d2")
 
 
-def mutual_pairs(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def mutual_pairs(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
     """A greedy matching of weighted pairs (plan_id, a, b, d2): nearest first, then least (a, b), each end once.
 
     In a round every pair that is the first of both its ends is taken; that gives what taking them one by one would.
+    Rounds go on until no pair is left; more than ``rounds``, if given, are an error.
     """
-    left, out = stored(pairs, "pairs"), None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    left, out, done = stored(pairs, "pairs"), None, 0
+    while not left.isEmpty():
+        if done == rounds:
+            raise RuntimeError(f"pairs did not settle in {rounds} rounds")
         key = F.struct("d2", "a", "b")
         both = left.select("plan_id", "a", "b", "d2", F.explode(F.array("a", "b")).alias("end"))
         best = both.groupBy("end").agg(F.min(key).alias("k"))
@@ -274,5 +275,8 @@ def mutual_pairs(pairs: DataFrame, rounds: int = 50) -> DataFrame:
         taken = stored(left.join(taken.select("a", "b"), ["a", "b"], "left_semi"), "taken")
         used = taken.select(F.explode(F.array("a", "b")).alias("end"))
         out = taken if out is None else out.unionByName(taken)
+        done += 1
+        if done % 50 == 0:
+            out = stored(out, "taken")  # the plan stays small
         left = stored(left.join(used.withColumnRenamed("end", "a"), "a", "left_anti").join(used.withColumnRenamed("end", "b"), "b", "left_anti"), "pairs")
     return pairs.where("false") if out is None else out

@@ -291,15 +291,24 @@ def free_mask(units: DataFrame, exits: DataFrame, extent_px: Extent, ds: int = 3
 # -- skeletons and gray images ----------------------------------------------------------------------------------------
 
 
-def skeleton(mask: DataFrame, extent: Extent, most: int = 5000) -> DataFrame:
-    """The morphological skeleton: for each number of erosions, what an opening takes away.  One round for each unit of width."""
-    now, out = stored(mask.select(*CELL).distinct(), "eroded"), None
-    for _ in range(most):
-        if now.isEmpty():
-            break
+def skeleton(mask: DataFrame, extent: Extent, most: int | None = None) -> DataFrame:
+    """The morphological skeleton: for each number of erosions, what an opening takes away.  One round for each unit of width.
+
+    Rounds go on until nothing is left, or only plans whose whole extent is in the mask, of which erosions and openings
+    take nothing.  More than ``most`` rounds, if given, are an error.
+    """
+    now, out, rounds = stored(mask.select(*CELL).distinct(), "eroded"), None, 0
+    before, left = None, now.count()
+    while left and left != before:
+        if rounds == most:
+            raise RuntimeError(f"skeleton did not end in {most} rounds")
         rest = stored(mask_minus(now, opened(now, cross(), extent)), "skeleton")
         out = rest if out is None else out.union(rest)
+        rounds += 1
+        if rounds % 50 == 0:
+            out = stored(out, "skeleton")  # the plan stays small
         now = stored(erode(now, cross(), extent), "eroded")
+        before, left = left, now.count()
     return now if out is None else out.distinct()
 
 
