@@ -365,6 +365,17 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.where("false"), spark.createDataFrame(labels, "doc_id long, toxic int, p_toxic int")).count() == 0
 
 
+def test_toxicity_sample_is_of_documents(spark):
+    """Labels of other tables' documents take no place in the sample, nor do rows that repeat a doc_id."""
+    rows = [(k, "fine words %d" % k if k % 2 else "vile words %d" % k) for k in range(40)] + [(0, "vile words 0")] * 300
+    labels = [(k, int(k % 2 == 0)) for k in range(40)] + [(10**6 + k, k % 2) for k in range(20_000)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    _, _, y, weight = toxicity._sampled(docs, marks, 30)
+    assert sorted(y) == [0] * 20 + [1] * 20 and set(weight) == {1.0}
+    _, _, y, weight = toxicity._sampled(docs, marks, 10)
+    assert sorted(y) == [0] * 10 + [1] * 10 and set(weight) == {2.0}
+
+
 def test_surrogates(docs, rows, empty):
     got = pii.with_surrogates(docs).collect()
     assert len(got) == len(rows) and sum(r.text is None for r in got) == sum(t is None for _, t in rows)

@@ -127,8 +127,13 @@ class Chain:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, feature) pairs, labels and weights of the sample; its size is bounded, so it is joined by broadcast and collected."""
-    marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """(document, feature) pairs, labels and weights of the sample; its size is bounded, so it is joined by broadcast and collected.
+
+    Only labels of documents that are there are drawn from; a repeated doc_id counts once, with the last of its texts in byte order.
+    """
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    marked = marked.join(there, "doc_id", "left_semi")
     ids = None
     for value in (0, 1):
         part = marked.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -145,7 +150,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarra
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(packed, pa.binary())], ["doc_id", "toxic", "feats"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(F.broadcast(ids.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))), "doc_id").select("doc_id", "toxic", "text")
+    joined = texts.join(F.broadcast(ids.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
     found = sorted(tuple(r) for r in joined.mapInArrow(rows, "doc_id long, toxic int, feats binary").collect())
     sizes = [len(f) // 4 for _, _, f in found]
     y = np.array([t for _, t, _ in found], np.int64)
