@@ -280,6 +280,19 @@ def test_decontamination(spark, docs, rows, empty, block):
     assert decontamination.decontaminate(docs, df.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_blocks_of_one_item(spark, monkeypatch):
+    """Rows of one item, or without one, do not all come to one block."""
+    rng = random.Random(11)
+    texts = [" ".join("w%d" % rng.randrange(10**6) for _ in range(20)) for _ in range(60)]
+    items = [(7 if k % 2 else None, t) for k, t in enumerate(texts)] + [(7, texts[1])] * 40
+    rows = [(k, f"a {texts[k]} b {texts[k + 1]}") for k in range(0, 58, 3)] + [(100, "nothing of it")]
+    sizes, block = [], decontamination.Block
+    monkeypatch.setattr(decontamination, "Block", lambda ids, texts, *a: sizes.append(sum(len(t or "") for t in texts)) or block(ids, texts, *a))
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    _same(decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), frame, block_bytes=2000).drop("row_key"), _hits(rows, items))
+    assert max(sizes) < sum(len(t) for t in texts) / 2
+
+
 def _licences(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _low(t))
     base = [(lab, k) for k in range(len(w)) for lab, p in [("mit", ["mit", "license"]), ("apache", ["apache", "license"]), ("gpl", ["general", "public", "license"])] if w[k : k + len(p)] == p]

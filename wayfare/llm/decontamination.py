@@ -206,11 +206,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, shingle:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("row_key"))
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = stored(items.distinct(), "items")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = -(-size // block_bytes) or 1
     found = []
     for k in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).select("item_id", "text").collect()  # block_bytes on average
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).select("item_id", "text").collect()  # block_bytes on average, whatever ids repeat
         block = Block([r[0] for r in part], [r[1] for r in part], window, shingle)
         block.prefixes(_counts(spark, docs, block))
         found.append(_spans(docs, block, keep_all=n_blocks == 1) if n_blocks == 1 else stored(_spans(docs, block, keep_all=False), "spans"))
