@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wayfare.llm import decontamination, licenses, neardup, packing, pii, quality, suffix_dedup, token_index, toxicity, warc
@@ -82,6 +83,13 @@ def test_keyed_access(spark, docs, rows):
     got = {(r.doc_id, tuple(r.ids)) for r in token_index.fetch(manifest, keys).collect()}
     e = encoder(vocabulary())
     assert got == {(i, (*np.frombuffer(e.encode(t), "<u4").tolist(), 2)) for i, t in rows if i in (9, -5)}
+    # every key there is, some of them in several shards, and keys between, before and after them
+    everything = spark.createDataFrame([(i,) for i in range(-9, 200)], "k long")
+    found = token_index.fetch(manifest, everything, "k")
+    want = Counter((i, (*np.frombuffer(e.encode(t), "<u4").tolist(), 2)) for i, t in rows if i is not None)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_perfect_hash():
@@ -100,6 +108,38 @@ def test_encoder_equals_library():
         assert np.frombuffer(e.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_batches(monkeypatch):
+    """A column at once: long texts are cut at spaces, kept ids are forgotten, and nulls and empty texts have no ids."""
+    from tokenizers import Tokenizer
+
+    from wayfare.llm import tokens
+
+    whole = Tokenizer.from_file(vocabulary())
+    column = [None, "", "a " * 50 + "straße, İstanbul " * 40, " \n", "x" * 300 + " y", "the end.", None]
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in column]
+    for at_once, keep in ((16, 1), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+        monkeypatch.setattr(tokens, "KEEP_BYTES", keep)
+        e = tokens.Encoder(vocabulary())
+        assert e.fast
+        for _ in range(2):
+            ids, bounds = e.batch(pa.array(column))
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+        ids, bounds = e.documents(pa.array(column), 7)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [[*x, 7] for x in want]
+
+
+def test_encoder_of_another_file():
+    """A file that the fast path does not know goes through the library as it is."""
+    from tokenizers import Tokenizer
+
+    other = vocabulary("byte_bpe_50k.json")
+    whole, e = Tokenizer.from_file(other), encoder(other)
+    assert not e.fast
+    for t in ("", "The  Straße\n it's 12", "日本 x"):
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 def test_packing(docs, rows, empty):
     found = packing.pack_documents(docs, vocabulary(), capacity=64).collect()
     by = defaultdict(list)

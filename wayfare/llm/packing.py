@@ -32,23 +32,21 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CA
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        tokens = encoder(vocabulary)
         for batch in batches:
-            keys, piece, start, length, crc, own = [], [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = tokens.encode(text.as_py()) + end
-                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    keys.append(key)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        own.append(np.frombuffer(part, "<i4"))
-            cols = [pa.array(keys, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            ids, bounds = tokens.documents(batch.column(1), end_id)
+            n = np.diff(bounds)
+            count = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * capacity
+            length = np.minimum(n[doc] - start, capacity)
+            at = bounds[doc] + start
+            own = [ids[a:b] for a, b in zip(at.tolist(), (at + length).tolist())]
+            cols = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(x.astype("<u4")) for x in own], pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(own, pa.list_(pa.int32()))] * with_ids, names + ["ids"] * with_ids)
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32)))] if with_ids else []
+            yield pa.RecordBatch.from_arrays(cols + lists, names + ["ids"] * with_ids)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 

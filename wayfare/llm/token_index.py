@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from wayfare.llm.files import get, put
 from wayfare.llm.text import U64, mix
 from wayfare.llm.tokens import encoder
-from wayfare.plans.scratch import new_path
+from wayfare.plans.scratch import new_path, stored
 
 MANIFEST = "part int, seq int, payload string, keys string, first_key long, last_key long, n_docs long, n_tokens long"
 _SPREAD = 2  # places for each key at a level
@@ -137,28 +137,31 @@ def write_index(docs: DataFrame, folder: str, vocabulary: str, end_id: int, widt
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, tokens = TaskContext.get().partitionId(), 0, encoder(vocabulary)
-        end, kind = np.array([end_id], "<u4").tobytes(), f"<u{width}"
-        keys, sizes, held = [], [0], []
+        part, seq, tokens, kind = TaskContext.get().partitionId(), 0, encoder(vocabulary), f"<u{width}"
+        keys, sizes, held, total = [], [np.zeros(1, np.int64)], [], 0
 
         def shard() -> pa.RecordBatch:
-            starts, own = np.cumsum(np.array(sizes, np.int64)), [k for k in keys if k is not None]
+            starts, own = np.cumsum(np.concatenate(sizes)), [k for k in keys if k is not None]
             row = {"part": part, "seq": seq, "payload": put(f"{folder}/ids", f"{part:06d}-{seq:04d}", b"".join(held)), "keys": put(f"{folder}/keys", f"{part:06d}-{seq:04d}", index_bytes(keys, starts, width))}
-            row |= {"first_key": min(own, default=None), "last_key": max(own, default=None), "n_docs": len(keys), "n_tokens": int(starts[-1])}
+            row |= {"first_key": min(own, default=None), "last_key": max(own, default=None), "n_docs": len(keys), "n_tokens": total}
             types = [pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], list(row))
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(tokens.encode(text.as_py()) + end, "<u4")
-                if width == 2 and ids.max() > 0xFFFF:
-                    raise ValueError("the vocabulary needs ids of 4 bytes")
-                held.append(ids.astype(kind).tobytes())
-                keys.append(key)
-                sizes.append(len(ids))
-                if sum(map(len, held[-1:])) and len(keys) % 64 == 0 and sum(sizes) >= shard_tokens:
+            ids, bounds = tokens.documents(batch.column(1), end_id)
+            if width == 2 and ids.max(initial=0) > 0xFFFF:
+                raise ValueError("the vocabulary needs ids of 4 bytes")
+            a, n = 0, batch.num_rows
+            while a < n:  # documents up to the one that fills the shard
+                b = min(n, max(a + 1, int(np.searchsorted(bounds, bounds[a] + shard_tokens - total))))
+                held.append(ids[bounds[a] : bounds[b]].astype(kind).tobytes())
+                keys += batch.column(0).slice(a, b - a).to_pylist()
+                sizes.append(np.diff(bounds[a : b + 1]))
+                total += int(bounds[b] - bounds[a])
+                if total >= shard_tokens:
                     yield shard()
-                    keys, sizes, held, seq = [], [0], [], seq + 1
+                    keys, sizes, held, total, seq = [], [np.zeros(1, np.int64)], [], 0, seq + 1
+                a = b
         if keys:
             yield shard()
 
@@ -195,10 +198,34 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     return manifest.select("payload", "keys", "base").repartition(parts, "payload").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _holding(wanted: DataFrame, shards: DataFrame) -> DataFrame:
+    """(doc_id, payload, keys): for each wanted key the last shard that begins before it, if it does not end before it.
+
+    Keys and shards are sorted together over all tasks; a task whose keys come before its first shard is told the last
+    shard of the tasks before it.
+    """
+    spark = wanted.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shard = F.struct("first_key", "last_key", "payload", "keys")
+    rows = shards.select(F.col("first_key").alias("at"), shard.alias("shard")).unionByName(wanted.select(F.col("doc_id").alias("at"), "doc_id"), allowMissingColumns=True)
+    rows = stored(rows.repartitionByRange(parts, "at").withColumn("part", F.spark_partition_id()), "fetch")
+    before = F.max("last").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a task
+    told = rows.groupBy("part").agg(F.max("shard").alias("last")).select("part", before.alias("told"))
+    own = F.last("shard", ignorenulls=True).over(Window.partitionBy("part").orderBy("at", F.col("doc_id").asc_nulls_first(), "shard"))
+    found = rows.join(told, "part").select("doc_id", F.coalesce(own, "told").alias("shard")).where("doc_id is not null and doc_id <= shard.last_key")
+    return found.select("doc_id", "shard.payload", "shard.keys")
+
+
 def fetch(manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Keyed access: the ids of the documents with the given keys, (doc_id, ids).  Keys are joined to shards by range in blocks of key space."""
-    shards = manifest.where("first_key is not null").select("payload", "keys", "first_key", "last_key")
-    found = keys.select(F.col(key).cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(F.broadcast(shards) if shards.count() <= 10_000 else shards, F.col("doc_id").between(F.col("first_key"), F.col("last_key")))
+    """Keyed access: the ids of the documents with the given keys, (doc_id, ids).
+
+    A key inside the range of a shard is in this shard alone; one at the edge of a range may be in several, and is
+    joined by the edge itself.
+    """
+    shards = manifest.where("first_key is not null").select("first_key", "last_key", "payload", "keys")
+    edges = shards.select(F.explode(F.array_distinct(F.array("first_key", "last_key"))).alias("doc_id"), "payload", "keys")
+    wanted = keys.select(F.col(key).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    found = wanted.join(edges, "doc_id").unionByName(_holding(wanted.join(edges, "doc_id", "left_anti"), shards))
 
     def read(table: pa.Table) -> pa.Table:
         shard = Shard(table.column("payload")[0].as_py(), table.column("keys")[0].as_py())
@@ -207,7 +234,7 @@ def fetch(manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFram
         rows = [(k, shard.ids(d).tolist()) for k, f, c in zip(own.tolist(), first.tolist(), count.tolist()) for d in range(f, f + c)]
         return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "ids": pa.array([r[1] for r in rows], pa.list_(pa.int64()))})
 
-    return found.select("doc_id", "payload", "keys").groupBy("payload").applyInArrow(read, "doc_id long, ids array<long>")
+    return found.groupBy("payload").applyInArrow(read, "doc_id long, ids array<long>")
 
 
 def token_index(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
