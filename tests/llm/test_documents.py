@@ -203,7 +203,7 @@ def _cut(rows, length):
     for i, b in texts:
         for k in range(len(b) - length + 1):
             s = b[k : k + length]
-            if i is not None and i < least.get(s, 10**9):
+            if i is not None and i < least.get(s, 2**63):
                 least[s] = i
     out = []
     for i, b in texts:
@@ -222,6 +222,30 @@ def test_suffix_dedup(docs, rows, empty, length):
     assert suffix_dedup.dedup_substrings(empty, length).count() == 0
 
 
+def test_suffix_dedup_of_hot_anchors(spark):
+    """A passage with other neighbours in each document, by segments and by strings; the largest doc_id there is; larger random texts."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    passage, line = word(70), word(35)
+    rows = [(k, word(rng.randrange(80)) + passage + word(rng.randrange(60)) + line + word(25)) for k in range(60)]
+    rows += [(2**63 - 1, rows[5][1]), (-(2**63), rows[6][1][:90]), (None, rows[7][1]), (2**63 - 1, None), (100, rows[8][1] + "é" + rows[9][1])]
+    rows += [(200 + k, word(300) + rows[k][1][20:150]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _cut([(-(2**62) if i == -(2**63) else i, t) for i, t in rows], 50)  # the same order, within what the brute force takes
+    want = [(-(2**63) if w[0] == -(2**62) else w[0], *w[1:]) for w in want]
+    for crowd, hot in ((8, 20_000), (1, 2), (2, 30)):
+        _same(suffix_dedup.dedup_substrings(docs, 50, crowd, hot), want)
+
+
+def test_strings_of_one_hash_are_compared():
+    """Different bytes of one hash stop the job; equal ones pass."""
+    data = np.frombuffer(b"abcabcabd", np.uint8)
+    at, size = np.array([0, 3, 6]), np.array([3, 3, 3])
+    suffix_dedup._same_bytes(data, at, size, np.array([0, 2]), np.array([0, 1, 2]))
+    with pytest.raises(ValueError):
+        suffix_dedup._same_bytes(data, at, size, np.array([0]), np.array([0, 1, 2]))
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     for trial in range(200):
