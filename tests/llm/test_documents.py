@@ -514,10 +514,81 @@ def test_toxicity_sample_is_of_documents(spark):
     rows = [(k, "fine words %d" % k if k % 2 else "vile words %d" % k) for k in range(40)] + [(0, "vile words 0")] * 300
     labels = [(k, int(k % 2 == 0)) for k in range(40)] + [(10**6 + k, k % 2) for k in range(20_000)]
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    _, _, y, weight = toxicity._sampled(docs, marks, 30)
-    assert sorted(y) == [0] * 20 + [1] * 20 and set(weight) == {1.0}
-    _, _, y, weight = toxicity._sampled(docs, marks, 10)
-    assert sorted(y) == [0] * 10 + [1] * 10 and set(weight) == {2.0}
+    for sample, n in ((30, 20), (10, 10)):
+        table, names, total = toxicity.sampled(docs, marks, sample)
+        assert names == ["toxic"] and total == {0: 20, 1: 20}
+        assert Counter(r.y0 for r in table.collect()) == {0: n, 1: n}
+
+
+def _features(text):
+    """Hashed features of a text, by regular expressions."""
+    from wayfare.llm.text import ALNUM, Words, mix
+
+    def h(word):
+        data = np.frombuffer(word, np.uint8)
+        return int(Words(data, np.array([0, len(data)]), ALNUM).hash[0])
+
+    b, out, up = text.encode(), set(), 64 - toxicity.BITS
+    for w in set(re.findall(rb"[0-9A-Za-z\x80-\xff]+", b)):
+        out.add(h(w) >> up)
+        out |= {int(mix(np.array([h(w[:n]) + n & 2**64 - 1], np.uint64))[0]) >> up for n in (4, 6, 8) if len(w) > n}
+    if b:
+        share = len(re.findall(rb"[^0-9A-Za-z\x80-\xff\x20\x09-\x0D]", b)) * 20 // len(b)
+        out.add(int(mix(np.array([share + 0xA24BAED4963EE407], np.uint64))[0]) >> up)
+    return out
+
+
+def test_toxicity_by_brute_force(spark):
+    """The chain's probabilities and verdicts against one that is fitted document by document; a very long text; clashing columns."""
+    rng = random.Random(14)
+    words = ["w%d" % k for k in range(60)]
+    rows, labels = [], []
+    for k in range(420):
+        low, toxic = k % 3 == 0, k % 4 == 0
+        w = [rng.choice(words) + ("##!" if low and rng.random() < 0.6 else "") for _ in range(rng.randrange(15, 40))]
+        w += rng.sample(["Vileness", "nastier", "grossly"], 2) if toxic and rng.random() < 0.9 or rng.random() < 0.03 else []
+        rows.append((k, " ".join(w), True, 1.5))
+        labels.append((k, int(toxic), None if k % 7 == 0 else int(not low)))
+    rows += [(900, "w1 vileness " * 150_000, False, 0.0), (901, "", None, None), (902, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, is_toxic boolean, p_toxic double").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, marks).collect()}
+    assert set(docs.columns) < set(got[0].asDict()) and len(got) == len(rows)
+    folds = {r.doc_id: r.fold for r in toxicity.sampled(docs, marks)[0].collect()}
+    have = {i: _features(t or "") for i, t, *_ in rows}
+    ids = [i for i, _, _ in labels]
+    target = [{i: 1 - q for i, _, q in labels if q is not None}, {i: t for i, t, _ in labels}]
+
+    def link(y, seen, before):
+        seen = [i for i in seen if i in y]
+        pos, neg = (np.bincount([f for i in seen if y[i] == v for f in have[i]], minlength=1 << toxicity.BITS) for v in (1, 0))
+        keep = toxicity.chosen(pos, neg, sum(y[i] for i in seen), sum(1 - y[i] for i in seen)).tolist()
+        x = lambda i: [float(f in have[i]) for f in keep] + before[i]
+        w = toxicity.fit_link(np.array([x(i) for i in seen]).reshape(len(seen), -1), np.array([y[i] for i in seen]))
+        return lambda i, own: 1 / (1 + np.exp(-(np.dot([float(f in have[i]) for f in keep] + own, w[:-1]) + w[-1])))
+
+    inside, final = {i: [] for i in ids}, {i: [] for i in have}
+    for y in target:
+        models = [link(y, [i for i in ids if folds[i] != f], inside) for f in range(toxicity.FOLDS)]
+        whole = link(y, ids, inside)
+        inside = {i: inside[i] + [models[folds[i]](i, inside[i])] for i in ids}
+        final = {i: final[i] + [whole(i, final[i])] for i in final}
+    line = toxicity.best_threshold(np.array([inside[i][-1] for i in ids]), np.array([target[1][i] for i in ids]), np.ones(len(ids)))
+    for i, p in final.items():
+        assert abs(got[i].p_low_quality - p[0]) < 1e-6 and abs(got[i].p_toxic - p[1]) < 1e-6
+        assert got[i].is_toxic == (p[1] >= line and i < 901)
+    assert got[900].is_toxic and sum(got[i].is_toxic == target[1][i] for i in ids) > 0.93 * len(ids)
+
+
+def test_links_converge():
+    """The gradient of a fitted link is nothing; one class alone gives near certainty."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((300, 20)) < 0.2).astype(float)
+    y = (x[:, 0] + x[:, 1] > 0).astype(int)
+    w = toxicity.fit_link(x, y)
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    assert np.abs(x.T @ (p - y) + w[:-1]).max() < 1e-5 and abs((p - y).sum()) < 1e-5
+    assert toxicity.fit_link(x, np.zeros(300, int))[-1] < -10
 
 
 def test_surrogates(docs, rows, empty):
