@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -603,6 +604,79 @@ def test_surrogates(docs, rows, empty):
     assert pii.with_surrogates(empty).count() == 0
 
 
+def test_names_without_titles():
+    """A person named by title is replaced where the name stands alone too, and stays one person; other words stay."""
+    for text in ("Frau Anna Kant came. Anna Kant left; Kant returned, and Anna with Kantian ideas.", "Kant left before Frau Anna Kant came to Mr. Kant"):
+        out, counts = pii.replaced(text, pii.KEY, {})
+        assert not re.search(r"\bKant\b|\bAnna\b", out) and counts == {"name": len(re.findall(r"Anna Kant|Kant\b|Anna\b", text))}
+        given, family = pii.surrogate("woman", "Anna"), pii.surrogate("family", "Kant")
+        assert re.sub(r"\bKant\b", family, re.sub(r"\bAnna\b", given, text)) == out and given in pii.WOMEN
+    assert pii.replaced("Anna and Kant came", pii.KEY, {}) == ("Anna and Kant came", {})
+
+
+def test_surrogates_in_every_script():
+    """No letter of any script stays for certain, formats stay, different values stay different, and case makes no other entity."""
+    values = ["日本", "日木", "ёжик", "ежик", "straße", "ÿves", "יוסי", "علي", "สมชาย", "한국", "ひと", "Ωmega"]
+    got = [pii.surrogate("email", f"{v}@mail.example.com") for v in values]
+    assert len(set(got)) == len(values)
+    for v, g in zip(values, got):
+        local = g.split("@")[0]
+        assert local != v and len(local) == len(v) and all(pii.alphabet(a) == pii.alphabet(b) for a, b in zip(v, local))
+    low = pii.surrogate("email", "jo.do@mail.example.com")
+    assert pii.surrogate("email", "Jo.DO@Mail.example.com").lower() == low and pii.surrogate("email", "Jo.DO@Mail.example.com") != low
+    small = ["".join(x) for n in (1, 2) for x in itertools.product("aё1", repeat=n)]
+    for kind in ("local", "label"):
+        assert len({pii.same_format(pii.KEY, kind, v) for v in small}) == len(small)
+    secret = "ab" * 16
+    assert pii.surrogate("secret", secret.upper()) == pii.surrogate("secret", secret).upper() != secret.upper()
+
+
+def _slow_surrogates(text):
+    """Surrogates by trying every pattern at every place, without tests before it."""
+    out, at, names = [], 0, {}
+    found = []
+    while at < len(text):
+        m = pii._ENTITY.match(text, at)
+        if m:
+            found.append((m.lastgroup, at, m.end()))
+        at = m.end() if m else at + 1
+    for kind, s, e in found:
+        if kind == "name":
+            title, *own = text[s:e].split(" ")
+            sex = "man" if pii._GENDER[title.rstrip(".")] == "m" else "woman"
+            names.setdefault(own[-1], "family")
+            if len(own) == 2:
+                names.setdefault(" ".join(own), sex)
+                names.setdefault(own[0], sex)
+    at, ends = 0, {s: (k, e) for k, s, e in found}
+    while at < len(text):
+        if at in ends:
+            kind, e = ends[at]
+            out.append(pii.surrogate(kind, text[at:e]))
+            at = e
+            continue
+        word = lambda k: 0 <= k < len(text) and re.match(r"\w", text[k])
+        fits = [n for n in names if text.startswith(n, at) and not word(at - 1) and not word(at + len(n)) and not any(s < at + len(n) and at < e for _, s, e in found)]
+        n = max(fits, key=len, default="")
+        out.append(pii.surrogate(names[n], n) if n else text[at])
+        at += len(n) or 1
+    return "".join(out)
+
+
+def test_surrogates_by_brute_force(spark):
+    """Random texts, a very long one, and a column that is named like the result."""
+    rng = random.Random(31)
+    some = ["Frau Anna Kant", "Mr. Smith", "Mr Smith", "Herr Иван Петров", "Петров", "Kant", "Anna", "Smith", "Señora Rosa Ruiz", "Rosa", "a.b@x.example.org", "A.b@X.example.org", "+49 (030) 555-1234", "(212) 555-0199"]
+    some += ["4111 1111 1111 1111", "10.0.0.1", "300.1.1.1", "123-45-6789", "ab" * 16, "12", "the", "Señor", "Mrs", "日本@mail.example.com", "Kantian", "x@y", "smith", "\n", "—"]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randrange(12))) + rng.choice(["", ".", ", Kant"]) for _ in range(400)] + ["no one. " * 30_000 + "Frau Anna Kant " + "word " * 30_000 + "Kant"]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, pii_counts string")
+    got = pii.with_surrogates(docs)
+    assert got.columns == ["doc_id", "text", "pii_counts"]
+    _same(got.select("doc_id", "text"), [(k, _slow_surrogates(t)) for k, t in enumerate(texts[:-1])] + [(400, texts[-1].replace("Anna", pii.surrogate("woman", "Anna")).replace("Kant", pii.surrogate("family", "Kant")))])
+    for r in pii.audit(docs).collect():
+        assert r.n_values == r.n_surrogates and r.n_unchanged == 0
+
+
 def test_permutations():
     for n in (2, 3, 26, 100, 1000):
         out = [pii.moved(pii.KEY, "t", n, x) for x in range(n)]

@@ -7,22 +7,27 @@ surrogates in every document and task (coreference), different ones different su
 no entity stays as it is, without any table of entities.
 
 * letters stay letters of their script and case, digits digits, marks stay: e-mail addresses (each label of a
-  domain by itself, so that one domain stays one; the top-level domain is kept) and secrets in hexadecimal;
+  domain by itself, so that one domain stays one; the top-level domain is kept; addresses that differ in case only
+  are one, and get one surrogate, each in its own case) and secrets in hexadecimal;
 * phone numbers keep country code and layout; IPv4 addresses stay addresses; card numbers keep whether they
   pass Luhn's check;
 * names after a title are replaced from the pool of their gender and script; names outside the pools by letters,
-  walking on while the result is a name of a pool (the collision check).
+  walking on while the result is a name of a pool (the collision check).  Where a document names a person by title,
+  the same full, family and given names stand for that person without it too, before or after.
 
 ``audit`` counts collisions over all entities of a table of documents.
 
-Defined results: null texts stay null, empty ones empty; repeated rows are changed alike; other columns pass through.
+Defined results: null texts stay null, empty ones empty; repeated rows are changed alike; other columns pass through,
+but for one that is named ``pii_counts``, which is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +41,21 @@ _GREEK, _CYR = "αβγδεζηθικλμνξοπρστυφχψω", "абвгде
 _ALPHABETS = [_D, _L, _U, _LX, _UX, _GREEK, _GREEK.upper(), _CYR, _CYR.upper()]
 _CLASS = {c: a for a in _ALPHABETS for c in a}
 
+
+@lru_cache(maxsize=10_000)
+def alphabet(c: str) -> str | None:
+    """The letters (or digits) for which ``c`` may stand: of its script and case, each character in one alphabet only.
+
+    Scripts without an alphabet above are taken by blocks of 128 characters and by kind; None for other characters.
+    """
+    kind = unicodedata.category(c)
+    if c in _CLASS or not (kind[0] == "L" or kind == "Nd"):
+        return _CLASS.get(c)
+    block = ord(c) & ~127
+    return "".join(x for x in map(chr, range(block, block + 128)) if x not in _CLASS and unicodedata.category(x) == kind)
+
+
+
 MEN = ["James", "John", "Robert", "Michael", "William", "David", "Thomas", "Peter", "Hans", "Karl", "Otto", "Pierre", "Jean", "Louis", "Carlos", "Jorge", "Pablo", "Miguel"]
 WOMEN = ["Mary", "Linda", "Susan", "Karen", "Laura", "Emma", "Anna", "Julia", "Greta", "Heidi", "Marie", "Claire", "Sophie", "Elise", "Carmen", "Lucia", "Elena", "Rosa"]
 FAMILY = ["Smith", "Jones", "Brown", "Miller", "Davis", "Wilson", "Taylor", "Clark", "Schmidt", "Fischer", "Weber", "Becker", "Martin", "Bernard", "Dubois", "Moreau", "Garcia", "Lopez", "Ruiz", "Torres"]
@@ -46,10 +66,10 @@ _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _MARKS = re.compile(r"[0-9@]")
 _SPOKEN = [f"{t}{dot} " for t in _GENDER for dot in ("", ".")]
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
+_NAME = rf"(?!(?:{'|'.join(_GENDER)})(?!\w))[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
 _ENTITY = re.compile(
     r"(?P<email>(?<![\w.+-])[\w+-][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
-    r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))"
+    r"|(?P<secret>(?<![0-9A-Za-z])(?=[A-Fa-f]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))"
     rf"|(?P<ip>(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
@@ -58,6 +78,8 @@ _ENTITY = re.compile(
 )
 _NAMES_ONLY = re.compile(_TITLED[1:])
 TYPES = ["email", "secret", "ip", "card", "ssn", "phone", "name"]
+#: The kind of a name by gender and number of spaces: family names are of both genders.
+_PERSON = {("m", 0): "family", ("f", 0): "family", ("m", 1): "man", ("f", 1): "woman"}
 
 
 def _round(key: bytes, tag: str, step: int, value: int) -> int:
@@ -91,12 +113,12 @@ def moved(key: bytes, tag: str, size: int, x: int) -> int:
 
 def same_format(key: bytes, kind: str, value: str) -> str:
     """Letters for letters of the same script and case, digits for digits; other characters stay."""
-    alphabets = [_CLASS.get(c) for c in value]
+    alphabets = [alphabet(c) for c in value]
     size, number = 1, 0
     for c, a in zip(value, alphabets):
         if a:
             number, size = number * len(a) + a.index(c), size * len(a)
-    tag = f"{kind}|" + "".join(c if a is None else str(_ALPHABETS.index(a)) for c, a in zip(value, alphabets))
+    tag = f"{kind}|" + "".join(c if a is None else f"<{a[0]}>" for c, a in zip(value, alphabets))
     number, out = moved(key, tag, size, number), []
     for c, a in zip(reversed(value), reversed(alphabets)):
         if a:
@@ -106,6 +128,17 @@ def same_format(key: bytes, kind: str, value: str) -> str:
     return "".join(reversed(out))
 
 
+def _lower(c: str) -> str:
+    return c.lower() if len(c.lower()) == 1 and c.lower().upper() == c else c
+
+
+def any_case(key: bytes, kind: str, value: str) -> str:
+    """``same_format`` of the value in lower case, with capitals where the value has them: values that differ in case are one."""
+    low = "".join(map(_lower, value))
+    out = same_format(key, kind, low)
+    return "".join(x.upper() if c != v and len(x.upper()) == 1 and x.upper().lower() == x else x for v, c, x in zip(value, low, out))
+
+
 def luhn(digits: str) -> bool:
     """True if a number passes the check of card numbers."""
     total = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits)))
@@ -138,13 +171,11 @@ def surrogate(kind: str, value: str, key: bytes = KEY) -> str:
     if kind == "email":
         local, _, domain = value.rpartition("@")
         *labels, top = domain.split(".")
-        return same_format(key, "local", local) + "@" + ".".join([*(same_format(key, "label", x) for x in labels), top])
+        return any_case(key, "local", local) + "@" + ".".join([*(any_case(key, "label", x) for x in labels), top])
     if kind == "secret":
-        alphabet = _D + ("abcdef" if value.lower() == value else "ABCDEF")
-        number = int(value, 16)
-        number = moved(key, f"secret|{len(value)}|{alphabet}", 16 ** len(value), number)
+        number = moved(key, f"secret|{len(value)}", 16 ** len(value), int(value, 16))
         out = format(number, f"0{len(value)}x")
-        return out if alphabet[-1] == "f" else out.upper()
+        return out if value.lower() == value else out.upper()
     if kind == "ip":
         number = 0
         for part in value.split("."):
@@ -160,19 +191,43 @@ def surrogate(kind: str, value: str, key: bytes = KEY) -> str:
         n = head.end() if head else 0
         return value[:n] + same_format(key, f"phone{value[:n]}", value[n:])
     if kind == "name":
-        title, *names = value.split(" ")
-        gender = _GENDER[title.rstrip(".")]
-        out = [_given(key, f"given-{gender}", names[0], [MEN, MEN_CYR] if gender == "m" else [WOMEN, WOMEN_CYR])] if len(names) == 2 else []
-        return " ".join([title, *out, _given(key, "family", names[-1], [FAMILY, FAMILY_CYR])])
+        title, names = value.split(" ", 1)
+        return f"{title} {surrogate(_PERSON[_GENDER[title.rstrip('.')], names.count(' ')], names, key)}"
+    if kind in ("man", "woman"):
+        given, _, family = value.partition(" ")
+        given = _given(key, f"given-{kind[0]}", given, [MEN, MEN_CYR] if kind == "man" else [WOMEN, WOMEN_CYR])
+        return f"{given} {surrogate('family', family, key)}" if family else given
+    if kind == "family":
+        return _given(key, "family", value, [FAMILY, FAMILY_CYR])
     return same_format(key, kind, value)
 
 
 def entities(text: str | None) -> list[tuple[str, int, int]]:
-    """(type, start, end) of the entities of a text, from left to right."""
+    """(kind, start, end) of the entities of a text, from left to right: one of TYPES, or a name without its title."""
     if not text:
         return []
     pattern = _ENTITY if _MARKS.search(text) else _NAMES_ONLY if any(t in text for t in _SPOKEN) else None
-    return [(m.lastgroup, m.start(), m.end()) for m in pattern.finditer(text)] if pattern else []
+    found = [(m.lastgroup, m.start(), m.end()) for m in pattern.finditer(text)] if pattern else []
+    return sorted(found + _mentions(text, found), key=lambda e: e[1])
+
+
+def _mentions(text: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Where names that were found by title stand without one."""
+    known: dict[str, str] = {}
+    for kind, s, e in found:
+        if kind == "name":
+            title, _, names = text[s:e].partition(" ")
+            given, _, family = names.rpartition(" ")
+            known.setdefault(family, "family")
+            if given:
+                person = _PERSON[_GENDER[title.rstrip(".")], 1]
+                known.setdefault(names, person)
+                known.setdefault(given, person)
+    if not known:
+        return []
+    pattern = re.compile(r"(?<!\w)(?:" + "|".join(sorted(known, key=len, reverse=True)) + r")(?!\w)")
+    gaps = zip([0, *(e for _, _, e in found)], [*(s for _, s, _ in found), len(text)])
+    return [(known[m[0]], m.start(), m.end()) for a, b in gaps for m in pattern.finditer(text, a, b)]
 
 
 def replaced(text: str, key: bytes, known: dict) -> tuple[str, dict[str, int]]:
@@ -189,12 +244,14 @@ def replaced(text: str, key: bytes, known: dict) -> tuple[str, dict[str, int]]:
             known[kind, value] = surrogate(kind, value, key)
         out += [text[at:s], known[kind, value]]
         at = e
+        kind = kind if kind in TYPES else "name"
         counts[kind] = counts.get(kind, 0) + 1
     return "".join([*out, text[at:]]), counts
 
 
 def with_surrogates(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame:
     """``docs`` with entities of ``text`` replaced; adds ``pii_counts``, a map from type to number."""
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "pii_counts"))
     place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("pii_counts", T.MapType(T.StringType(), T.IntegerType()))])
 
@@ -226,6 +283,10 @@ def found_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def audit(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """For each type: entities, distinct surrogates and entities left unchanged.  The first two are equal and the last is 0."""
-    rows = found_entities(docs, key)
+    """For each type: entities, distinct surrogates and entities left unchanged.  The first two are equal and the last is 0.
+
+    Addresses and secrets that differ in case only are one entity.
+    """
+    own = lambda c: F.when(F.col("type").isin("email", "secret"), F.lower(c)).otherwise(F.col(c)).alias(c)
+    rows = found_entities(docs, key).select("type", own("value"), own("surrogate")).distinct()
     return rows.groupBy("type").agg(F.countDistinct("value").alias("n_values"), F.countDistinct("surrogate").alias("n_surrogates"), F.sum((F.col("value") == F.col("surrogate")).cast("long")).alias("n_unchanged"))
