@@ -46,16 +46,30 @@ class Block:
         self.unit = np.minimum(self.size, shingle)
         self.units = sorted(set(self.unit.tolist()))
         self.runs = {u: w.runs(u) for u in self.units}
-        self.shingles = {u: np.unique(np.concatenate([self.runs[u][s : s + n - u + 1] for s, n in zip(self.start[self.unit == u], self.size[self.unit == u])])) for u in self.units}
+        self.shingles = {u: np.unique(self.runs[u][self._places(u)]) for u in self.units}
+
+    def _places(self, u: int) -> np.ndarray:
+        """Where shingles of ``u`` words of the block's windows begin."""
+        start, n = self.start[self.unit == u], self.size[self.unit == u] - u + 1
+        inside = np.zeros(len(self.hash) + 1, np.int64)
+        np.add.at(inside, start, 1)
+        np.add.at(inside, start + n, -1)
+        return np.flatnonzero(np.cumsum(inside) > 0)
 
     def prefixes(self, counts: dict[int, np.ndarray]) -> None:
         """Choose each window's rarest shingle (ties: the least hash, then the first place); ``counts`` follow ``shingles``."""
         self.token, self.at = np.zeros(len(self.start), np.uint64), np.zeros(len(self.start), np.int64)
-        for k, (s, n, u) in enumerate(zip(self.start, self.size, self.unit)):
-            have = self.runs[u][s : s + n - u + 1]
-            rare = counts[u][np.searchsorted(self.shingles[u], have)]
-            best = np.lexsort((have, rare))[0]
-            self.token[k], self.at[k] = have[best], best
+        for u in self.units:
+            own = np.flatnonzero(self.unit == u)
+            for part in np.array_split(own, len(own) // 50_000 + 1):
+                n = self.size[part] - u + 1
+                window = np.repeat(np.arange(len(part)), n)
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                have = self.runs[u][self.start[part][window] + place]
+                rare = counts[u][np.searchsorted(self.shingles[u], have)]
+                order = np.lexsort((place, have, rare, window))
+                best = order[np.cumsum(n) - n]
+                self.token[part], self.at[part] = have[best], place[best]
         order = np.lexsort((self.token, self.unit))
         for name in ("start", "item", "size", "unit", "token", "at"):
             setattr(self, name, getattr(self, name)[order])
