@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.text import ALNUM, U64, Words, by_document, chunks, utf8
+from wayfare.llm.text import ALNUM, U64, Words, by_document, chunks, small_batches, utf8
 from wayfare.plans.scratch import stored
 
 
@@ -218,6 +218,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, shingle:
     """For each document: doc_id, row_key (xxhash64 of its text), n_words, n_hit, n_items, items_sha256 and
     contaminated (a twentieth of the words or more is hit)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("row_key"))
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     items = stored(items.distinct(), "items")

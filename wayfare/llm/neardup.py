@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from wayfare.llm.text import NOT_SPACE, U64, Words, chunks, mix, utf8
+from wayfare.llm.text import NOT_SPACE, U64, Words, chunks, gathered, mix, small_batches, utf8
 from wayfare.operators.components import components
 from wayfare.plans.scratch import stored
 
@@ -49,14 +49,16 @@ _SALT = mix(np.arange(1, CHUNKS * WIDTH + 1, dtype=np.uint64))
 SKETCH = 24
 #: Documents for each bucket of keys; a bucket's keys are in memory at once.
 CLASSES = 4000
-#: Classes of one batch with one key from which on the batch pairs them itself.
-HOT = 32
+#: Classes whose keys a task makes at once, and how many of them with one key are paired at once.
+GATHER, HOT = 16_000, 32
 #: Rows of a bucket that are paired at once.
 BLOCK = 1 << 14
 #: Nearest partners of a class that are confirmed at once; the completion finds links of the others.
 PARTNERS = 3
 #: Classes that share a prefix shingle from which on they are compared by blocks, and about how many make a block.
 CROWD, CROWD_BLOCK = 64, 1000
+#: Bits of the table that tells which documents' sets are wanted, whatever the size of the input: 2 MB.
+MARKS = 1 << 24
 #: Counters of the rarity sketch, whatever the size of the input: 4 bytes each.
 RARITY_BITS = 21
 
@@ -184,13 +186,13 @@ def _starred(key: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray
 def _keys(classes: DataFrame, buckets: int) -> DataFrame:
     """The multi-index keys of each class, packed by bucket: key, id, size, sketch; and pairs: x, p, far.
 
-    A bucket has keys of one chunk.  A key that HOT classes or more of a batch have is starred in the batch, and only
-    its head goes on: so a bucket gets few rows of each batch for any key.
+    A bucket has keys of one chunk.  A key that HOT of GATHER classes or more have is starred at once, and only its head
+    goes on: so a bucket gets few rows of each task for any key.
     """
     each = -(-buckets // CHUNKS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, GATHER):
             ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int32)
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(len(ids), PLACES)
             sketch = np.zeros(len(ids), np.uint64)
@@ -461,6 +463,7 @@ def _crowds(rows: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with their class: doc_id, n, cid; links between classes: u, v)."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = stored(features(docs), "features")
     total = rows.count()
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -503,19 +506,57 @@ def _unlinked(labelled: DataFrame, rarity, buckets: int, parts: int) -> DataFram
     return pairs.unionByName(_crowds(crowd, labelled, parts)).distinct()
 
 
+def _marked(ids: DataFrame) -> np.ndarray:
+    """MARKS bits, those at the hashes of the ids set: a table of one size for any input."""
+    parts = 16
+    each = MARKS // parts
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MARKS, bool)
+        for batch in batches:
+            bits[_mark(batch.column(0).to_numpy())] = True
+        at = np.flatnonzero(bits)
+        yield _packed(at // each, parts, (at % each).astype(np.uint32)).rename_columns(["part", "at"])
+
+    def add(table: pa.Table) -> pa.Table:
+        bits = np.zeros(each, bool)
+        for at in table.column("at").to_pylist():
+            bits[np.frombuffer(at, np.uint32)] = True
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    out = np.zeros((parts, each // 8), np.uint8)
+    for part, bits in ids.mapInArrow(mark, "part int, at binary").groupBy("part").applyInArrow(add, "part int, bits binary").collect():
+        out[part] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _mark(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) % U64(MARKS)).astype(np.int64)
+
+
 def _full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, items): the sorted shingles of the classes that share a key with another class."""
-    wanted = classes.join(members, "id", "left_semi").select("id", "n", "a", "b")
+    """(id, items): the sorted shingles of the classes that share a key with another class.
+
+    Texts are not shuffled: a bit table of fixed size tells where they are which documents may be of these, and only
+    the sets of those are joined.
+    """
+    spark = docs.sparkSession
+    wanted = classes.join(members, "id", "left_semi").select("id")
+    marks = spark.sparkContext.broadcast(_marked(wanted))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marks.value
         for batch in batches:
+            at = _mark(batch.column(0).to_numpy())
+            batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
             data, offsets = utf8(batch.column(1))
             for a, b in chunks(offsets):
                 h, bounds = _sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([h[bounds[k] : bounds[k + 1]].tobytes() for k in range(b - a)], pa.binary())], ["id", "items"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted.select("id"), "id", "left_semi")
-    return texts.mapInArrow(rows, "id long, items binary").where("length(items) > 0").groupBy("id").agg(F.max("items").alias("items"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
+    sets = texts.mapInArrow(rows, "id long, items binary").where("length(items) > 0")
+    return sets.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("items").alias("items"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

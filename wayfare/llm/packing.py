@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfare.llm.tokens import encoder
+from wayfare.llm.text import gathered, small_batches
+from wayfare.llm.tokens import AT_ONCE, encoder
 from wayfare.plans.scratch import stored
 
 CAPACITY, GROUP = 2048, 200_000
@@ -29,11 +30,12 @@ CAPACITY, GROUP = 2048, 200_000
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids: documents cut to at most ``capacity`` tokens."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(vocabulary)
-        for batch in batches:
+        for batch in gathered(batches, size=AT_ONCE):
             ids, bounds = tokens.documents(batch.column(1), end_id)
             n = np.diff(bounds)
             count = -(-n // capacity)

@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfare.llm.text import small_batches
+
 KEY = b"wayfare-surrogates-1"
 _D, _L, _U = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LX, _UX = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýœ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŒ"
@@ -251,6 +253,7 @@ def replaced(text: str, key: bytes, known: dict) -> tuple[str, dict[str, int]]:
 
 def with_surrogates(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame:
     """``docs`` with entities of ``text`` replaced; adds ``pii_counts``, a map from type to number."""
+    small_batches(docs.sparkSession)
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "pii_counts"))
     place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("pii_counts", T.MapType(T.StringType(), T.IntegerType()))])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.text import NOT_SPACE, U64, Words, by_document, chunks, mix, utf8
+from wayfare.llm.text import NOT_SPACE, U64, Words, by_document, chunks, mix, small_batches, utf8
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters"]
 #: (rule, when it fails), in the order of the bits.  Every condition is SQL that Spark and others read alike.
@@ -96,6 +96,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """``doc_id``, the measurements, and ``failures``: one bit for each of RULES that the document fails."""
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_measured, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = " + ".join(f"case when {cond} then {BITS[name]} else 0 end" for name, cond in RULES)
     return rows.withColumn("failures", F.expr(f"cast({bits} as long)"))

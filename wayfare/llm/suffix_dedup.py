@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.suffixes import shared_prefix, suffix_array
-from wayfare.llm.text import _BYTE, _MUL, U64, _powers, chunks, mix, utf8
+from wayfare.llm.text import _BYTE, _MUL, U64, _powers, chunks, mix, small_batches, utf8
 
 GRAM = 20
 _SPREAD = U64(0x5851F42D4C957F2D)
@@ -386,6 +386,7 @@ def _cut(length: int):
 def dedup_substrings(docs: DataFrame, length: int = 50, crowd: int = CROWD, hot: int = HOT) -> DataFrame:
     """For each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (``crowd`` and ``hot``: see CROWD, HOT; results are the same)."""
     spark = docs.sparkSession
+    small_batches(spark)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts, shards = max(tasks, size // PART_BYTES), max(tasks, size // SHARD_BYTES)

@@ -6,10 +6,12 @@ table, finished by a mixer; equal strings hash equally in every task and at ever
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 U64 = np.uint64
 _MUL = U64(0x9E3779B97F4A7C15)
@@ -30,6 +32,36 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
+#: Rows and bytes of an Arrow batch between Spark and Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches to BATCH_ROWS and BATCH_BYTES, unless they are lower.
+
+    Spark's own, 10,000 rows and 64 MB, hold tens of megabytes of texts outside the heap of the JVM for each running task,
+    in both directions, and again in the Python worker.  The setting stays: it counts when a result is computed.
+    """
+    unit = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        number, kind = re.fullmatch(r"(-?\d+)([bkmgt]?)b?", spark.conf.get(key).lower()).groups()
+        if not 0 < int(number) * unit[kind] <= most:
+            spark.conf.set(key, str(most))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 62, size: int = 1 << 62) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about so many rows or bytes."""
+    held, n, m = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n, m = n + batch.num_rows, m + batch.nbytes
+        if n >= rows or m >= size:
+            yield pa.concat_batches(held)
+            held, n, m = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit (the murmur3 finaliser)."""
     x = x ^ (x >> U64(33))

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfare.llm.files import get, put
-from wayfare.llm.text import U64, mix
-from wayfare.llm.tokens import encoder
+from wayfare.llm.text import U64, gathered, mix, small_batches
+from wayfare.llm.tokens import AT_ONCE, encoder
 from wayfare.plans.scratch import new_path, stored
 
 MANIFEST = "part int, seq int, payload string, keys string, first_key long, last_key long, n_docs long, n_tokens long"
@@ -130,6 +130,7 @@ class Shard:
 def write_index(docs: DataFrame, folder: str, vocabulary: str, end_id: int, width: int = 2, shard_tokens: int = 8_000_000) -> DataFrame:
     """Write shards to ``folder`` and return the manifest, in order of (part, seq)."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("tie"))
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
@@ -147,7 +148,7 @@ def write_index(docs: DataFrame, folder: str, vocabulary: str, end_id: int, widt
             types = [pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], list(row))
 
-        for batch in batches:
+        for batch in gathered(batches, size=AT_ONCE):
             ids, bounds = tokens.documents(batch.column(1), end_id)
             if width == 2 and ids.max(initial=0) > 0xFFFF:
                 raise ValueError("the vocabulary needs ids of 4 bytes")

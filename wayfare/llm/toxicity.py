@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfare.llm.text import ALNUM, U64, Words, by_document, chunks, mix, utf8
+from wayfare.llm.text import ALNUM, U64, Words, by_document, chunks, mix, small_batches, utf8
 from wayfare.plans.scratch import stored
 
 #: Labelled documents of each class that the chain is fitted on, at most.
@@ -131,6 +131,7 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[D
     Only labels of documents that are there are drawn from; a repeated doc_id counts once, with the last of its texts in
     byte order.  The drawn ids are bounded by ``sample``, so they are joined by broadcast.
     """
+    small_batches(docs.sparkSession)
     names = [k for k, sql in LINKS.items() if sql.split()[-1] in labels.columns]
     there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     marks = [F.max(F.expr(LINKS[k]).cast("int")).alias(f"y{i}") for i, k in enumerate(names)]

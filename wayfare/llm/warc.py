@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.llm.files import get, open_fs
+from wayfare.llm.text import small_batches
 from wayfare.plans.scratch import new_path
 
 DATE = "2020-01-01T00:00:00Z"
@@ -97,6 +98,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, roll_bytes: int =
         if out is not None:
             yield closed()
 
+    small_batches(pages.sparkSession)
     schema = "path string, size long, records long"
     _with_originals(pages, least).mapInArrow(write, schema).write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(schema).parquet(f"{folder}/manifest")
@@ -127,6 +129,7 @@ def members(path: str, start: int, stop: int, read: int = 1 << 20) -> Iterator[b
             return
         held, at = held[k:], pos
         unpack, text, fed, ended = zlib.decompressobj(31), [], 0, False
+        begun = False  # the text so far begins like a record
         try:
             while True:
                 text.append(unpack.decompress(held[fed:]))
@@ -134,8 +137,10 @@ def members(path: str, start: int, stop: int, read: int = 1 << 20) -> Iterator[b
                 if unpack.eof:
                     ended = True
                     break
-                if sum(map(len, text)) >= 8 and not b"".join(text)[:8].startswith(b"WARC/1."):
-                    break
+                if not begun and sum(map(len, text)) >= 8:
+                    begun = b"".join(text).startswith(b"WARC/1.")
+                    if not begun:
+                        break
                 if not more():
                     break
         except zlib.error:
