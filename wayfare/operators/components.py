@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from wayfare.plans.scratch import stored
 
 
+#: Rows of a round for each file, at least.
+ROWS_A_FILE = 250_000
+
+
+def few(df: DataFrame, files: int) -> DataFrame:
+    """``df`` in no more than so many partitions: tables that are known to be small are not written as many small files."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(files) if files < parts else df
+
+
 def _stars(both: DataFrame, keep: Column) -> DataFrame:
     """Each node u hangs those neighbours that ``keep`` names, and itself, on the least of its neighbours and itself."""
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -32,11 +42,12 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 6
     """
     clean = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u is not null and v is not null")
     clean = stored(clean.distinct(), "edges")
+    files = clean.count() // ROWS_A_FILE + 1  # rounds have no more rows
     now = clean.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     mark = F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
     seen = None
     for _ in range(max_rounds):
-        now = stored(_round(now), "stars")
+        now = stored(few(_round(now), files), "stars")
         state = now.agg(F.count("*"), mark).first()
         if state == seen or not state[0]:
             break

@@ -43,11 +43,15 @@ def line_lengths(vertices: DataFrame) -> DataFrame:
 def graph_from_polylines(vertices: DataFrame, snap: float = 12.0) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of lines: ends of their segments within ``snap`` (in steps) are one node, at the mean of them all.
 
-    An edge's length is that of its segment before snapping.  Segments and their ends are numbered by line and place.
+    An edge's length is that of its segment (x1, y1, x2, y2) before snapping.  Segments and their ends are numbered by
+    line and place.
     """
     segs = edges_of_lines(vertices)
-    number = F.row_number().over(Window.partitionBy("plan_id").orderBy("pl_id", "seq"))
-    segs = segs.withColumn("eid", F.col("plan_id") * (1 << 40) + number)
+    size = segs.groupBy("plan_id", "pl_id").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("plan_id").orderBy("pl_id").rowsBetween(Window.unboundedPreceding, -1))  # a row a line
+    place = F.row_number().over(Window.partitionBy("plan_id", "pl_id").orderBy("seq"))
+    segs = segs.withColumn("place", place).join(size.select("plan_id", "pl_id", F.coalesce(before, F.lit(0)).alias("before")), ["plan_id", "pl_id"])
+    segs = segs.withColumn("eid", F.col("plan_id") * (1 << 40) + F.col("before") + F.col("place")).drop("before", "place")
     two = F.array(F.struct(F.lit(0).alias("side"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.lit(1).alias("side"), F.col("x2").alias("x"), F.col("y2").alias("y")))
     segs = stored(segs, "segments")
     tips = segs.select("plan_id", "eid", F.explode(two).alias("t")).select("plan_id", "eid", "t.*", (F.col("eid") * 2 + F.col("t.side")).alias("pid"))
@@ -55,7 +59,7 @@ def graph_from_polylines(vertices: DataFrame, snap: float = 12.0) -> tuple[DataF
     nodes = found.groupBy("plan_id", F.col("cluster").alias("id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     pairs = found.groupBy("plan_id", "eid").agg(F.max(F.when(F.col("side") == 0, F.col("cluster"))).alias("u"), F.max(F.when(F.col("side") == 1, F.col("cluster"))).alias("v"))
     length = F.hypot((F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double"))
-    return nodes, pairs.join(segs.select("eid", length.alias("length")), "eid").select("plan_id", "eid", "u", "v", "length")
+    return nodes, pairs.join(segs.select("eid", length.alias("length"), "x1", "y1", "x2", "y2"), "eid").select("plan_id", "eid", "u", "v", "length", "x1", "y1", "x2", "y2")
 
 
 def prune_spurs(edges: DataFrame, least: float, rounds: int = 3) -> DataFrame:
@@ -187,11 +191,12 @@ def cell_polylines(cells: DataFrame) -> DataFrame:
     return lines.select("plan_id", F.col("eid").alias("chain"), F.col("n_edges").alias("n_links"), "length", (F.col("u") == F.col("v")).alias("closed"))
 
 
-def ordered_chains(edges: DataFrame) -> DataFrame:
-    """The nodes of each chain in order: plan_id, chain, rank, node.  Chains begin at their lesser end; closed ones at it too.
+def ordered_edges(edges: DataFrame) -> DataFrame:
+    """The edges of each chain in order: plan_id, chain, rank, eid, a, b, d (1: the edge is walked from v to u).
 
-    Each edge is taken in both directions; a direction goes on with the other edge at an inner node.  Both directions
-    of a chain are lists, of which the one from the lesser end is kept, and ranked by pointer doubling.
+    Chains begin at their lesser end; closed ones at it too.  Each edge is taken in both directions; a direction goes on
+    with the other edge at an inner node.  Both directions of a chain are lists, of which the one from the lesser end is
+    kept, and ranked by pointer doubling.
     """
     rows = stored(chains(edges), "chains")
     whole = stored(contract(edges), "whole")
@@ -205,9 +210,28 @@ def ordered_chains(edges: DataFrame) -> DataFrame:
     ranks = ranked_chains(links) if not links.isEmpty() else links.select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("rank"))
     placed = darts.join(ranks, "id", "left").withColumn("head", F.coalesce("head", "id")).withColumn("rank", F.coalesce("rank", F.lit(0)))
     first = placed.where("rank = 0 and a = tip").groupBy("chain").agg(F.min("head").alias("head"))
-    kept = placed.join(first, ["chain", "head"], "left_semi")
-    start = kept.where("rank = 0").select("plan_id", "chain", F.lit(0).cast("long").alias("rank"), F.col("a").alias("node"))
-    return start.unionByName(kept.select("plan_id", "chain", (F.col("rank") + 1).alias("rank"), F.col("b").alias("node")))
+    return stored(placed.join(first, ["chain", "head"], "left_semi").select("plan_id", "chain", "rank", "eid", "a", "b", "d"), "ordered")
+
+
+def _nodes_in_order(order: DataFrame) -> DataFrame:
+    start = order.where("rank = 0").select("plan_id", "chain", F.lit(0).cast("long").alias("rank"), F.col("a").alias("node"))
+    return start.unionByName(order.select("plan_id", "chain", (F.col("rank") + 1).alias("rank"), F.col("b").alias("node")))
+
+
+def ordered_chains(edges: DataFrame) -> DataFrame:
+    """The nodes of each chain in order: plan_id, chain, rank, node.  Chains begin at their lesser end; closed ones at it too."""
+    return _nodes_in_order(ordered_edges(edges))
+
+
+def chain_points(edges: DataFrame) -> DataFrame:
+    """The points of each chain's segments in order: plan_id, chain, rank, x, y; ``edges`` with x1, y1, x2, y2 as from lines.
+
+    A chain's first segment gives both its ends, the others their second.
+    """
+    order = ordered_edges(edges).join(edges.select("eid", "x1", "y1", "x2", "y2"), "eid")
+    end = lambda k: F.struct(*(F.when(F.col("d") == (k == 2), F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(c) for c in "xy"))
+    first = order.where("rank = 0").select("plan_id", "chain", F.lit(0).cast("long").alias("rank"), end(1).alias("p"))
+    return first.unionByName(order.select("plan_id", "chain", F.col("rank") + 1, end(2).alias("p"))).select("plan_id", "chain", "rank", "p.*")
 
 
 def contours(mask: DataFrame) -> DataFrame:
@@ -221,7 +245,7 @@ def contours(mask: DataFrame) -> DataFrame:
     out = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("dx", "dy", "ax", "ay", "bx", "by", "d"), row))) for row in ((0, -1, 0, 0, 1, 0, 0), (1, 0, 1, 0, 1, 1, 1), (0, 1, 1, 1, 0, 1, 2), (-1, 0, 0, 1, 0, 0, 3))))
     sides = m.select("plan_id", "x", "y", F.explode(out).alias("s")).select("plan_id", F.col("x").alias("cell_x"), F.col("y").alias("cell_y"), (F.col("x") + F.col("s.dx")).alias("nx"), (F.col("y") + F.col("s.dy")).alias("ny"), (F.col("x") + F.col("s.ax")).alias("ax"), (F.col("y") + F.col("s.ay")).alias("ay"), (F.col("x") + F.col("s.bx")).alias("bx"), (F.col("y") + F.col("s.by")).alias("by"), F.col("s.d").alias("d"))
     sides = sides.join(m.select("plan_id", F.col("x").alias("nx"), F.col("y").alias("ny")), ["plan_id", "nx", "ny"], "left_anti").drop("nx", "ny")
-    number = F.shiftleft(F.col("plan_id"), 50) + F.shiftleft(F.col("ay"), 26) + F.shiftleft(F.col("ax"), 2) + F.col("d")
+    number = F.shiftleft(F.col("plan_id"), 44) + F.shiftleft(F.col("ay"), 23) + F.shiftleft(F.col("ax"), 2) + F.col("d")
     sides = stored(sides.withColumn("id", number), "sides")
     onto = sides.select("plan_id", F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("id").alias("next"), F.col("d").alias("d2"))
     # of two ways on, the one to the left keeps cells that meet by a corner together
@@ -234,6 +258,54 @@ def contours(mask: DataFrame) -> DataFrame:
     return rows.drop("cross").join(area.select("contour", (F.col("area2") < 0).alias("hole")), "contour")
 
 
+def line_tips(vertices: DataFrame) -> DataFrame:
+    """Both ends of lines of two or more points: plan_id, pl_id, tid, x, y, and (dx, dy), the line's direction there.
+
+    ``tid`` is twice the line's number (plan_id * 2^32 + its place among the plan's lines), plus 1 at its last point.
+    """
+    at = lambda order, k: F.get(F.slice(order, 1, 2), F.lit(k))
+    points = F.array_sort(F.collect_list(F.struct("seq", "x", "y")))
+    lines = vertices.groupBy("plan_id", "pl_id").agg(points.alias("p")).where("size(p) > 1")
+    number = F.row_number().over(Window.partitionBy("plan_id").orderBy("pl_id"))  # a row a line
+    ends = lines.select("plan_id", "pl_id", at(F.col("p"), 0).alias("p0"), at(F.col("p"), 1).alias("p1"), F.get("p", F.size("p") - 2).alias("q1"), F.get("p", F.size("p") - 1).alias("q0"))
+    ends = ends.withColumn("line", F.col("plan_id") * (1 << 32) + number)
+    tip = lambda w, here, a, b: F.struct((F.col("line") * 2 + w).alias("tid"), here["x"].alias("x"), here["y"].alias("y"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy"))
+    c = F.col
+    both = F.array(tip(0, c("p0"), c("p0"), c("p1")), tip(1, c("q0"), c("q1"), c("q0")))
+    return ends.select("plan_id", "pl_id", F.explode(both).alias("t")).select("plan_id", "pl_id", "t.*")
+
+
+def stitched(vertices: DataFrame, free: DataFrame | None, most: float = 18.0, angle: float = 30.0, ds: int = 3, rounds: int = 4) -> DataFrame:
+    """Lines (plan_id, pl_id, seq, x, y) with ends joined that ``stitch_pairs`` allows, nearest pairs first, in up to ``rounds`` rounds.
+
+    A round may join a line at both of its ends.  Joined lines are chains of tips, by their own edges and those between
+    joined tips, which are ordered by list ranking; a line that is walked from its last point comes reversed.  A new
+    line is named by its first line's least pl_id; rings begin at their least tip.  Points are numbered from 0.
+    """
+    for _ in range(rounds):
+        vertices = stored(vertices.select("plan_id", "pl_id", "seq", "x", "y"), "lines")
+        tips = stored(line_tips(vertices), "tips")
+        pairs = stored(mutual_pairs(stitch_pairs(tips, free, most, angle, ds)), "joins")
+        if pairs.isEmpty():
+            break
+        line = F.floor(F.col("tid") / 2).cast("long")
+        names = stored(tips.where("tid % 2 = 0").select("plan_id", "pl_id", line.alias("line")), "names")
+        met = pairs.select(F.explode(F.array("a", "b")).alias("tid")).select(line.alias("line")).distinct()
+        own = names.join(met, "line", "left_semi").select("plan_id", (F.col("line") * 4).alias("eid"), (F.col("line") * 2).alias("u"), (F.col("line") * 2 + 1).alias("v"), F.lit(1.0).alias("length"))
+        joins = pairs.select("plan_id", (F.col("a") * 2 + 1).alias("eid"), F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1.0).alias("length"))
+        order = ordered_edges(own.unionByName(joins)).where("eid % 4 = 0")
+        order = order.select("plan_id", F.floor(F.col("chain") / 4).cast("long").alias("chain"), "rank", F.floor(F.col("eid") / 4).cast("long").alias("line"), "d")
+        size = vertices.groupBy("plan_id", "pl_id").agg(F.count("*").alias("n"))
+        order = order.join(names, ["plan_id", "line"]).join(size, ["plan_id", "pl_id"])
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("plan_id", "chain").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        named = order.withColumn("before", before).join(names.select("plan_id", F.col("line").alias("chain"), F.col("pl_id").alias("name")), ["plan_id", "chain"])
+        dense = vertices.withColumn("k", F.row_number().over(Window.partitionBy("plan_id", "pl_id").orderBy("seq")) - 1)
+        placed = dense.join(named.select("plan_id", "pl_id", "name", "before", "n", "d"), ["plan_id", "pl_id"], "left")
+        seq = F.coalesce("before", F.lit(0)) + F.when(F.col("d") == 1, F.col("n") - 1 - F.col("k")).otherwise(F.col("k"))
+        vertices = placed.select("plan_id", F.coalesce("name", "pl_id").alias("pl_id"), seq.cast("long").alias("seq"), "x", "y")
+    return vertices
+
+
 def stitch_pairs(tips: DataFrame, free: DataFrame | None, most: float = 18.0, angle: float = 30.0, ds: int = 3) -> DataFrame:
     """Pairs of line ends that may be joined: of different lines, near, both lines pointing along the gap, the gap free.
 
@@ -266,7 +338,7 @@ def mutual_pairs(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
     """
     left, out, done = stored(pairs, "pairs"), None, 0
     while not left.isEmpty():
-        if done == rounds:
+        if rounds is not None and done == rounds:
             raise RuntimeError(f"pairs did not settle in {rounds} rounds")
         key = F.struct("d2", "a", "b")
         both = left.select("plan_id", "a", "b", "d2", F.explode(F.array("a", "b")).alias("end"))

@@ -196,11 +196,13 @@ def side_by_side(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
 
 # -- components ---------------------------------------------------------------------------------------------------
 
-_BITS = 24
+#: Cells are numbered below 2^20 on each axis, plans below 2^PLAN_BITS, so that numbers of cells, of edges between them and of
+#: an edge's directions fit in 63 bits.
+_BITS, PLAN_BITS = 20, 20
 
 
 def cell_id(x: Column | str = "x", y: Column | str = "y") -> Column:
-    """A number for a cell of a plan: by plan (below 2^15), then y, then x (below 2^24)."""
+    """A number for a cell of a plan: by plan, then y, then x."""
     return F.shiftleft(F.col("plan_id"), 2 * _BITS) + F.shiftleft(g.col(y).cast("long"), _BITS) + g.col(x).cast("long")
 
 
@@ -240,20 +242,41 @@ def touching_components(mask: DataFrame, marks: DataFrame, least: int) -> DataFr
 # -- drawing --------------------------------------------------------------------------------------------------------
 
 
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """Runs of cells (plan_id, y, x1, x2) of each row joined where they overlap or follow on each other, so that none share a cell."""
+    row = Window.partitionBy("plan_id", "y").orderBy("x1", "x2")
+    reach = F.max("x2").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    new = runs.select("plan_id", "y", "x1", "x2", F.coalesce(F.col("x1") > reach + 1, F.lit(True)).cast("int").alias("new"))
+    part = new.withColumn("part", F.sum("new").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    return part.groupBy("plan_id", "y", "part").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2")).drop("part")
+
+
+def polygon_runs(units: DataFrame, ds: int, extent: Extent) -> DataFrame:
+    """The cells of all polygons as runs (plan_id, y, x1, x2) that share no cell; see ``fill_polygons``.
+
+    Edges give a crossing for each row that they pass, and a polygon's crossings of a row are paired; nothing is sent
+    by cells but the sides that are not level.
+    """
+    small = units.where(F.size("ring") >= 3).select("plan_id", F.transform("ring", lambda p: F.struct(F.floor(p["x"] / ds).alias("x"), F.floor(p["y"] / ds).alias("y"))).alias("ring"))
+    small = stored(small.withColumn("own", F.monotonically_increasing_id()), "rings")
+    lines = small.select("plan_id", "own", F.explode(g.edges("ring")).alias("e")).select("plan_id", "own", "e.*")
+    level = lines.where("y1 = y2").select("plan_id", F.col("y1").alias("y"), F.least("x1", "x2").alias("x1"), F.greatest("x1", "x2").alias("x2"))
+    steep = lines.where("y1 <> y2")
+    sides = steep.select("plan_id", F.explode(line_cells(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).alias("c")).select("plan_id", "c.y", F.col("c.x").alias("x1"), F.col("c.x").alias("x2"))
+    # where a row's middle line crosses edges, each with its lower end but not its upper
+    rows = steep.withColumn("y", F.explode(F.sequence(F.least("y1", "y2"), F.greatest("y1", "y2") - 1)))
+    at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    crossed = rows.groupBy("plan_id", "own", "y").agg(F.array_sort(F.collect_list(at)).alias("c"))
+    spans = crossed.select("plan_id", "y", F.explode(F.sequence(F.lit(0), F.size("c") - 2, F.lit(2))).alias("k"), "c")
+    inner = spans.select("plan_id", "y", F.ceil(F.get("c", F.col("k"))).alias("x1"), F.floor(F.get("c", F.col("k") + 1)).alias("x2")).where("x1 <= x2")
+    every = inner.unionByName(level).unionByName(sides).where(F.col("y").between(0, extent[1] - 1))
+    cut = every.select("plan_id", "y", F.greatest("x1", F.lit(0).cast("long")).alias("x1"), F.least("x2", F.lit(extent[0] - 1).cast("long")).alias("x2"))
+    return merged_runs(cut.where("x1 <= x2"))
+
+
 def fill_polygons(units: DataFrame, ds: int, extent: Extent) -> DataFrame:
     """The cells of all polygons, boundary included; coordinates are cut to cells first.  ``units`` have plan_id, ring."""
-    small = units.where(F.size("ring") >= 3).select("plan_id", F.transform("ring", lambda p: F.struct(F.floor(p["x"] / ds).alias("x"), F.floor(p["y"] / ds).alias("y"))).alias("ring"))
-    lines = small.select("plan_id", F.explode(g.edges("ring")).alias("e"))
-    sides = lines.select("plan_id", F.explode(line_cells(F.col("e.x1"), F.col("e.y1"), F.col("e.x2"), F.col("e.y2"))).alias("c")).select("plan_id", "c.x", "c.y")
-    ys = F.transform("ring", lambda p: p["y"])
-    rows = small.select("plan_id", "ring", F.explode(F.sequence(F.array_min(ys), F.array_max(ys))).alias("y"))
-    # where the row's middle line crosses edges, each with its lower end but not its upper
-    crossing = F.transform(F.filter(g.edges("ring"), lambda e: (e["y1"] > F.col("y")) != (e["y2"] > F.col("y"))), lambda e: e["x1"] + (F.col("y") - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"]))
-    spans = rows.select("plan_id", "y", F.array_sort(crossing).alias("c")).where("size(c) >= 2")
-    spans = spans.select("plan_id", "y", F.explode(F.sequence(F.lit(0), F.size("c") - 2, F.lit(2))).alias("k"), "c")
-    spans = spans.select("plan_id", "y", F.ceil(F.get("c", F.col("k"))).alias("a"), F.floor(F.get("c", F.col("k") + 1)).alias("b")).where("a <= b")
-    inner = spans.select("plan_id", F.explode(F.sequence("a", "b")).alias("x"), "y")
-    return inner.union(sides).where(_inside(F.col("x"), F.col("y"), extent)).distinct()
+    return polygon_runs(units, ds, extent).select("plan_id", F.explode(F.sequence("x1", "x2")).alias("x"), "y")
 
 
 def exit_discs(exits: DataFrame, ds: int, extent: Extent, radius: int = 12) -> DataFrame:
@@ -312,6 +335,13 @@ def skeleton(mask: DataFrame, extent: Extent, most: int | None = None) -> DataFr
     return now if out is None else out.distinct()
 
 
+def bridged(skeleton_cells: DataFrame, gap: int, extent: Extent) -> DataFrame:
+    """A skeleton with breaks of up to twice ``gap`` cells closed, and thinned again; as it is with ``gap`` 0."""
+    if gap <= 0:
+        return skeleton_cells.select(*CELL)
+    return skeleton(closed(skeleton_cells, rect(2 * gap + 1), extent), extent)
+
+
 def skeleton_points(cells: DataFrame, ds: int) -> DataFrame:
     """The middles of cells in full size."""
     return cells.select("plan_id", ((F.col("x") + 0.5) * ds).alias("x"), ((F.col("y") + 0.5) * ds).alias("y"))
@@ -380,13 +410,31 @@ def canny(image: DataFrame, extent: Extent, low: float = 60.0, high: float = 160
     return touching_components(ridge, ridge.where(F.col("m") > high), 1)
 
 
+def numbered_images(img: DataFrame) -> DataFrame:
+    """Images with ``plan_id``: their places (``origin``) in order, numbered from 1 without gaps, so that no two share one.
+
+    Places are sorted over all tasks, and counted by task first; more than 2^PLAN_BITS images are an error, since cells'
+    numbers would not be unique.
+    """
+    spark = img.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    places = stored(img.select("origin").distinct().repartitionByRange(parts, "origin").withColumn("part", F.spark_partition_id()), "places")
+    size = places.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a task
+    place = F.row_number().over(Window.partitionBy("part").orderBy("origin"))
+    numbers = places.withColumn("place", place).join(size.select("part", before.alias("before")), "part").select("origin", (F.col("before") + F.col("place")).cast("long").alias("plan_id"))
+    if places.count() >= 1 << PLAN_BITS:
+        raise ValueError(f"more than {1 << PLAN_BITS} images in one table")
+    return img.join(numbers, "origin")
+
+
 def image_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels of the images under a path: plan_id (hash of the file's place), x, y, b, g, r, gray and h, s, v.
+    """Pixels of the images under a path: plan_id (see ``numbered_images``), x, y, b, g, r, gray and h, s, v.
 
     Undecodable files are left out.  Images are spread by rows of pixels, which stay in the JVM.
     """
     img = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").where("nChannels >= 3 or nChannels = 1")
-    rows = img.select(F.pmod(F.xxhash64("origin"), F.lit(1 << 15)).alias("plan_id"), "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+    rows = numbered_images(img).select("plan_id", "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
     line = rows.select("plan_id", "y", "width", "nChannels", F.substring("data", F.col("y") * F.col("width") * F.col("nChannels") + 1, F.col("width") * F.col("nChannels")).alias("line"))
     cells = line.select("plan_id", "y", "nChannels", "line", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
     byte = lambda k: F.conv(F.hex(F.substring("line", F.col("x") * F.col("nChannels") + F.least(F.lit(k + 1), F.col("nChannels")), F.lit(1))), 16, 10).cast("int")

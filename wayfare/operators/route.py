@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.operators.graph import degrees, shortest_paths
@@ -312,11 +313,23 @@ def route(edges: DataFrame) -> DataFrame:
     return rows.groupBy("plan_id").applyInPandas(walk, "plan_id long, step long, eid long, a long, b long, length double, again boolean")
 
 
-def route_lines(steps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The route's points in order, straight from node to node: plan_id, seq, x, y."""
-    first = steps.where("step = 0").select("plan_id", F.lit(0).cast("long").alias("seq"), F.col("a").alias("id"))
-    rest = steps.select("plan_id", (F.col("step") + 1).alias("seq"), F.col("b").alias("id"))
-    return first.unionByName(rest).join(nodes.select("id", "x", "y"), "id").select("plan_id", "seq", "x", "y")
+def route_lines(steps: DataFrame, nodes: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """The route's points in order: plan_id, seq, x, y; straight from node to node, or along ``points``.
+
+    ``points`` (plan_id, chain, rank, x, y) are those of the contracted edges, from their lesser end on; a step from the
+    other end takes them backwards.  A step's first point is left out where it is the last one of the step before.
+    """
+    if points is None:
+        first = steps.where("step = 0").select("plan_id", F.lit(0).cast("long").alias("seq"), F.col("a").alias("id"))
+        rest = steps.select("plan_id", (F.col("step") + 1).alias("seq"), F.col("b").alias("id"))
+        return first.unionByName(rest).join(nodes.select("id", "x", "y"), "id").select("plan_id", "seq", "x", "y")
+    along = steps.select("plan_id", "step", F.col("eid").alias("chain"), (F.col("a") > F.col("b")).alias("back")).join(points, ["plan_id", "chain"])
+    along = along.withColumn("k", F.when(F.col("back"), -F.col("rank")).otherwise(F.col("rank")))
+    walk = Window.partitionBy("plan_id").orderBy("step", "k")  # a route is one walk by nature
+    last = F.struct(F.lag("x").over(walk).alias("x"), F.lag("y").over(walk).alias("y"))
+    again = (F.lag("step").over(walk) < F.col("step")) & (last == F.struct("x", "y"))
+    kept = along.withColumn("again", F.coalesce(again, F.lit(False))).where("not again")
+    return kept.select("plan_id", (F.row_number().over(walk) - 1).cast("long").alias("seq"), "x", "y")
 
 
 def simplified(lines: DataFrame, eps: float) -> DataFrame:
@@ -333,23 +346,21 @@ def simplified(lines: DataFrame, eps: float) -> DataFrame:
     @pandas_udf(kind)
     def simple(points: pd.Series) -> pd.Series:
         def one(line):
-            pts = [(p["x"], p["y"]) for p in line]
-            keep, stack = {0, len(pts) - 1}, [(0, len(pts) - 1)]
+            p = np.array([(v["x"], v["y"]) for v in line], float)
+            keep, stack = [0, len(p) - 1], [(0, len(p) - 1)]
             while stack:
                 a, b = stack.pop()
-                (ax, ay), (bx, by) = pts[a], pts[b]
-                size = (bx - ax) ** 2 + (by - ay) ** 2
-                far, at = -1.0, None
-                for k in range(a + 1, b):
-                    x, y = pts[k]
-                    t = 0.0 if size == 0 else max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / size))
-                    d = (ax + t * (bx - ax) - x) ** 2 + (ay + t * (by - ay) - y) ** 2
-                    if d > far:
-                        far, at = d, k
-                if at is not None and far > eps * eps:
-                    keep.add(at)
-                    stack += [(a, at), (at, b)]
-            return [{"x": pts[k][0], "y": pts[k][1]} for k in sorted(keep)]
+                if b - a < 2:
+                    continue
+                way, own = p[b] - p[a], p[a + 1 : b] - p[a]
+                size = way @ way
+                t = np.clip(own @ way / size, 0, 1) if size else np.zeros(len(own))
+                d = ((t[:, None] * way - own) ** 2).sum(1)
+                at = int(d.argmax())
+                if d[at] > eps * eps:
+                    keep.append(a + 1 + at)
+                    stack += [(a, a + 1 + at), (a + 1 + at, b)]
+            return [line[k] for k in sorted(keep)]
 
         return points.map(lambda line: line if line is None or len(line) < 3 else one(line))
 

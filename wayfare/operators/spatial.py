@@ -153,11 +153,23 @@ def to_cell(v: Column | str, downscale: int) -> Column:
     return F.rint(g.col(v) / downscale).cast("long")
 
 
+def tiles(cells: DataFrame, *keys: str) -> DataFrame:
+    """Cells (keys, x, y) as 8 x 8 tiles: keys, tx, ty and ``bits``, one for each cell."""
+    bit = F.expr("shiftleft(1L, cast((y & 7) * 8 + (x & 7) as int))")
+    own = cells.select(*keys, F.shiftright("x", 3).alias("tx"), F.shiftright("y", 3).alias("ty"), bit.alias("bit"))
+    return own.groupBy(*keys, "tx", "ty").agg(F.bit_or("bit").alias("bits"))
+
+
 def segments_free(segments: DataFrame, free: DataFrame, downscale: int = 1, key: str = "sid") -> DataFrame:
-    """``segments`` (x1, y1, x2, y2 in full size) with ``is_free``: all cells of the line are in the mask ``free``."""
+    """``segments`` (x1, y1, x2, y2 in full size) with ``is_free``: all cells of the line are in the mask ``free``.
+
+    Lines and mask meet by tiles of 64 cells, one bit a cell.
+    """
     line = line_cells(*(to_cell(c, downscale) for c in ("x1", "y1", "x2", "y2")))
-    cells = segments.select("plan_id", key, F.explode(line).alias("c")).select("plan_id", key, "c.x", "c.y")
-    blocked = cells.join(free.select("plan_id", "x", "y"), ["plan_id", "x", "y"], "left_anti").select("plan_id", key).distinct().withColumn("blocked", F.lit(True))
+    own = tiles(segments.select("plan_id", key, F.explode(line).alias("c")).select("plan_id", key, "c.x", "c.y"), "plan_id", key)
+    have = tiles(free.select("plan_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")), "plan_id").withColumnRenamed("bits", "have")
+    lacks = own.join(have, ["plan_id", "tx", "ty"], "left").where("(bits & ~coalesce(have, 0L)) <> 0")
+    blocked = lacks.select("plan_id", key).distinct().withColumn("blocked", F.lit(True))
     return segments.join(blocked, ["plan_id", key], "left").withColumn("is_free", F.col("blocked").isNull()).drop("blocked")
 
 

@@ -456,9 +456,9 @@ part as (select id % 100 as x, id // 100 as y, min(seen) as label from flood gro
 
 @query(f"{_HSV}, {_flood('hsv', True)} select x, y, label % 100 as label_x, label // 100 as label_y from part")
 def cell_components(spark, d):
-    low = F.lit((1 << 24) - 1)
+    low = F.lit((1 << 20) - 1)
     rows = raster.cell_components(raster.hsv_mask(pixels(spark, d)))
-    return rows.select("x", "y", F.col("label").bitwiseAND(low).alias("label_x"), F.shiftright("label", 24).bitwiseAND(low).alias("label_y"))
+    return rows.select("x", "y", F.col("label").bitwiseAND(low).alias("label_x"), F.shiftright("label", 20).bitwiseAND(low).alias("label_y"))
 
 
 @query(f"{_SIZE}, {_HSV}, {_flood('hsv', False)} select x, y from part where label not in (select label from part cross join size where x in (0, 99) or y in (0, hh - 1))")

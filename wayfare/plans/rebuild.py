@@ -21,15 +21,23 @@ def rebuild(
     exit_radius: int = 12,
     min_comp_area: int = 800,
     close_px: int = 4,
+    bridge_px: int = 8,
+    stitch_dist: float = 18.0,
+    stitch_angle: float = 30.0,
+    stitch_rounds: int = 4,
     simplify_eps: float = 1.2,
     snap: float = 12.0,
     prune_spurs: float = 0.0,
     connect: str = "shortest",
+    candidates: int = 1000,
+    style: str = "straight",
 ) -> dict[str, DataFrame]:
     """The stages' tables by name, from ``units`` (plan_id, block, unit, uid, ring) and text ``boxes``.
 
-    ``connect``: "shortest" joins the network's components by straight edges, "none" keeps the largest alone.  Plans
-    without free space have units and exits, but no lines and no route.
+    ``connect``: "shortest" joins the network's components by straight edges, "none" keeps the largest alone.  An exit's
+    connector is the first free one of its ``candidates`` nearest points.  ``style``: the route's line runs along the
+    corridors' lines ("geom") or straight from node to node ("straight").  Plans without free space have units and
+    exits, but no lines and no route.
     """
     c = g.centroid("ring")
     named = relational.match_text(units, boxes) if boxes is not None else units.withColumn("best_text", F.lit(""))
@@ -42,11 +50,15 @@ def rebuild(
     small = (extent[0] // downscale, extent[1] // downscale)
     free = raster.free_mask(named, exits, extent, downscale, clearance, near_px, exit_radius, min_comp_area)
     free = stored(raster.closed(free, raster.ellipse(max(1, round(close_px / downscale))), small), "free")
-    cells = stored(raster.skeleton(free, small), "skeleton").withColumn("id", raster.cell_id())
+    thin = stored(raster.skeleton(free, small), "skeleton")
+    thin = stored(raster.bridged(thin, max(1, round(bridge_px / downscale)) if bridge_px > 0 else 0, small), "bridged")
+    cells = thin.withColumn("id", raster.cell_id())
     centre = stored(cells.select("plan_id", F.col("id").alias("tid"), ((F.col("x") + 0.5) * downscale).alias("x"), ((F.col("y") + 0.5) * downscale).alias("y")), "centre")
-    connectors = spatial.connect_exits(exits.withColumnRenamed("uid", "eid"), centre, free, downscale)
+    connectors = spatial.connect_exits(exits.withColumnRenamed("uid", "eid"), centre, free, downscale, candidates)
     chain = graph.ordered_chains(graph.cell_neighbours(cells))
-    lines = chain.join(centre.withColumnRenamed("tid", "node"), ["plan_id", "node"]).groupBy("plan_id", F.col("chain").alias("pl_id"))
+    dots = chain.join(centre.withColumnRenamed("tid", "node"), ["plan_id", "node"]).select("plan_id", F.col("chain").alias("pl_id"), F.col("rank").alias("seq"), "x", "y")
+    joined = stored(graph.stitched(dots, free, stitch_dist, stitch_angle, downscale, stitch_rounds), "stitched")
+    lines = joined.withColumnRenamed("seq", "rank").groupBy("plan_id", "pl_id")
     lines = lines.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
     simple = route.simplified(lines, simplify_eps)
     vertices = stored(simple.select("plan_id", "pl_id", F.posexplode("points").alias("seq", "p")).select("plan_id", "pl_id", "seq", "p.x", "p.y"), "polylines")
@@ -56,10 +68,12 @@ def rebuild(
     if connect == "none":
         edges = stored(graph.largest_component(nodes, edges), "largest")
     else:
-        new = graph.bridges(nodes, edges).withColumn("eid", -(F.col("u") * 1_000_003 + F.col("v")))
+        new = graph.bridges(nodes, edges).withColumn("eid", -F.col("u") - 1)  # a component's only bridge begins at a node of its own
+        at = lambda k: nodes.select(F.col("id").alias("u" if k == 1 else "v"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+        new = new.join(at(1), "u").join(at(2), "v")
         edges = stored(edges.unionByName(new.select(*edges.columns)), "joined")
     lean = graph.contract(edges).select("plan_id", "eid", "u", "v", "length")
     steps = stored(route.route(lean), "route")
-    line = route.route_lines(steps, nodes)
+    line = route.route_lines(steps, nodes, graph.chain_points(edges) if style == "geom" else None)
     whole = bundle(named, exits.join(named.select("plan_id", "uid", "block", "unit"), ["plan_id", "uid"]), vertices, line, version)
     return {"units": named, "exits": exits, "free": free, "centreline": centre, "connectors": connectors, "polylines": vertices, "nodes": nodes, "edges": edges, "route": steps, "line": line, "bundle": whole}
