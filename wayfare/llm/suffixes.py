@@ -28,31 +28,39 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 def _ranks(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For sorted values: rank within equal ones, the first place of each value, and how many there are."""
-    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    count = np.diff(np.append(first, len(c)))
-    return np.arange(len(c)) - np.repeat(first, count), first, count
+    cut = (c[1:] != c[:-1]).nonzero()[0]
+    first = np.zeros(len(cut) + 1, np.int64)
+    np.add(cut, 1, out=first[1:])
+    count = np.empty_like(first)
+    np.subtract(first[1:], first[:-1], out=count[:-1])
+    count[-1] = len(c) - first[-1]
+    return np.arange(len(c)) - first.repeat(count), first, count
 
 
 def _induce(t: np.ndarray, s: np.ndarray, edges: np.ndarray, sa: np.ndarray) -> None:
-    """Sort L suffixes from the left, then S suffixes from the right; ``edges``: where the bucket of each symbol begins."""
+    """Sort L suffixes from the left, then S suffixes from the right; ``edges``: where the bucket of each symbol begins.
+
+    Empty places of ``sa`` are 0, which has no suffix before it; the one before it wraps to the last suffix, and neither
+    pass may take that.
+    """
     n, i, block = len(t), 0, 4096
-    head = edges[:-1].copy()
+    head, larger = edges[:-1].copy(), ~s
     while i < n:
         e = min(i + block, n)
         j = sa[i:e] - 1
-        at = np.flatnonzero((j >= 0) & ~s[np.maximum(j, 0)])
+        at = larger[j].nonzero()[0]
         whole = True
         if len(at):
             j = j[at]
-            order = np.argsort(t[j], kind="stable")
-            j, at = j[order], at[order]
+            order = t[j].argsort(kind="stable")
+            j = j[order]
             c = t[j]
             rank, first, count = _ranks(c)
             to = head[c] + rank
             low = int(to.min())
             if low < e:
                 whole, e = False, low
-                good = at < low - i
+                good = (at[order] < low - i).nonzero()[0]
                 j, to, c = j[good], to[good], c[good]
                 if len(c):
                     _, first, count = _ranks(c)
@@ -61,24 +69,26 @@ def _induce(t: np.ndarray, s: np.ndarray, edges: np.ndarray, sa: np.ndarray) ->
                 head[c[first]] += count
         block = min(block * 2, 1 << 18) if whole else max(64, 2 * (e - i))
         i = e
-    sa[1:][s[np.maximum(sa[1:], 0)] & (sa[1:] >= 0)] = -1  # the seeds: they are placed anew
+    sa[1:][s[sa[1:]]] = 0  # the seeds: they are placed anew
     tail, e, block = edges[1:] - 1, n, 4096
+    smaller = s.copy()
+    smaller[-1] = False
     while e > 0:
         i = max(e - block, 0)
         j = sa[i:e][::-1] - 1
-        at = np.flatnonzero((j >= 0) & s[np.maximum(j, 0)])
+        at = smaller[j].nonzero()[0]
         whole = True
         if len(at):
             j = j[at]
-            order = np.argsort(t[j], kind="stable")
-            j, at = j[order], at[order]
+            order = t[j].argsort(kind="stable")
+            j = j[order]
             c = t[j]
             rank, first, count = _ranks(c)
             to = tail[c] - rank
             high = int(to.max())
             if high >= i:
                 whole, i = False, high + 1
-                good = at < e - i
+                good = (at[order] < e - i).nonzero()[0]
                 j, to, c = j[good], to[good], c[good]
                 if len(c):
                     _, first, count = _ranks(c)
@@ -100,7 +110,7 @@ def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
 
     def induced(order: np.ndarray) -> np.ndarray:
-        sa = np.full(n, -1, np.int32 if n < 2**31 else np.int64)
+        sa = np.zeros(n, np.int32 if n < 2**31 else np.int64)
         # seeds at the ends of their buckets, in the given order
         by = np.argsort(t[order], kind="stable")
         seeds = order[by]
