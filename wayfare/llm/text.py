@@ -32,18 +32,19 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-#: Rows and bytes of an Arrow batch between Spark and Python.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+#: Rows and bytes of an Arrow batch between Spark and Python, and rows that a Parquet reader decodes at once.
+BATCH_ROWS, BATCH_BYTES, READER_ROWS = 2000, 4 << 20, 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's limits of Arrow batches to BATCH_ROWS and BATCH_BYTES, unless they are lower.
+    """Lower the session's limits of Arrow batches to BATCH_ROWS and BATCH_BYTES, and of Parquet's to READER_ROWS, unless they are lower.
 
     Spark's own, 10,000 rows and 64 MB, hold tens of megabytes of texts outside the heap of the JVM for each running task,
-    in both directions, and again in the Python worker.  The setting stays: it counts when a result is computed.
+    in both directions, and again in the Python worker; its reader's 4,096 rows of texts are arrays of many megabytes in
+    the heap.  The settings stay: they count when a result is computed.
     """
     unit = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)):
         number, kind = re.fullmatch(r"(-?\d+)([bkmgt]?)b?", spark.conf.get(key).lower()).groups()
         if not 0 < int(number) * unit[kind] <= most:
             spark.conf.set(key, str(most))

@@ -29,10 +29,10 @@ _FAST = {
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _LATIN = "".join(c for c in map(chr, range(256)) if c.isascii() and c.isalpha() or c >= "\xc0" and c not in "\xd7\xf7")
-#: Bytes, about, that a worker keeps of words, pieces and their ids; all are forgotten when there are more.
-KEEP_BYTES = 40 << 20
+#: Bytes, about, that a worker keeps of words, pieces and their ids: the first that it meets, among them the common ones.
+KEEP_BYTES = 12 << 20
 #: Bytes of text that are encoded at once.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 
 
 def vocabulary(name: str = DEFAULT) -> str:
@@ -80,10 +80,8 @@ class Encoder:
         """The ids of words (for the model itself) or of pieces (for the whole tokenizer), of which new ones are encoded and kept."""
         known = self.words if word else self.pieces
         new = [t for t in texts if t not in known]
-        if self.kept > KEEP_BYTES and new:
-            self.words.clear()
-            self.pieces.clear()
-            self.kept, new = 0, texts
+        if self.kept > KEEP_BYTES:  # what is new is for these texts only
+            known = {t: known[t] for t in texts if t in known} if len(new) < len(texts) else {}
         if word:
             spell, model = self.letter.__getitem__, self.model
             ids = [[x.id for x in model.tokenize(t if t.isascii() else "".join(map(spell, t.encode())))] for t in new]
@@ -93,7 +91,8 @@ class Encoder:
         at = 0
         for t, own in zip(new, ids):
             known[t] = raw[at : (at := at + 4 * len(own))]
-        self.kept += 200 * len(new) + sum(map(len, new)) + len(raw)
+        if known is self.words or known is self.pieces:
+            self.kept += 200 * len(new) + sum(map(len, new)) + len(raw)
         return [known[t] for t in texts]
 
     def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
