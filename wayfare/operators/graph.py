@@ -229,9 +229,9 @@ def chain_points(edges: DataFrame) -> DataFrame:
     A chain's first segment gives both its ends, the others their second.
     """
     order = ordered_edges(edges).join(edges.select("eid", "x1", "y1", "x2", "y2"), "eid")
-    end = lambda k: F.struct(*(F.when(F.col("d") == (k == 2), F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(c) for c in "xy"))
+    end = lambda k: F.struct(*(F.when(F.col("d") == k - 1, F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(c) for c in "xy"))
     first = order.where("rank = 0").select("plan_id", "chain", F.lit(0).cast("long").alias("rank"), end(1).alias("p"))
-    return first.unionByName(order.select("plan_id", "chain", F.col("rank") + 1, end(2).alias("p"))).select("plan_id", "chain", "rank", "p.*")
+    return first.unionByName(order.select("plan_id", "chain", (F.col("rank") + 1).alias("rank"), end(2).alias("p"))).select("plan_id", "chain", "rank", "p.*")
 
 
 def contours(mask: DataFrame) -> DataFrame:

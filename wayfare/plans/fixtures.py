@@ -36,11 +36,15 @@ select vec_id as pid, cast(label as varchar(20)) as block,
 select event_id % 100 as x, cast(floor(event_id / 100) as bigint) as y,
   (user_id * 37 + cast(floor(event_id / 4) as bigint)) % 180 as h,
   cast(floor(value * 7) as bigint) % 256 as s, 140 + cast(floor(value * 13) as bigint) % 116 as v from events""",
+    # an edge for each customer with orders, to another customer of the same forty, who are a plan
     "fx_edge": """
-select row_number() over (order by a, b) as eid, a as u, b as v, cast(1 + (a * 7 + b * 11) % 23 as bigint) as length
-from (select distinct cast(least(c_nationkey, s_nationkey) as bigint) as a, cast(greatest(c_nationkey, s_nationkey) as bigint) as b
-      from customer cross join supplier
-      where (c_custkey * 31 + s_suppkey * 17) % 211 = 0 and c_nationkey <> s_nationkey and c_custkey < 1500 and s_suppkey < 10) t""",
+select cast(floor(c / 40) as bigint) + 1 as plan_id, c as eid, c as u, cast(floor(c / 40) as bigint) * 40 + o % 40 as v, 1 + (c * 7 + o * 11) % 23 as length
+from (select cast(o_custkey as bigint) as c, cast(min(o_orderkey) as bigint) as o from orders group by o_custkey) t""",
+    # three pieces of a level line for each part, every other one backwards, with gaps of 5 to 34
+    "fx_piece": """
+select p_partkey % 8 + 1 as plan_id, p_partkey as uid, p_partkey * 4 + k as pl_id, case when (p_partkey + k) % 2 = 0 then 3 - i else i + 1 end as seq,
+  k * 120 + i * 60 + case when k > 0 then 5 + p_partkey * 7 % 30 else 0 end + case when k > 1 then 5 + p_partkey * 11 % 30 else 0 end as x, p_partkey * 100 as y
+from (select cast(p_partkey as bigint) as p_partkey from part) t cross join (values (0),(1),(2)) as a(k) cross join (values (0),(1),(2)) as b(i)""",
     "fx_trace": """
 select user_id as pl_id, row_number() over (partition by user_id order by ts, event_id) as seq,
   (event_id * 7) % 97 as x, (event_id * 11) % 89 as y from events""",
@@ -67,11 +71,12 @@ def oracle(sql: str) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture as a DataFrame, with ``plan_id`` 1."""
+    """A fixture as a DataFrame, with ``plan_id`` 1 if it has none of its own."""
     sql = VIEWS[name]
     names = _needs(f"{name} {sql}")
     ctes = ",\n".join(f"{v} as ({VIEWS[v]})" for v in names).replace("E1", "embedding[0]").replace("E2", "embedding[1]")
     for t in _TABLES:
         if any(f" {t}" in VIEWS[v] for v in names):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(f"with {ctes} select cast(1 as bigint) as plan_id, * from {name}")
+    own = "*" if "plan_id" in sql else "cast(1 as bigint) as plan_id, *"
+    return spark.sql(f"with {ctes} select {own} from {name}")

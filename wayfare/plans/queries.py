@@ -355,7 +355,12 @@ def key_guard(spark, d):
     return relational.same_keys(relational.delete_units(u, deleted(spark, d))[0], u).select("only_a", "only_b")
 
 
-@query()
+@query("""e as (select distinct uid % 20 as plan_id, edit_id, ts, case when op = 'restore' then 'undo' else op end as op from fx_edit where op in ('delete', 'restore')),
+n as (select *, row_number() over (partition by plan_id order by ts, edit_id, op) as k from e),
+r as (select distinct plan_id, cast(0 as bigint) as k, cast([] as bigint[]) as stack, cast(null as bigint) as undo_id, cast(null as bigint) as edit_id from e
+union all select n.plan_id, n.k, case when op = 'delete' then list_append(stack, n.edit_id)[-20:] else stack[1 : len(stack) - 1] end,
+  case when op = 'undo' and len(stack) > 0 then n.edit_id end, case when op = 'undo' and len(stack) > 0 then stack[len(stack)] end from r join n on n.plan_id = r.plan_id and n.k = r.k + 1)
+select plan_id, undo_id, edit_id from r where edit_id is not null""")
 def undo_log(spark, d):
     log = view(spark, d, "fx_edit").withColumn("op", F.when(F.col("op") == "restore", "undo").otherwise(F.col("op")))
     return edits.undone(log.withColumn("plan_id", F.col("uid") % 20)).orderBy("undo_id")
@@ -511,12 +516,44 @@ def histogram_equalize(spark, d):
     return raster.equalized(pixels(spark, d).withColumn("gray", F.col("v").cast("int"))).select("x", "y", "gray")
 
 
-@query()
+def _thin(src: str, out: str) -> str:
+    """SQL for a skeleton: cells from which no neighbour is farther from the outside, by steps along the axes."""
+    return f"""{out}_off as (select c.x, c.y from (select x, y from (select unnest(range(0, 100)) as x) cross join (select unnest(range(0, hh)) as y from size)) c left join {src} s using (x, y) where s.x is null),
+{out}_far as (select s.x, s.y, coalesce(min(abs(s.x - o.x) + abs(s.y - o.y)), 1000000) as d from {src} s left join {out}_off o on true group by s.x, s.y),
+{out} as (select a.x, a.y from {out}_far a left join {out}_far b on abs(a.x - b.x) + abs(a.y - b.y) = 1 group by a.x, a.y, a.d having coalesce(max(b.d), 0) <= a.d)"""
+
+
+@query(f"{_SIZE}, {_LIT}, {_thin('lit', 'thin')} select x, y from thin")
 def skeleton(spark, d):
     return _xy(raster.skeleton(_lit(spark, d), extent(spark, d)))
 
 
-@query()
+@query(f"{_SIZE}, {_LIT}, {_thin('lit', 'thin')}, wide as {_eroded(_dilated('thin', raster.rect(3)), raster.rect(3))}, {_thin('wide', 'again')} select x, y from again")
+def skeleton_bridged(spark, d):
+    size = extent(spark, d)
+    return _xy(raster.bridged(raster.skeleton(_lit(spark, d), size), 1, size))
+
+
+@query("""c as (select x, y, s as b, v as g, h as r, greatest(s, v, h) as hi, least(s, v, h) as lo from fx_pixel),
+a as (select *, case when hi = lo then 0e0 when hi = r then 60e0 * (g - b) / (hi - lo) when hi = g then 120 + 60e0 * (b - r) / (hi - lo) else 240 + 60e0 * (r - g) / (hi - lo) end as deg from c)
+select x, y, cast(round_even(case when deg < 0 then deg + 360 else deg end / 2, 0) as integer) % 180 as h, cast(case when hi = 0 then 0 else round_even(255e0 * (hi - lo) / hi, 0) end as integer) as s,
+  cast(hi as integer) as v, cast((r * 4899 + g * 9617 + b * 1868 + 8192) // 16384 as integer) as gray from a""")
+def hsv_of_colour(spark, d):
+    c = [F.col(n).cast("int") for n in ("s", "v", "h")]
+    return pixels(spark, d).select("x", "y", raster.bgr_to_hsv(*c).alias("c"), raster.gray(*c).alias("gray")).select("x", "y", "c.*", "gray")
+
+
+_W21 = ", ".join(f"({k - 10}, {w!r})" for k, w in enumerate(raster.gaussian(21)))
+
+
+def _blur(src: str, out: str, axis: str, size: str) -> str:
+    other = "y" if axis == "x" else "x"
+    return f"""{out}_m as (select distinct {other}, value, {axis} as own, unnest([{axis}, -{axis}, 2 * ({size} - 1) - {axis}]) as spot from {src} cross join size),
+{out} as (select {other}, spot - d as {axis}, sum(value * w) as value from {out}_m cross join weight cross join size where spot - d between 0 and {size} - 1 group by 1, 2)"""
+
+
+@query(f"""{_SIZE}, weight as (select * from (values {_W21}) as t(d, w)), g0 as (select x, y, v * 1e0 as value from fx_pixel), {_blur('g0', 'g1', 'x', '100')}, {_blur('g1', 'g2', 'y', 'hh')}
+select x, y from fx_pixel join g2 using (x, y) where v <= round_even(value, 0) - 10""")
 def adaptive_threshold(spark, d):
     return _xy(raster.adaptive_threshold(pixels(spark, d).withColumn("gray", F.col("v")), extent(spark, d)))
 
@@ -553,11 +590,18 @@ def spur_prune(spark, d):
     return graph.prune_spurs(edges(spark, d), 12).select("eid")
 
 
-@query(f"{_ENDS} select count(*) - (select count(*) from deg where degree = 2) as n_edges, cast(sum(length) as bigint) as total, (select count(*) from deg where degree % 2 = 1) as n_odd from fx_edge")
+_CHAINS = f"""{_ENDS}, inside as (select node from deg where degree = 2 and node not in (select u from fx_edge where u = v)),
+meets as (select min(eid) as a, max(eid) as b from tip join inside using (node) group by node), way as (select a, b from meets union all select b, a from meets),
+run as (select eid as id, eid as seen from fx_edge union select run.id, way.b from run join way on way.a = run.seen),
+own as (select id as eid, min(seen) as chain from run group by id)"""
+
+
+@query(f"""{_CHAINS}, part as (select * from own join fx_edge using (eid)),
+ends as (select chain, node, count(*) as n from (select chain, u as node from part union all select chain, v from part) group by chain, node),
+tips as (select chain, min(node) as least, min(case when n % 2 = 1 or degree <> n or degree > 2 then node end) as a, max(case when n % 2 = 1 or degree <> n or degree > 2 then node end) as b from ends join deg using (node) group by chain)
+select plan_id, chain as eid, coalesce(a, least) as u, coalesce(b, least) as v, cast(sum(length) as bigint) as length, count(*) as n_edges from part join tips using (chain) group by plan_id, chain, a, b, least""")
 def contract(spark, d):
-    lines = stored(graph.contract(edges(spark, d)), "contracted")
-    odd = graph.degrees(lines).where("degree % 2 = 1").agg(F.count("*").alias("n_odd"))
-    return lines.agg(F.count("*").alias("n_edges"), F.sum("length").alias("total")).crossJoin(odd)  # one row each
+    return graph.contract(edges(spark, d))
 
 
 def _point_graph(spark, d):
@@ -584,7 +628,7 @@ def _doubled(k: int) -> str:
 
 
 @query(f"""{_ENDS}, n as (select node from deg), d1 as (select s, t, min(d) as d from (select u as s, v as t, length as d from fx_edge union all select v, u, length from fx_edge union all select node, node, 0 from n) group by s, t),
-{", ".join(_doubled(k) for k in (1, 2, 4, 8, 16))} select s as source, t as node, d * 1e0 as dist from d32 where s in (select node from deg where degree % 2 = 1)""")
+{", ".join(_doubled(k) for k in (1, 2, 4, 8, 16, 32))} select s as source, t as node, d * 1e0 as dist from d64 where s in (select node from deg where degree % 2 = 1)""")
 def shortest_paths(spark, d):
     odd = graph.degrees(edges(spark, d)).where("degree % 2 = 1")
     return graph.shortest_paths(edges(spark, d), odd).select("source", "node", "dist")
@@ -610,18 +654,65 @@ def chain_summary(spark, d):
 _NODES = "sn as (select u as id from fx_edge union select v from fx_edge), ew as (select u as a, v as b from fx_edge union all select v, u from fx_edge), fl as (select id, id as seen from sn union select f.id, e.b from fl f join ew e on e.a = f.seen), cp as (select id, min(seen) as comp from fl group by id)"
 
 
-@query(f"""{_NODES}, best as (select arg_min(comp, (-n, comp)) as c from (select comp, count(*) as n from cp group by comp)),
-own as (select e.* from fx_edge e join cp on cp.id = e.u where comp = (select c from best))
-select count(*) as n_edges, cast(sum(length) as double) as length_once, true as is_closed, true as is_joined, true as covers_all from own""")
+@query(f"""{_NODES}, size as (select plan_id, comp, count(*) as n from cp join (select distinct plan_id, u as id from fx_edge union select distinct plan_id, v from fx_edge) using (id) group by plan_id, comp),
+best as (select plan_id, arg_min(comp, (-n, comp)) as c from size group by plan_id),
+own as (select e.* from fx_edge e join cp on cp.id = e.u join best b on b.plan_id = e.plan_id and b.c = cp.comp)
+select plan_id, count(*) as n_edges, cast(sum(length) as double) as length_once, true as is_closed, true as is_joined, true as covers_all, true as at_most_twice from own group by plan_id""")
 def route_summary(spark, d):
     e = edges(spark, d)
     nodes = e.select("plan_id", F.col("u").alias("id")).union(e.select("plan_id", "v")).distinct()
     own = stored(graph.largest_component(nodes, e), "largest")
     steps = stored(route.route(own), "route")
     joined = steps.alias("p").join(steps.alias("q"), F.expr("p.plan_id = q.plan_id and q.step = p.step + 1"))
-    once = steps.agg(F.count_if(~F.col("again")).alias("n_edges"), F.sum(F.when(~F.col("again"), F.col("length"))).alias("length_once"), (F.min_by("a", "step") == F.max_by("b", "step")).alias("is_closed"), F.count_distinct("eid").alias("n_different"))
-    met = joined.agg(F.coalesce(F.bool_and(F.expr("p.b = q.a")), F.lit(True)).alias("is_joined"))
-    return once.crossJoin(met).crossJoin(own.agg(F.count("*").alias("n"))).select("n_edges", "length_once", "is_closed", "is_joined", (F.col("n") == F.col("n_different")).alias("covers_all"))  # one row each
+    once = steps.groupBy("plan_id").agg(
+        F.count_if(~F.col("again")).alias("n_edges"), F.sum(F.when(~F.col("again"), F.col("length"))).alias("length_once"), (F.min_by("a", "step") == F.max_by("b", "step")).alias("is_closed"),
+        F.count_distinct("eid").alias("n_different"), (F.sum("length") <= 2 * F.sum(F.when(~F.col("again"), F.col("length")))).alias("at_most_twice"),
+    )
+    met = joined.groupBy("p.plan_id").agg(F.bool_and(F.expr("p.b = q.a")).alias("is_joined"))
+    whole = own.groupBy("plan_id").agg(F.count("*").alias("n"))
+    rows = once.join(met, "plan_id", "left").join(whole, "plan_id")
+    return rows.select("plan_id", "n_edges", "length_once", "is_closed", F.coalesce("is_joined", F.lit(True)).alias("is_joined"), (F.col("n") == F.col("n_different")).alias("covers_all"), "at_most_twice")
+
+
+def _pieces(most: int) -> str:
+    """SQL for the number of each piece's line when gaps of up to ``most`` are joined."""
+    return f"""p as (select plan_id, uid, pl_id, pl_id % 4 as k, x, case when pl_id % 4 > 0 and 5 + uid * 7 % 30 > {most} then 1 else 0 end + case when pl_id % 4 > 1 and 5 + uid * 11 % 30 > {most} then 1 else 0 end as part from fx_piece)"""
+
+
+@query(f"{_pieces(18)} select plan_id, min(pl_id) as pl_id, count(*) as n_points, min(x) as low, max(x) as high, true as is_level from p group by plan_id, uid, part")
+def stitch_lines(spark, d):
+    lines = stored(graph.stitched(view(spark, d, "fx_piece").select("plan_id", "pl_id", "seq", "x", "y"), None), "stitched")
+    steps = graph.edges_of_lines(lines).groupBy("plan_id", "pl_id").agg((F.abs(F.sum(F.signum(F.col("x2") - F.col("x1")))) == F.count("*")).alias("is_level"))
+    size = lines.groupBy("plan_id", "pl_id").agg(F.count("*").alias("n_points"), F.min("x").alias("low"), F.max("x").alias("high"))
+    return size.join(steps, ["plan_id", "pl_id"]).select("plan_id", "pl_id", "n_points", "low", "high", "is_level")
+
+
+@query(f"{_pieces(12)} select plan_id, uid, count(*) - count(distinct pl_id) + 1 as n_points, min(x) as low, max(x) as high, true as is_level from p group by plan_id, uid, part")
+def chain_geometry(spark, d):
+    _, found = graph.graph_from_polylines(view(spark, d, "fx_piece").select("plan_id", "pl_id", "seq", "x", "y"), 12.0)
+    p = stored(graph.chain_points(stored(found, "graph")), "points")
+    steps = graph.edges_of_lines(p.withColumnsRenamed({"chain": "pl_id", "rank": "seq"})).groupBy("pl_id").agg((F.abs(F.sum(F.signum(F.col("x2") - F.col("x1")))) == F.count("*")).alias("is_level"))
+    size = p.groupBy("plan_id", F.col("chain").alias("pl_id")).agg(F.floor(F.min("y") / 100).cast("long").alias("uid"), F.count("*").alias("n_points"), F.min("x").alias("low"), F.max("x").alias("high"))
+    return size.join(steps, "pl_id").select("plan_id", "uid", "n_points", "low", "high", "is_level")
+
+
+_TRACES = "s as (select pl_id, seq, x as x1, y as y1, lead(x) over w as x2, lead(y) over w as y2 from fx_trace window w as (partition by pl_id order by seq)),"
+_NEAR_LINES = (
+    "q as (select pl_id, x, y from fx_trace where seq = 1), g as (select pl_id as tid, x, y from fx_trace where seq = 2), "
+    "near as (select q.pl_id, g.tid, q.x as x1, q.y as y1, g.x as x2, g.y as y2, row_number() over (partition by q.pl_id order by (q.x-g.x)*(q.x-g.x)+(q.y-g.y)*(q.y-g.y), g.tid) as seq from q cross join g), "
+    "s as (select * from near where seq <= 6),"
+)
+
+
+@query(f"""{_LINES.replace(_TRACES, _NEAR_LINES)}, free as (select x, y from fx_pixel where v > 145),
+ok as (select pl_id, seq from c left join free using (x, y) group by pl_id, seq having bool_and(free.x is not null))
+select pl_id as eid, tid from ok join near using (pl_id, seq) qualify row_number() over (partition by pl_id order by seq) = 1""")
+def exit_connectors(spark, d):
+    t = view(spark, d, "fx_trace")
+    exits = t.where("seq = 1").select("plan_id", F.col("pl_id").alias("eid"), F.col("x").alias("ex"), F.col("y").alias("ey"), F.lit(True).alias("is_corridor"))
+    line = t.where("seq = 2").select("plan_id", F.col("pl_id").alias("tid"), "x", "y")
+    free = pixels(spark, d).where("v > 145").select("plan_id", "x", "y")
+    return spatial.connect_exits(exits, line, free, 1, k=6).select("eid", "tid")
 
 
 @query("""r as (select uid, 1 as corner, [(x, y)] as kept from fx_unit_corner where corner = 1

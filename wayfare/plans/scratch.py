@@ -1,7 +1,7 @@
 """Shared scratch space: where iterative operators cut their lineage.
 
-Everything goes below ``spark.checkpoint.dir``, which driver and executors share.  Only a session that has
-no such setting (a local test) gets a temporary folder.
+Everything goes below ``spark.checkpoint.dir``, which driver and executors share.  Only a local session without such a
+setting (a test) gets a temporary folder; on a cluster that is an error, since executors would not see it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         jsc = spark.sparkContext._jsc.sc()
         path = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else ""
+    if not path and (spark.sparkContext.master + "[").split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="spark-wayfare-")
         spark.sparkContext.setCheckpointDir(path)
