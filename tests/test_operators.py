@@ -355,3 +355,36 @@ def test_rounds_do_not_end_silently(spark):
     with pytest.raises(RuntimeError):
         graph.mutual_pairs(gaps, rounds=2)
     assert sorted((r.a, r.b) for r in graph.mutual_pairs(gaps).collect()) == [(k, k + 1) for k in range(0, 9, 2)]
+
+
+def test_stitching_joins_lines_in_every_orientation(spark):
+    """Four ways for two ends to meet, a line joined at both ends, a closed ring, and a gap that is not free."""
+    base = [[(0, 0), (10, 0)], [(15, 0), (25, 0)], [(30, 0), (40, 0)]]
+    rows, want = [], {}
+    for way in range(8):  # each piece forwards or backwards
+        plan = way + 1
+        for k, line in enumerate(base):
+            points = line[::-1] if way >> k & 1 else line
+            rows += [(plan, k, s, x, y) for s, (x, y) in enumerate(points)]
+        want[plan] = [(x, 0) for x in (0, 10, 15, 25, 30, 40)]
+    half = [(0, 0), (0, -10), (20, -10), (20, 10)], [(20, 18), (20, 30), (0, 30), (0, 8)]
+    rows += [(20, k, s, x, y) for k, line in enumerate(half) for s, (x, y) in enumerate(line)]
+    lines = spark.createDataFrame(rows, "plan_id long, pl_id long, seq int, x long, y long")
+    got = {}
+    for r in graph.stitched(lines, None, most=9).orderBy("plan_id", "pl_id", "seq").collect():
+        got.setdefault((r.plan_id, r.pl_id), []).append((r.x, r.y))
+    for plan, points in want.items():
+        assert got[plan, 0] in (points, points[::-1]) and (plan, 1) not in got and (plan, 2) not in got
+    ring = got[20, 0]
+    assert (20, 1) not in got and sorted(ring) == sorted(half[0] + half[1]) and all(abs(a[0] - b[0]) + abs(a[1] - b[1]) in (8, 10, 12, 20, 22) for a, b in zip(ring, ring[1:]))
+    free = spark.createDataFrame([(1, x, 0) for x in range(45) if x != 12], "plan_id long, x long, y long")
+    one = lines.where("plan_id = 1")
+    assert graph.stitched(one, free, most=9, ds=1).select("pl_id").distinct().count() == 2
+
+
+def test_images_have_numbers_of_their_own(spark):
+    from wayfare.operators.raster import numbered_images
+
+    img = spark.createDataFrame([(f"file:/x/{k % 1000}.png", k) for k in range(1500)], "origin string, k int")
+    rows = numbered_images(img).collect()
+    assert len(rows) == 1500 and sorted({r.plan_id for r in rows}) == list(range(1, 1001)) and len({(r.plan_id, r.origin) for r in rows}) == 1000
