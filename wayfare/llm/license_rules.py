@@ -93,6 +93,69 @@ TEXTS = [
     ("public-domain", "public domain", "(?:released|dedicated|placed|donated) (?:in)?to the public domain"),
     ("public-domain", "public domain", "in the public domain"),
     ("cc0-1.0", "cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?(?: public domain dedication)? licen[cs]e"),
+    ("mit", "permission notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "provided", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("x11", "advertising", "the name of the [a-z0-9 ]{1,60}? shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written (?:authorization|permission)"),
+    ("mit-0", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("bsd-2-clause", "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-2-clause", "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"),
+    ("bsd-4-clause", "permission", "all advertising materials mentioning features or use of this software must display the following acknowledgement[a-z0-9 ]{1,200}? permission"),
+    ("bsd", "provided", "this software is provided by the (?:copyright holders?|regents|authors?)(?: and contributors)? as is and any express or implied warranties"),
+    ("apache-2.0", "distributed", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "contributor", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache-2.0", "licensed", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-1.1", "apache", "products derived from this software may not be called apache nor may apache appear in their name without prior written permission"),
+    ("gpl", "distributed", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "gnu", "you should have received a copy of the gnu general public license along with this program"),
+    ("gpl", "everyone", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl-2.0", "freedom", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-2.0-only", "version 2", "under the terms of the gnu general public license version 2 as published by the free software foundation"),
+    ("gpl-3.0-only", "version 3", "under the terms of the gnu general public license version 3 as published by the free software foundation"),
+    ("gpl-linking-exception", "special exception", "as a special exception [a-z0-9 ]{1,120}? permission to link (?:the code of )?this (?:program|library|software)"),
+    ("lgpl", "library", "this library is distributed in the hope that it will be useful but without any warranty"),
+    ("lgpl", "lesser", "you should have received a copy of the gnu lesser general public license along with this (?:library|program)"),
+    ("lgpl-3.0", "lesser", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license"),
+    ("agpl-3.0", "affero", "the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("agpl", "affero", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("gfdl", "free documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2.0", "covered software", "covered software is provided under this license on an as is basis without warranty of any kind"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-2.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v |version )?2 0"),
+    ("epl-1.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v |version )?1 0"),
+    ("cddl-1.0", "common development", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("eupl-1.2", "eupl", "licensed under the eupl(?: version)? 1 2(?: or as soon they will be approved by the european commission subsequent versions of the eupl)?"),
+    ("artistic-2.0", "package", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed preamble this license establishes the terms under which a given free software package"),
+    ("artistic-1.0", "artistic control", "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control[a-z0-9 ]{1,300}? distributed"),
+    ("zlib", "provided", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("libpng", "permission", "permission is hereby granted to use copy modify and distribute this source code or portions hereof for any purpose without fee"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit[a-z0-9 ]{1,200}? permission"),
+    ("psf-2.0", "python software", "this license agreement is between the python software foundation psf and the individual or organization licensee"),
+    ("php-3.01", "php", "this product includes php software freely available from"),
+    ("w3c", "understood", "by obtaining using and or copying this work you the licensee agree that you have read understood and will comply with the following terms"),
+    ("ofl-1.1", "font software", "the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself[a-z0-9 ]{0,200}? license"),
+    ("ofl-1.1", "open font", "this font software is licensed under the sil open font license version 1 1"),
+    ("wtfpl", "distribute", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("cc0-1.0", "associated", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of (?:his or her|their) rights"),
+    ("cc-by", "appropriate", "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-sa", "same license", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original"),
+    ("cc-by-nd", "modified material", "if you remix transform or build upon the material you may not distribute the modified material[a-z0-9 ]{0,80}? license"),
+    ("cc-by-nc", "commercial purposes", "you may not use the material for commercial purposes[a-z0-9 ]{0,80}? license"),
+    ("odbl-1.0", "database", "this database is made available under the open database license"),
+    ("pddl-1.0", "public domain dedication", "this (?:data|database|work) is made available under the public domain dedication and license"),
+    ("ms-pl", "accompanying", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("sspl-1.0", "as a service", "if you make the functionality of the program or a modified version available to third parties as a service you must make the service source code available"),
+    ("busl-1.1", "redistribute", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("openrail", "use based", "use based restrictions (?:as )?referenced in (?:paragraph|attachment) [a-z0-9]{1,3} must be included as an enforceable provision[a-z0-9 ]{0,120}? license"),
+    ("postgresql", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("hpnd", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+    ("ncsa", "permission", "neither the names of [a-z0-9 ]{1,80}? nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("beerware", "beer", "as long as you retain this notice you can do whatever you want with this stuff if we meet some day and you think this stuff is worth it you can buy me a beer[a-z0-9 ]{0,60}? license"),
+    ("curl", "permission", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("json", "good not evil", "the software shall be used for good not evil[a-z0-9 ]{0,120}? provided"),
+    ("proprietary", "all rights", "all rights reserved (?:no part of this (?:publication|document|work) may be reproduced|unauthorized copying)[a-z0-9 ]{1,200}? permission"),
+    ("proprietary", "information", "this (?:document|software|file) contains (?:proprietary|confidential)(?: and (?:proprietary|confidential))? information[a-z0-9 ]{1,200}? permission"),
+    ("proprietary", "license agreement", "the use of this software is governed by (?:the|a) (?:end user )?license agreement"),
     ("proprietary", "permission", "may not be (?:reproduced|copied|redistributed) without (?:the )?(?:prior )?(?:express )?(?:written )?permission"),
 ]
 #: Labels after "SPDX-License-Identifier:" as they read when normalised.

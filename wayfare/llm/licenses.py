@@ -21,7 +21,7 @@ from wayfare.llm.license_rules import BASE, rules
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Every rule and base phrase needs one of these; a superset test on the text as it is.
-_HINT = r"(?i)licen[cs]e|spdx|permission|redistribution|unencumbered|domain|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|creative|released|distributed|available|published|provided"
+_HINT = r"(?i)licen[cs]e|spdx|permission|redistribution|unencumbered|domain|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|creative|released|distributed|available|published|provided|authorization"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCORES = {1: 0.5, 2: 0.7, 3: 0.9, 4: 1.0}
 
