@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,7 +216,9 @@ def test_degree_contract_and_prune(spark):
     assert order == [(0, 3), (1, 7), (2, 2), (3, 5)]
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_components_of_chains_stars_and_loops(spark, monkeypatch, few):
+    monkeypatch.setattr("wayfare.operators.components.FEW", few)
     rng = random.Random(1)
     pairs = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5000, 5000), (7, None)]
     rng.shuffle(pairs)
@@ -223,6 +226,19 @@ def test_components_of_chains_stars_and_loops(spark):
     assert got == {k: 0 for k in range(201)} | {1000 + k: 1000 for k in range(300)} | {5000: 5000}
 
 
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_ranked_chains(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    links = [(k, k - 1) for k in range(1, 70)] + [(100, 101), (200, 5000), (5000, 7)]
+    links = [p for p in links if p != (8, 7)]
+    got = {r.id: (r.head, r["rank"]) for r in graph.ranked_chains(spark.createDataFrame(links, "id long, next long")).collect()}
+    want = {k: (69, 69 - k) for k in range(8, 70)} | {200: (200, 0), 5000: (200, 1)} | {k: (200, 9 - k) for k in range(8)} | {100: (100, 0), 101: (100, 1)}
+    assert got == want
+    assert graph.ranked_chains(spark.createDataFrame([], "id long, next long")).isEmpty()
+    with pytest.raises(RuntimeError):
+        graph.ranked(np.array([1, 2, 3]), np.array([2, 3, 1]))
+
+
 def test_shortest_paths_and_route(spark):
     e = edge_table(spark, (1, 2, 1), (2, 3, 1), (1, 3, 5), (3, 4, 1), (4, 5, 1), (2, 5, 9), (1, 2, 4))
     odd = graph.degrees(e).where("degree % 2 = 1")
@@ -347,8 +363,6 @@ def test_image_source(spark, tmp_path):
 
 def test_rounds_do_not_end_silently(spark):
     block = cells(spark, *((x, y) for x in range(1, 10) for y in range(1, 10)))
-    with pytest.raises(RuntimeError):
-        raster.skeleton(block, (11, 11), most=2)
     assert (5, 5) in {(r.x, r.y) for r in raster.skeleton(block, (11, 11)).collect()}
     assert raster.skeleton(cells(spark, *((x, y) for x in range(3) for y in range(3))), (3, 3)).count() == 0
     gaps = spark.createDataFrame([(1, k, k + 1, 10.0 - k) for k in range(9)], "plan_id long, a long, b long, d2 double")

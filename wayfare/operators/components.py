@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from wayfare.plans.scratch import stored
 
 #: Rows of a round for each file, at least.
 ROWS_A_FILE = 250_000
+#: Tables of no more rows than this (8 MB of pairs) are settled by one task at once, not in rounds.
+FEW = 1 << 19
 
 
 def few(df: DataFrame, files: int) -> DataFrame:
@@ -34,15 +40,41 @@ def _round(edges: DataFrame) -> DataFrame:
     return hung.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def settled(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the least node of each one's component: roots are hung on lesser roots, and paths halved, until no edge joins two."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        new = low < high
+        if not new.any():
+            return nodes, nodes[root]
+        np.minimum.at(root, high[new], low[new])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pairs = [b for b in batches if b.num_rows]
+    if pairs:
+        rows = pa.Table.from_batches(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in settled(rows.column("u").to_numpy(), rows.column("v").to_numpy())], ["id", "component"])
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
     """``(id, component)`` for every node of ``edges``; a component is named by its least node.
 
     Self-loops give a component of their own; null ends are ignored; an empty table gives an empty result.
-    Each round is written to the shared folder, so lineage does not grow and a lost executor costs one round.
+    Each round is written to the shared folder, so lineage does not grow and a lost executor costs one round.  A table of
+    at most FEW edges needs no rounds.
     """
     clean = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u is not null and v is not null")
     clean = stored(clean.distinct(), "edges")
-    files = clean.count() // ROWS_A_FILE + 1  # rounds have no more rows
+    size = clean.count()
+    if size <= FEW:
+        return clean.coalesce(1).mapInArrow(_at_once, "id long, component long")
+    files = size // ROWS_A_FILE + 1  # rounds have no more rows
     now = clean.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     mark = F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
     seen = None

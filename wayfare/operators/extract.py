@@ -6,27 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import geom as g
-from wayfare.operators import graph, raster
+from wayfare.operators import distance, graph, raster, runs
 from wayfare.operators.relational import large_units, numbered_units
 from wayfare.operators.route import simplified
 from wayfare.plans.scratch import stored
 
 
 def outlines(mask: DataFrame) -> DataFrame:
-    """(plan_id, id, hole, parent_id, ring) of a mask's outlines; a hole's parent is the outline around its component.
+    """(plan_id, id, hole, parent_id, ring) of a mask's outlines.
 
-    Points inside straight sides are left out; outer rings run clockwise where y points down.
+    A hole's parent is the outline around its component, and an outline's the hole that its component lies in (null: none),
+    so outlines without a parent are the outermost ones.  Points inside straight sides are left out; outer rings run
+    clockwise where y points down.
     """
     rows = stored(graph.contours(mask), "contours")
     points = F.transform(F.array_sort(F.collect_list(F.struct("rank", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    rings = rows.groupBy("plan_id", F.col("contour").alias("id"), "hole").agg(points.alias("p"), F.min_by(F.struct("cell_x", "cell_y"), "rank").alias("c"))
+    side = F.min_by(F.when(F.col("hole"), F.struct(F.col("out_x").alias("x"), F.col("out_y").alias("y"))).otherwise(F.struct(F.col("cell_x").alias("x"), F.col("cell_y").alias("y"))), "rank")
+    rings = rows.groupBy("plan_id", F.col("contour").alias("id"), "hole").agg(points.alias("p"), side.alias("c"))
     n = F.size("p")
     bend = lambda q, k: g.turn(*(c for j in (k - 1, k, k + 1) for c in (F.get("p", (j + n) % n)["x"], F.get("p", (j + n) % n)["y"]))) != 0
-    rings = rings.select("plan_id", "id", "hole", F.filter("p", bend).alias("ring"), F.col("c.cell_x").alias("x"), F.col("c.cell_y").alias("y"))
-    labelled = stored(rings.join(raster.cell_components(mask), ["plan_id", "x", "y"]), "rings")
-    outer = labelled.where("not hole").select("label", F.col("id").alias("parent"))
-    joined = labelled.join(outer, "label", "left").withColumn("parent_id", F.when(F.col("hole"), F.col("parent")))
-    return joined.select("plan_id", "id", "hole", "parent_id", "ring")
+    rings = stored(rings.select("plan_id", "id", "hole", F.filter("p", bend).alias("ring"), F.col("c.y").alias("y"), F.col("c.x").alias("x1"), F.col("c.x").alias("x2")), "rings")
+    # a component and a hole have one outline each: the one with a side at one of their cells
+    components, holes, tree = runs.nesting(runs.runs_of(mask))
+    named = runs.meeting(rings.where("not hole"), components, "id", "label").withColumn("hole", F.lit(False))
+    named = stored(named.unionByName(runs.meeting(rings.where("hole"), holes, "id", "label").withColumn("hole", F.lit(True))), "named")
+    own = tree.join(named.select("hole", F.col("u").alias("id"), F.col("v").alias("label")), ["hole", "label"])
+    around = named.select((~F.col("hole")).alias("hole"), F.col("u").alias("parent_id"), F.col("v").alias("parent"))
+    parents = own.join(around, ["hole", "parent"], "left").select("id", "parent_id")
+    return rings.join(parents, "id").select("plan_id", "id", "hole", "parent_id", "ring")
 
 
 def approximated(rings: DataFrame, share: float, least: float = 0.0) -> DataFrame:
@@ -52,21 +59,12 @@ def approximated(rings: DataFrame, share: float, least: float = 0.0) -> DataFram
 def pole_centers(units: DataFrame, extent: raster.Extent) -> DataFrame:
     """(uid, cx, cy, d2): the cell of each unit farthest from all cells outside it (exact; ties: least y, then x)."""
     cells = raster.fill_polygons(units.select(F.col("uid").alias("plan_id"), "ring"), 1, extent)
-    column, row = Window.partitionBy("plan_id", "x").orderBy("y"), Window.partitionBy("plan_id", "y").orderBy("x")
-    cells = cells.withColumn("v", F.col("y") - F.row_number().over(column)).withColumn("h", F.col("x") - F.row_number().over(row))
-    tall, wide = Window.partitionBy("plan_id", "x", "v"), Window.partitionBy("plan_id", "y", "h")
-    up = F.least(F.col("y") - F.min("y").over(tall), F.max("y").over(tall) - F.col("y")) + 1
-    side = F.least(F.col("x") - F.min("x").over(wide), F.max("x").over(wide) - F.col("x")) + 1
-    cells = stored(cells.withColumn("up", up).withColumn("side", side), "cells")
-    other = cells.select("plan_id", "y", "h", F.col("x").alias("ox"), F.col("up").alias("oup"))
-    d2 = F.least(F.min((F.col("ox") - F.col("x")) * (F.col("ox") - F.col("x")) + F.col("oup") * F.col("oup")), F.min(F.col("side") * F.col("side")))
-    best = cells.join(other, ["plan_id", "y", "h"]).groupBy("plan_id", "x", "y").agg(d2.alias("d2"))
-    top = best.groupBy(F.col("plan_id").alias("uid")).agg(F.min(F.struct((-F.col("d2")).alias("n"), "y", "x")).alias("b"))
-    return top.select("uid", F.col("b.x").alias("cx"), F.col("b.y").alias("cy"), (-F.col("b.n")).alias("d2"))
+    far = distance.euclidean(cells).groupBy(F.col("plan_id").alias("uid")).agg(F.min(F.struct((-F.col("d2")).alias("n"), "y", "x")).alias("b"))
+    return far.select("uid", F.col("b.x").alias("cx"), F.col("b.y").alias("cy"), (-F.col("b.n")).alias("d2"))
 
 
 def _rings_of(mask: DataFrame, extent: raster.Extent, share: float) -> DataFrame:
-    rings = approximated(outlines(mask).where("not hole"), share)
+    rings = approximated(outlines(mask).where("not hole and parent_id is null"), share)  # what lies in holes is not looked at
     return large_units(rings.where((F.size("ring") >= 3) & g.is_valid("ring")), *extent)
 
 

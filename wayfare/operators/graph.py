@@ -6,11 +6,15 @@ each round to the shared folder.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import geom as g
-from wayfare.operators.components import components
+from wayfare.operators.components import FEW, components
 from wayfare.operators.spatial import cell_of, clusters
 from wayfare.plans.scratch import stored
 
@@ -93,11 +97,37 @@ def contract(edges: DataFrame) -> DataFrame:
     return sums.join(found, ["plan_id", "eid"]).select("plan_id", "eid", F.coalesce("a", "least").alias("u"), F.coalesce("b", "least").alias("v"), "length", "n_edges")
 
 
+def ranked(ids: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, head, rank) of lists by pointer doubling; see ``ranked_chains``."""
+    every, at = np.unique(np.concatenate([ids, following]), return_inverse=True)
+    back = np.arange(len(every))
+    back[at[len(ids) :]] = at[: len(ids)]
+    rank = (back != np.arange(len(every))).astype(np.int64)
+    for _ in range(64):
+        if (back[back] == back).all():
+            break
+        rank, back = rank + rank[back], back[back]
+    else:
+        raise RuntimeError("a list is closed")
+    return every, every[back], rank
+
+
+def _ranked_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    some = [b for b in batches if b.num_rows]
+    if some:
+        rows = pa.Table.from_batches(some)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in ranked(rows.column("id").to_numpy(), rows.column("next").to_numpy())], ["id", "head", "rank"])
+
+
 def ranked_chains(links: DataFrame) -> DataFrame:
     """(id, head, rank) for lists given as links (id, next), where heads have no link to them: place in the list, from 0.
 
-    Pointers are doubled, so a list of n takes log2(n) rounds.  Closed lists must be cut at one link before.
+    Pointers are doubled, so a list of n takes log2(n) rounds; at most FEW links are doubled by one task.  Closed lists
+    must be cut at one link before.
     """
+    links = stored(links.select("id", "next"), "links")
+    if links.count() <= FEW:
+        return links.coalesce(1).mapInArrow(_ranked_at_once, "id long, head long, rank long")
     back = links.select(F.col("next").alias("id"), F.col("id").alias("prev"))
     every = links.select("id").union(links.select("next")).distinct()
     now = stored(every.join(back, "id", "left").select("id", F.col("prev").alias("at"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("rank"), F.coalesce("prev", "id").alias("head")), "ranks")
@@ -207,7 +237,7 @@ def ordered_edges(edges: DataFrame) -> DataFrame:
     follow = darts.where("b <> tip and b <> tail").select("chain", F.col("id").alias("from"), F.col("eid").alias("e1"), F.col("b").alias("node"))
     onto = darts.select("chain", F.col("id").alias("next"), F.col("eid").alias("e2"), F.col("a").alias("node"))
     links = follow.join(onto, ["chain", "node"]).where("e1 <> e2").select(F.col("from").alias("id"), "next")
-    ranks = ranked_chains(links) if not links.isEmpty() else links.select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("rank"))
+    ranks = ranked_chains(links)
     placed = darts.join(ranks, "id", "left").withColumn("head", F.coalesce("head", "id")).withColumn("rank", F.coalesce("rank", F.lit(0)))
     first = placed.where("rank = 0 and a = tip").groupBy("chain").agg(F.min("head").alias("head"))
     return stored(placed.join(first, ["chain", "head"], "left_semi").select("plan_id", "chain", "rank", "eid", "a", "b", "d"), "ordered")
@@ -235,7 +265,8 @@ def chain_points(edges: DataFrame) -> DataFrame:
 
 
 def contours(mask: DataFrame) -> DataFrame:
-    """The outlines of a mask as closed lines of cell corners: plan_id, contour, rank, x, y, the cell inside (cell_x, cell_y), hole.
+    """The outlines of a mask as closed lines of cell corners: plan_id, contour, rank, x, y, the cells inside (cell_x, cell_y) and
+    outside (out_x, out_y) of the side from there on, hole.
 
     Sides between a cell of the mask and one outside it are directed with the mask on their right; at a corner where
     two outlines touch, cells that meet by a corner stay together.  Outlines are lists of sides, cut at their least
@@ -244,7 +275,7 @@ def contours(mask: DataFrame) -> DataFrame:
     m = mask.select("plan_id", "x", "y").distinct()
     out = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("dx", "dy", "ax", "ay", "bx", "by", "d"), row))) for row in ((0, -1, 0, 0, 1, 0, 0), (1, 0, 1, 0, 1, 1, 1), (0, 1, 1, 1, 0, 1, 2), (-1, 0, 0, 1, 0, 0, 3))))
     sides = m.select("plan_id", "x", "y", F.explode(out).alias("s")).select("plan_id", F.col("x").alias("cell_x"), F.col("y").alias("cell_y"), (F.col("x") + F.col("s.dx")).alias("nx"), (F.col("y") + F.col("s.dy")).alias("ny"), (F.col("x") + F.col("s.ax")).alias("ax"), (F.col("y") + F.col("s.ay")).alias("ay"), (F.col("x") + F.col("s.bx")).alias("bx"), (F.col("y") + F.col("s.by")).alias("by"), F.col("s.d").alias("d"))
-    sides = sides.join(m.select("plan_id", F.col("x").alias("nx"), F.col("y").alias("ny")), ["plan_id", "nx", "ny"], "left_anti").drop("nx", "ny")
+    sides = sides.join(m.select("plan_id", F.col("x").alias("nx"), F.col("y").alias("ny")), ["plan_id", "nx", "ny"], "left_anti")
     number = F.shiftleft(F.col("plan_id"), 44) + F.shiftleft(F.col("ay"), 23) + F.shiftleft(F.col("ax"), 2) + F.col("d")
     sides = stored(sides.withColumn("id", number), "sides")
     onto = sides.select("plan_id", F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("id").alias("next"), F.col("d").alias("d2"))
@@ -253,7 +284,7 @@ def contours(mask: DataFrame) -> DataFrame:
     links = stored(sides.join(onto, ["plan_id", "bx", "by"]).groupBy("id").agg(pick.alias("next")), "links")
     loops = components(links.select(F.col("id").alias("u"), F.col("next").alias("v")))
     ranks = ranked_chains(links.join(loops.where("id = component").select(F.col("id").alias("next")), "next", "left_anti"))
-    rows = sides.join(ranks, "id").select("plan_id", F.col("head").alias("contour"), "rank", F.col("ax").alias("x"), F.col("ay").alias("y"), "cell_x", "cell_y", (F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).alias("cross"))
+    rows = sides.join(ranks, "id").select("plan_id", F.col("head").alias("contour"), "rank", F.col("ax").alias("x"), F.col("ay").alias("y"), "cell_x", "cell_y", F.col("nx").alias("out_x"), F.col("ny").alias("out_y"), (F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).alias("cross"))
     area = rows.groupBy("contour").agg(F.sum("cross").alias("area2"))
     return rows.drop("cross").join(area.select("contour", (F.col("area2") < 0).alias("hole")), "contour")
 

@@ -1,7 +1,7 @@
 """Raster operators on cell sets: a mask is a table (plan_id, x, y) of the cells that are on.
 
-Neighbourhoods are shifts and counts: a cell is sent to the places that see it, and places are grouped.  An extent is
-a pair (width, height); cells outside of it do not exist.
+Morphology, medians, bands and components work on the rows' runs (``runs``), not on cells; gray images are filtered by
+shifts and counts.  An extent is a pair (width, height); cells outside of it do not exist.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import geom as g
-from wayfare.operators.components import components
+from wayfare.operators import distance, runs
+from wayfare.operators.runs import PLAN_BITS, Extent, cell_id
 from wayfare.operators.spatial import line_cells
 from wayfare.plans.scratch import stored
 
@@ -29,7 +30,6 @@ PRESETS = {
     "purple": [((125, 50, 50), (150, 255, 255))],
 }
 Range = tuple[tuple[int, int, int], tuple[int, int, int]]
-Extent = tuple[int, int]
 
 
 def parse_range(spec: str) -> Range:
@@ -124,40 +124,34 @@ def _inside(x: Column, y: Column, extent: Extent) -> Column:
     return x.between(0, extent[0] - 1) & y.between(0, extent[1] - 1)
 
 
-def _shifted(mask: DataFrame, kernel: list[tuple[int, int]], sign: int, extent: Extent) -> DataFrame:
-    moved = mask.select(*CELL, F.explode(_offsets(kernel)).alias("o")).select("plan_id", (F.col("x") + sign * F.col("o.dx")).alias("x"), (F.col("y") + sign * F.col("o.dy")).alias("y"))
-    return moved.where(_inside(F.col("x"), F.col("y"), extent))
+def _by_runs(step, mask: DataFrame, *args) -> DataFrame:
+    return runs.cells_of(step(runs.runs_of(mask), *args))
 
 
 def dilate(mask: DataFrame, kernel: list[tuple[int, int]], extent: Extent) -> DataFrame:
     """Cells that see a cell of the mask through the kernel."""
-    return _shifted(mask, kernel, -1, extent).distinct()
+    return _by_runs(runs.dilated, mask, kernel, extent)
 
 
 def erode(mask: DataFrame, kernel: list[tuple[int, int]], extent: Extent) -> DataFrame:
     """Cells that see through the kernel cells of the mask only; places outside the extent do not count."""
-    seen = _shifted(mask, kernel, -1, extent).groupBy(*CELL).agg(F.count("*").alias("n"))
-    there = F.size(F.filter(_offsets(kernel), lambda o: _inside(F.col("x") + o["dx"], F.col("y") + o["dy"], extent)))
-    return seen.where(F.col("n") == there).select(*CELL)
+    return _by_runs(runs.eroded, mask, kernel, extent)
 
 
 def opened(mask: DataFrame, kernel: list[tuple[int, int]], extent: Extent) -> DataFrame:
-    return dilate(erode(mask, kernel, extent), kernel, extent)
+    return _by_runs(lambda r: runs.dilated(runs.eroded(r, kernel, extent), kernel, extent), mask)
 
 
 def closed(mask: DataFrame, kernel: list[tuple[int, int]], extent: Extent) -> DataFrame:
-    return erode(dilate(mask, kernel, extent), kernel, extent)
+    return _by_runs(lambda r: runs.eroded(runs.dilated(r, kernel, extent), kernel, extent), mask)
 
 
 def median3(mask: DataFrame, extent: Extent, times: int = 1) -> DataFrame:
     """The 3 x 3 median: on where five of the nine cells are; beyond the edge the edge's cells repeat."""
+    now = runs.runs_of(mask)
     for _ in range(times):
-        near = F.explode(F.array(*(F.lit(d) for d in (-1, 0, 1))))
-        rows = mask.select(*CELL, near.alias("dx")).select("*", near.alias("dy"))
-        edge = lambda c, d, size: F.lit(1) + ((F.col(d) == 0) & (F.col(c) == 0)).cast("int") + ((F.col(d) == 0) & (F.col(c) == size - 1)).cast("int")
-        rows = rows.select("plan_id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), (edge("x", "dx", extent[0]) * edge("y", "dy", extent[1])).alias("n"))
-        mask = rows.where(_inside(F.col("x"), F.col("y"), extent)).groupBy(*CELL).agg(F.sum("n").alias("n")).where("n >= 5").select(*CELL)
-    return mask
+        now = runs.median3(now, extent)
+    return runs.cells_of(now)
 
 
 # -- set algebra ----------------------------------------------------------------------------------------------------
@@ -196,28 +190,13 @@ def side_by_side(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
 
 # -- components ---------------------------------------------------------------------------------------------------
 
-#: Cells are numbered below 2^20 on each axis, plans below 2^PLAN_BITS, so that numbers of cells, of edges between them and of
-#: an edge's directions fit in 63 bits.
-_BITS, PLAN_BITS = 20, 20
-
-
-def cell_id(x: Column | str = "x", y: Column | str = "y") -> Column:
-    """A number for a cell of a plan: by plan, then y, then x."""
-    return F.shiftleft(F.col("plan_id"), 2 * _BITS) + F.shiftleft(g.col(y).cast("long"), _BITS) + g.col(x).cast("long")
-
 
 def cell_components(mask: DataFrame, diagonal: bool = True) -> DataFrame:
     """(plan_id, x, y, label): connected cells have one label, the number of their first cell (least y, then x).
 
-    The cells of a row that follow on each other are one run; only runs are nodes of the component search.
+    Only runs are nodes of the component search.
     """
-    row = Window.partitionBy("plan_id", "y").orderBy("x")
-    cells = mask.select(*CELL).distinct().withColumn("k", F.col("x") - F.row_number().over(row))
-    cells = stored(cells.withColumn("run", F.min(cell_id()).over(Window.partitionBy("plan_id", "y", "k"))).drop("k"), "cells")
-    reach = [-1, 0, 1] if diagonal else [0]
-    down = cells.select("plan_id", F.col("run").alias("u"), F.explode(F.array(*(F.col("x") + d for d in reach))).alias("x"), (F.col("y") + 1).alias("y"))
-    links = down.join(cells, CELL).select("u", F.col("run").alias("v")).distinct()
-    return cells.join(components(links), cells["run"] == F.col("id"), "left").select(*CELL, F.coalesce("component", "run").alias("label"))
+    return runs.labelled(runs.runs_of(mask), diagonal).select("plan_id", F.explode(F.sequence("x1", "x2")).alias("x"), "y", "label")
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
@@ -226,17 +205,14 @@ def component_sizes(labels: DataFrame) -> DataFrame:
 
 def without_border(mask: DataFrame, extent: Extent, diagonal: bool = False) -> DataFrame:
     """The mask without components that have a cell on the edge of the image."""
-    labels = stored(cell_components(mask, diagonal), "labels")
-    on_edge = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == extent[0] - 1) | (F.col("y") == extent[1] - 1)
-    return labels.join(labels.where(on_edge).select("label").distinct(), "label", "left_anti").select(*CELL)
+    labels = runs.labelled(runs.runs_of(mask), diagonal)
+    on_edge = (F.col("x1") <= 0) | (F.col("y") == 0) | (F.col("x2") >= extent[0] - 1) | (F.col("y") == extent[1] - 1)
+    return runs.cells_of(labels.join(labels.where(on_edge).select("label").distinct(), "label", "left_anti"))
 
 
 def touching_components(mask: DataFrame, marks: DataFrame, least: int) -> DataFrame:
     """Components (diagonals count) of ``least`` or more cells that have a cell of ``marks``."""
-    labels = stored(cell_components(mask), "labels")
-    touched = labels.join(marks.select(*CELL).distinct(), CELL, "left_semi").select("label").distinct()
-    large = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return labels.join(touched, "label", "left_semi").join(large, "label", "left_semi").select(*CELL)
+    return runs.cells_of(runs.touching(runs.runs_of(mask), runs.runs_of(marks), least))
 
 
 # -- drawing --------------------------------------------------------------------------------------------------------
@@ -286,12 +262,8 @@ def exit_discs(exits: DataFrame, ds: int, extent: Extent, radius: int = 12) -> D
 
 
 def within(mask: DataFrame, radius: int, extent: Extent) -> DataFrame:
-    """Cells at an exact distance of ``radius`` or less from a cell of the mask: a pass along columns, then one along rows."""
-    steps = F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("d")
-    tall = mask.select(*CELL, steps).groupBy("plan_id", "x", (F.col("y") + F.col("d")).alias("y")).agg(F.min(F.abs("d")).alias("dy"))
-    tall = tall.where(F.col("y").between(0, extent[1] - 1))
-    wide = tall.select("plan_id", "x", "y", "dy", steps).where(F.col("d") * F.col("d") + F.col("dy") * F.col("dy") <= radius * radius)
-    return wide.select("plan_id", (F.col("x") + F.col("d")).alias("x"), "y").where(F.col("x").between(0, extent[0] - 1)).distinct()
+    """Cells at an exact distance of ``radius`` or less from a cell of the mask."""
+    return _by_runs(runs.discs, mask, radius, extent)
 
 
 def free_mask(units: DataFrame, exits: DataFrame, extent_px: Extent, ds: int = 3, clearance: int = 8, near: int = 200, exit_radius: int = 12, least_area: int = 800) -> DataFrame:
@@ -300,39 +272,24 @@ def free_mask(units: DataFrame, exits: DataFrame, extent_px: Extent, ds: int = 3
     from wayfare.operators.relational import hulls
 
     extent = (extent_px[0] // ds, extent_px[1] // ds)
-    taken = stored(fill_polygons(units, ds, extent), "taken")
+    taken = stored(polygon_runs(units, ds, extent), "taken")
     usable = exits.where("is_corridor and ex is not null").select("plan_id", F.col("ex").alias("x"), F.col("ey").alias("y"))
     many = usable.groupBy("plan_id").agg(F.count("*").alias("n")).where("n >= 3").select("plan_id")
-    hull = fill_polygons(hulls(usable.join(many, "plan_id", "left_semi"), ["plan_id"]), ds, extent)
-    whole = canvas(units.select("plan_id").join(many, "plan_id", "left_anti"), extent)
-    band = within(taken, max(1, round(near / ds)), extent)
-    walls = dilate(taken, ellipse(max(1, round(clearance / ds))), extent)
-    free = median3(mask_minus(mask_and(hull.union(whole), band), walls), extent)
-    return touching_components(free, exit_discs(exits, ds, extent, exit_radius), max(1, round(least_area / ds**2)))
+    hull = polygon_runs(hulls(usable.join(many, "plan_id", "left_semi"), ["plan_id"]), ds, extent)
+    whole = runs.canvas(units.select("plan_id").join(many, "plan_id", "left_anti"), extent)
+    band = runs.discs(taken, max(1, round(near / ds)), extent)
+    walls = runs.dilated(taken, ellipse(max(1, round(clearance / ds))), extent)
+    free = runs.median3(runs.difference(runs.intersection(hull.unionByName(whole), band), walls), extent)
+    marks = runs.runs_of(exit_discs(exits, ds, extent, exit_radius))
+    return runs.cells_of(runs.touching(free, marks, max(1, round(least_area / ds**2))))
 
 
 # -- skeletons and gray images ----------------------------------------------------------------------------------------
 
 
-def skeleton(mask: DataFrame, extent: Extent, most: int | None = None) -> DataFrame:
-    """The morphological skeleton: for each number of erosions, what an opening takes away.  One round for each unit of width.
-
-    Rounds go on until nothing is left, or only plans whose whole extent is in the mask, of which erosions and openings
-    take nothing.  More than ``most`` rounds, if given, are an error.
-    """
-    now, out, rounds = stored(mask.select(*CELL).distinct(), "eroded"), None, 0
-    before, left = None, now.count()
-    while left and left != before:
-        if rounds == most:
-            raise RuntimeError(f"skeleton did not end in {most} rounds")
-        rest = stored(mask_minus(now, opened(now, cross(), extent)), "skeleton")
-        out = rest if out is None else out.union(rest)
-        rounds += 1
-        if rounds % 50 == 0:
-            out = stored(out, "skeleton")  # the plan stays small
-        now = stored(erode(now, cross(), extent), "eroded")
-        before, left = left, now.count()
-    return now if out is None else out.distinct()
+def skeleton(mask: DataFrame, extent: Extent) -> DataFrame:
+    """The morphological skeleton: what, for each number of erosions by a cross, an opening takes away (see ``distance.ridge``)."""
+    return distance.ridge(mask, extent)
 
 
 def bridged(skeleton_cells: DataFrame, gap: int, extent: Extent) -> DataFrame:

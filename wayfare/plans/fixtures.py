@@ -45,6 +45,12 @@ from (select cast(o_custkey as bigint) as c, cast(min(o_orderkey) as bigint) as
 select p_partkey % 8 + 1 as plan_id, p_partkey as uid, p_partkey * 4 + k as pl_id, case when (p_partkey + k) % 2 = 0 then 3 - i else i + 1 end as seq,
   k * 120 + i * 60 + case when k > 0 then 5 + p_partkey * 7 % 30 else 0 end + case when k > 1 then 5 + p_partkey * 11 % 30 else 0 end as x, p_partkey * 100 as y
 from (select cast(p_partkey as bigint) as p_partkey from part) t cross join (values (0),(1),(2)) as a(k) cross join (values (0),(1),(2)) as b(i)""",
+    # frames in frames, from one to three deep, around a block or nothing: the outlines of each part, with the one around it
+    "fx_frame": """
+select plan_id, uid, level, x0 + 2 * level as x, y0 + 2 * level as y, w - 4 * level as w, 13 - 4 * level as h, case when level < least(deep, 2) or deep = 3 then 1 else 0 end as is_frame
+from (select p_partkey % 3 + 1 as plan_id, p_partkey as uid, p_partkey % 4 as deep, cast(floor(p_partkey / 3) as bigint) % 40 * 22 as x0, cast(floor(p_partkey / 120) as bigint) * 18 as y0, 13 + p_size % 6 as w
+      from (select cast(p_partkey as bigint) as p_partkey, cast(p_size as bigint) as p_size from part) s) t
+cross join (values (0),(1),(2)) as k(level) where level <= deep""",
     "fx_trace": """
 select user_id as pl_id, row_number() over (partition by user_id order by ts, event_id) as seq,
   (event_id * 7) % 97 as x, (event_id * 11) % 89 as y from events""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions import geom as g
-from wayfare.operators import edits, extract, graph, raster, relational, route, spatial
+from wayfare.operators import distance, edits, extract, graph, raster, relational, route, spatial
 from wayfare.operators.components import components
 from wayfare.plans.fixtures import oracle, view
 from wayfare.plans.scratch import stored
@@ -563,11 +563,47 @@ def canny(spark, d):
     return _xy(raster.canny(pixels(spark, d).withColumn("gray", F.col("v")), extent(spark, d)))
 
 
-@query(f"""{_HSV}, {_flood('hsv', True)}, side as (select sum(case when b.x is null then 1 else 0 end) as n_sides from hsv a cross join {_offsets([(0, -1), (1, 0), (0, 1), (-1, 0)])} left join hsv b on b.x = a.x + dx and b.y = a.y + dy)
-select count(distinct label) as n_outer, cast((select n_sides from side) as bigint) as n_sides from part""")
+_OFF = "offc as (select c.x, c.y from (select x, y from (select unnest(range(0, 100)) as x) cross join (select unnest(range(0, hh)) as y from size)) c left join lit s using (x, y) where s.x is null)"
+
+
+@query(f"{_SIZE}, {_LIT}, {_OFF} select l.x, l.y, min((l.x - o.x) * (l.x - o.x) + (l.y - o.y) * (l.y - o.y)) as d2, min(abs(l.x - o.x) + abs(l.y - o.y)) as d1 from lit l join offc o on true group by l.x, l.y")
+def distances(spark, d):
+    size = extent(spark, d)
+    far = distance.euclidean(_lit(spark, d), size)
+    return far.join(distance.city_block(_lit(spark, d), size), raster.CELL).select("x", "y", "d2", "d1")
+
+
+# holes by Euler's formula over cells, neighbours, and threes and fours of neighbours
+@query(f"""{_HSV}, {_flood('hsv', True)}, side as (select label, count(*) as n_sides from part a cross join {_offsets([(0, -1), (1, 0), (0, 1), (-1, 0)])} left join hsv b on b.x = a.x + dx and b.y = a.y + dy where b.x is null group by label),
+size1 as (select label, count(*) as n from part group by label),
+pair as (select a.label, count(*) as n from part a cross join {_offsets([(1, 0), (0, 1), (1, 1), (-1, 1)])} join hsv b on b.x = a.x + dx and b.y = a.y + dy group by a.label),
+quad as (select a.label, x0, y0, count(*) as n from (select label, x - dx as x0, y - dy as y0 from part cross join {_offsets([(0, 0), (1, 0), (0, 1), (1, 1)])}) a group by a.label, x0, y0),
+more as (select label, sum(case n when 3 then 1 when 4 then 3 else 0 end) as n from quad group by label)
+select label % 100 as label_x, label // 100 as label_y, n_sides, 1 as n_outer, cast(1 - size1.n + coalesce(pair.n, 0) - coalesce(more.n, 0) as bigint) as n_holes
+from side join size1 using (label) left join pair using (label) left join more using (label)""")
 def contours(spark, d):
-    rows = graph.contours(raster.hsv_mask(pixels(spark, d)))
-    return rows.agg(F.count_distinct(F.when(~F.col("hole"), F.col("contour"))).alias("n_outer"), F.count("*").alias("n_sides"))
+    mask, low = raster.hsv_mask(pixels(spark, d)), F.lit((1 << 20) - 1)
+    rows = graph.contours(mask).select("plan_id", "contour", "hole", F.col("cell_x").alias("x"), F.col("cell_y").alias("y"))
+    found = rows.join(raster.cell_components(mask), raster.CELL).groupBy("label").agg(
+        F.count("*").alias("n_sides"), F.count_distinct(F.when(~F.col("hole"), F.col("contour"))).cast("int").alias("n_outer"), F.count_distinct(F.when(F.col("hole"), F.col("contour"))).alias("n_holes")
+    )
+    at = F.col("label").bitwiseAND(low).alias("label_x"), F.shiftright("label", 20).bitwiseAND(low).alias("label_y")
+    return found.select(*at, "n_sides", "n_outer", "n_holes")
+
+
+@query("""ring as (select plan_id, uid, 2 * level as depth, x, y, w, h from fx_frame union all select plan_id, uid, 2 * level + 1, x + 1, y + 1, w - 2, h - 2 from fx_frame where is_frame = 1)
+select plan_id, depth % 2 = 1 as hole, x as x1, y as y1, x + w as x2, y + h as y2, lag(x) over (partition by uid order by depth) as around_x, lag(y) over (partition by uid order by depth) as around_y from ring""")
+def nested_outlines(spark, d):
+    frame = view(spark, d, "fx_frame")
+    step = lambda start, n: F.explode(F.sequence(F.col(start), F.col(start) + F.col(n) - 1))
+    cells = frame.withColumn("cx", step("x", "w")).withColumn("cy", step("y", "h"))
+    edge = (F.col("cx") == F.col("x")) | (F.col("cy") == F.col("y")) | (F.col("cx") == F.col("x") + F.col("w") - 1) | (F.col("cy") == F.col("y") + F.col("h") - 1)
+    rings = extract.outlines(cells.where(edge | (F.col("is_frame") == 0)).select("plan_id", F.col("cx").alias("x"), F.col("cy").alias("y")))
+    least = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    box = rings.select("plan_id", "id", "parent_id", "hole", least(F.array_min, "x").alias("x1"), least(F.array_min, "y").alias("y1"), least(F.array_max, "x").alias("x2"), least(F.array_max, "y").alias("y2"))
+    box = stored(box, "boxes")
+    around = box.select(F.col("id").alias("parent_id"), F.col("x1").alias("around_x"), F.col("y1").alias("around_y"))
+    return box.join(around, "parent_id", "left").drop("id", "parent_id")
 
 
 # -- graphs -------------------------------------------------------------------------------------------------------------
@@ -733,12 +769,15 @@ def superclean(spark, d):
     return kept.groupBy("uid").agg(F.count("*").alias("n"))
 
 
-@query("select uid, true as is_inside, (w + 1) // 2 >= 1 as has_room from fx_unit_box")
+# a unit's cells are one rectangle or two; what is outside of it is four half planes, and the quadrant that an L leaves out
+@query("""cell as (select uid, x0 + i as x, y0 + j as y, i + 1 as l, w + 1 - i as r, j + 1 as t, h + 1 - j as b,
+  case when l_shape then greatest(0, w // 2 + 1 - i) end as qx, case when l_shape then greatest(0, h // 2 + 1 - j) end as qy
+  from (select *, unnest(range(0, w + 1)) as i from fx_unit_box) a cross join (select unnest(range(0, 90)) as j) b where j <= h),
+far as (select uid, x, y, least(l * l, r * r, t * t, b * b, coalesce(qx * qx + qy * qy, 1000000)) as d2 from cell)
+select uid, arg_min(x, (-d2, y, x)) as cx, arg_min(y, (-d2, y, x)) as cy, max(d2) as d2 from far where d2 > 0 group by uid""")
 def pole_center(spark, d):
-    u = units(spark, d)
     size = relational.canvas_extent(view(spark, d, "fx_unit_corner")).first()
-    found = extract.pole_centers(u, (size["width"], size["height"])).join(u, "uid")
-    return found.select("uid", g.contains("ring", "cx", "cy").alias("is_inside"), (F.col("d2") >= 1).alias("has_room"))
+    return extract.pole_centers(units(spark, d), (size["width"], size["height"]))
 
 
 @query("""select pl_id, min(case when seq = 1 then x end) as first_x, min(case when seq = 1 then y end) as first_y, arg_max(x, seq) as last_x, arg_max(y, seq) as last_y, true as is_shorter from fx_trace group by pl_id""")
