@@ -66,6 +66,60 @@ FAMILIES = {
     "vim": ("vim", "vim", "vim", {}),
     "mulan": ("mulan", "mulan (?:permissive software|psl)", "mulan", {"1(?: 0)?": "mulanpsl-1.0", "2(?: 0)?": "mulanpsl-2.0"}),
 }
+#: Short names as licences are called by: keyword (with the space before it), name, label of the bare name (None: it says
+#: too little), {version: label}, and whether "only" and "or later" may follow.
+SHORT = [
+    (" gpl", "(?:gnu )?gpl", "gpl", {"1(?: 0)?": "gpl-1.0", "2(?: 0)?": "gpl-2.0", "3(?: 0)?": "gpl-3.0"}, True),
+    (" lgpl", "(?:gnu )?lgpl", "lgpl", {"2(?: 0)?": "lgpl-2.0", "2 1": "lgpl-2.1", "3(?: 0)?": "lgpl-3.0"}, True),
+    (" agpl", "(?:gnu )?agpl", "agpl", {"1(?: 0)?": "agpl-1.0", "3(?: 0)?": "agpl-3.0"}, True),
+    (" gfdl", "(?:gnu )?gfdl", "gfdl", {"1 1": "gfdl-1.1", "1 2": "gfdl-1.2", "1 3": "gfdl-1.3"}, True),
+    (" mpl", "mpl", "mpl", {"1 0": "mpl-1.0", "1 1": "mpl-1.1", "2(?: 0)?": "mpl-2.0"}, False),
+    (" epl", "epl", "epl", {"1(?: 0)?": "epl-1.0", "2(?: 0)?": "epl-2.0"}, False),
+    (" cddl", "cddl", "cddl", {"1 0": "cddl-1.0", "1 1": "cddl-1.1"}, False),
+    (" cpl", "cpl", "cpl", {"1(?: 0)?": "cpl-1.0"}, False),
+    (" eupl", "eupl", "eupl", {"1 0": "eupl-1.0", "1 1": "eupl-1.1", "1 2": "eupl-1.2"}, False),
+    (" osl", "osl", "osl", {"1 0": "osl-1.0", "2 1": "osl-2.1", "3 0": "osl-3.0"}, False),
+    (" afl", "afl", "afl", {"2 1": "afl-2.1", "3 0": "afl-3.0"}, False),
+    (" ecl", "ecl", "ecl", {"1 0": "ecl-1.0", "2 0": "ecl-2.0"}, False),
+    (" upl", "upl", "upl", {"1(?: 0)?": "upl-1.0"}, False),
+    (" ofl", "(?:sil )?ofl", "ofl", {"1 0": "ofl-1.0", "1 1": "ofl-1.1"}, False),
+    (" odbl", "odbl", "odbl", {"1(?: 0)?": "odbl-1.0"}, False),
+    (" sspl", "sspl", "sspl", {"1(?: 0)?": "sspl-1.0"}, False),
+    (" bsl", "bsl", None, {"1 0": "bsl-1.0", "1 1": "busl-1.1"}, False),
+    (" busl", "busl", "busl", {"1 1": "busl-1.1"}, False),
+    (" boost", "boost", "bsl", {"1(?: 0)?": "bsl-1.0"}, False),
+    (" apache", "apache", "apache", {"1 0": "apache-1.0", "1 1": "apache-1.1", "2(?: 0)?": "apache-2.0"}, False),
+    (" asl", "asl", None, {"1 1": "apache-1.1", "2(?: 0)?": "apache-2.0"}, False),
+    (" artistic", "artistic", "artistic", {"1(?: 0)?": "artistic-1.0", "2(?: 0)?": "artistic-2.0"}, False),
+    (" cecill", "cecill", "cecill", {"2 0": "cecill-2.0", "2 1": "cecill-2.1"}, False),
+    (" psf", "psf", "psf", {"2(?: 0)?": "psf-2.0"}, False),
+    (" mulan", "mulan ?psl", "mulan", {"1(?: 0)?": "mulanpsl-1.0", "2(?: 0)?": "mulanpsl-2.0"}, False),
+    (" elastic", "elastic", None, {"2 0": "elastic-2.0"}, False),
+    (" zpl", "zpl", "zpl", {"2 0": "zpl-2.0", "2 1": "zpl-2.1"}, False),
+    (" mit", "mit", "mit", {}, False),
+    (" mit 0", "mit 0", "mit-0", {}, False),
+    (" isc", "isc", "isc", {}, False),
+    (" bsd", "bsd", "bsd", {}, False),
+    (" bsd", "bsd 1 clause", "bsd-1-clause", {}, False),
+    (" bsd", "bsd (?:2|two) clause|freebsd|simplified bsd", "bsd-2-clause", {}, False),
+    (" bsd", "bsd (?:3|three) clause", "bsd-3-clause", {}, False),
+    (" bsd", "bsd (?:4|four) clause", "bsd-4-clause", {}, False),
+    (" 0bsd", "0bsd", "0bsd", {}, False),
+    (" x11", "x11", "x11", {}, False),
+    (" zlib", "zlib(?: libpng)?", "zlib", {}, False),
+    (" wtfpl", "wtfpl", "wtfpl", {"2(?: 0)?": "wtfpl"}, False),
+    (" unlicense", "unlicense", "unlicense", {}, False),
+    (" ncsa", "ncsa", "ncsa", {}, False),
+    (" postgresql", "postgresql", "postgresql", {}, False),
+    (" ms pl", "ms pl", "ms-pl", {}, False),
+    (" ms rl", "ms rl", "ms-rl", {}, False),
+    (" hpnd", "hpnd", "hpnd", {}, False),
+    (" beerware", "beerware", "beerware", {}, False),
+    (" cc0", "cc0(?: 1 0)?(?: universal)?", "cc0-1.0", {}, False),
+    (" cc pddc", "cc pddc", "public-domain", {}, False),
+    (" pddl", "(?:odc )?pddl(?: 1 0)?", "pddl-1.0", {}, False),
+    (" odc by", "odc by(?: 1 0)?", "odc-by-1.0", {}, False),
+]
 #: Creative Commons: clause -> (short form, spoken form); each in five versions and without one.
 CREATIVE = {
     "cc-by": ("cc by", "attribution"),
@@ -173,6 +227,17 @@ def rules() -> list[tuple[str, int, str, str]]:
             named = rf"(?:{name})(?: public)? {_L} (?:version |v ?|ver )?{version}"
             out += [(label, 3, keyword, f" {_GRANT}{tail}(?= )"), (label, 2, keyword, f" {named}(?= )"), (f"{label}-or-later", 3, keyword, f" {named}(?: of the {_L})? or (?:at your option )?(?:any )?later(?: version)?(?= )")]
         out += [(bare, 2, keyword, f" {_GRANT}(?:{name})(?= )"), (bare, 1, keyword, f" (?:{name}) {_L}(?= )")]
+    # "licensed under GPLv3", "License: GPL-3.0-or-later", "GPL v3 license"
+    lead, by = rf" (?:{_GRANT}|{_L}(?: is| type| name| identifier| expression)? )", "(?: version | ver | ?v ?| ?)"
+    for keyword, name, bare, versions, dated in SHORT:
+        if "freebsd" in name:
+            keyword = "bsd"
+        for version, label in versions.items():
+            named = f"(?:{name}){by}{version}"
+            for tail, suffix in (("", ""), (" only", "-only"), (" or (?:any )?later(?: version)?", "-or-later")) if dated else (("", ""),):
+                out += [(label + suffix, 3, keyword, f"{lead}{named}{tail}(?= )"), (label + suffix, 2, keyword, f" {named}{tail} {_L}(?= )")]
+        if bare:
+            out += [(bare, 2, keyword, f"{lead}(?:{name})(?= )"), (bare, 1, keyword, f" (?:{name}) {_L}(?= )")]
     for clause, (short, spoken) in CREATIVE.items():
         for version in ("1 0", "2 0", "2 5", "3 0", "4 0"):
             label = f"{clause}-{version.replace(' ', '.')}"
