@@ -95,6 +95,20 @@ def test_keyed_access(spark, docs, rows):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_a_fingerprint_is_not_believed(spark, docs, rows, monkeypatch):
+    """Keys that are not there are refused even if all fingerprints agree."""
+    from wayfare.plans.scratch import new_path
+
+    manifest = token_index.write_index(docs, new_path(spark, "t"), vocabulary(), 2)
+    monkeypatch.setattr(token_index, "fingerprint", lambda keys: np.zeros(len(keys), np.uint32))
+    for r in manifest.where("first_key is not null").collect():
+        shard = token_index.Shard(r.payload, r["keys"])
+        shard.prints = np.zeros(len(shard.prints), np.uint32)
+        there = {i for i, _ in rows if i is not None}
+        _, count = shard.lookup(np.arange(-20, 400))
+        assert {k for k, c in zip(range(-20, 400), count) if c} <= there and count.any()
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000)).view(np.uint64)
     assert sorted(token_index.PerfectHash.build(keys)(keys)) == list(range(len(keys)))

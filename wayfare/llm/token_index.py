@@ -117,6 +117,8 @@ class Shard:
         slot = self.mph(keys)
         ok = slot >= 0
         ok[ok] = self.prints[slot[ok]] == fingerprint(keys[ok])
+        # a fingerprint of 32 bits refuses nearly all keys that are not there, and the key itself the others
+        ok[ok] = self.keys[self.docs[slot[ok]].astype(np.int64) - self.nulls].view(np.uint64) == keys[ok]
         first, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         first[ok], count[ok] = self.docs[slot[ok]], self.counts[slot[ok]]
         return first, count

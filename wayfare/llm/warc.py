@@ -106,7 +106,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, roll_bytes: int =
 
 def members(path: str, start: int, stop: int, read: int = 1 << 20) -> Iterator[bytes]:
     """The decoded records of a file that start in ``start <= position < stop``."""
-    held, at = b"", start  # bytes from position ``at`` on
+    held, at = bytearray(), start  # bytes from position ``at`` on; they grow in place
 
     def more() -> bool:
         nonlocal held
