@@ -28,7 +28,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity(docs, _table(spark, sf_dir, "labels")).where("not is_toxic").select(*docs.columns)
+    own = {c: f"documents' {c}" for c in docs.columns if c == "is_toxic" or c.startswith("p_")}  # named like the chain's results
+    kept = toxicity(docs.withColumnsRenamed(own), _table(spark, sf_dir, "labels")).where("not is_toxic")
+    return kept.drop(*own).withColumnsRenamed({new: old for old, new in own.items()}).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
