@@ -38,4 +38,9 @@ def test_stages(spark, tmp_path):
     packed = stage["packing"](spark, safe, str(tmp_path))
     assert Counter(r.doc_id for r in packed.collect() if r.piece == 0) == Counter(i for i, _ in keep(safe))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
-    assert stage["packing"](spark, docs.where("false"), str(tmp_path)).count() == 0
+    for name, f in stage.items():
+        none = f(spark, docs.where("false"), str(tmp_path))
+        assert none.count() == 0 and (name == "packing" or none.columns == docs.columns)
+    named = clean.limit(20).selectExpr("*", "'own' as is_toxic", "7 as p_toxic", "8 as p_else")
+    out = stage["toxicity"](spark, named, str(tmp_path))
+    assert out.columns == named.columns and {(r.is_toxic, r.p_toxic, r.p_else) for r in out.collect()} == {("own", 7, 8)}
