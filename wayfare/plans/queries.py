@@ -11,7 +11,8 @@ from wayfare.functions import geom as g
 from wayfare.operators import distance, edits, extract, graph, raster, relational, route, spatial
 from wayfare.operators.components import components
 from wayfare.plans.fixtures import oracle, view
-from wayfare.plans.scratch import stored
+from wayfare.plans.project import Project
+from wayfare.plans.scratch import new_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -355,6 +356,32 @@ def key_guard(spark, d):
     return relational.same_keys(relational.delete_units(u, deleted(spark, d))[0], u).select("only_a", "only_b")
 
 
+# plan by plan as above, but in a project: a delete, a restore while a rebuild runs, an undo after it
+@query("""d as (select distinct uid from fx_edit where op = 'delete'), r as (select distinct uid from fx_edit where op = 'restore'),
+left1 as (select uid from fx_unit_box where uid not in (select uid from d)), left2 as (select uid from fx_unit_box where uid not in (select uid from d) or uid in (select uid from r)),
+least1 as (select min(uid) as uid from left2)
+select 'units' as what, uid, 0 as n_rows from left2 union all select 'seen by the rebuild', uid, 0 from left1
+union all select 'stage', 0, (select cast(count(*) as integer) from left1) union all select 'restored by undo', uid, 1 from least1""")
+def project_edits(spark, d):
+    p = Project(spark, new_path(spark, "project"))
+    p.create(units(spark, d))
+    p.delete(deleted(spark, d))
+    again = units(spark, d).join(view(spark, d, "fx_edit").where("op = 'restore'").select("uid").distinct(), "uid")
+
+    def slow(tables):
+        p.restore(again)  # while the rebuild runs
+        return tables["units"].select("plan_id", "uid", g.twice_area("ring").alias("area"))
+
+    p.rebuild({"areas": slow})
+    one = p.units().orderBy("uid").limit(1)
+    p.delete(one)
+    n = p.undo(1)
+    first = p.units().agg(F.min("uid").alias("uid")).select(F.lit("restored by undo").alias("what"), "uid", F.lit(n).alias("n_rows"))
+    seen = p.table("areas").select(F.lit("seen by the rebuild").alias("what"), "uid", F.lit(0).alias("n_rows"))
+    stage = p.stages().select(F.lit("stage").alias("what"), F.lit(0).cast("long").alias("uid"), F.col("n_rows").cast("int").alias("n_rows"))
+    return p.units().select(F.lit("units").alias("what"), "uid", F.lit(0).alias("n_rows")).unionByName(seen).unionByName(stage).unionByName(first)
+
+
 @query("""e as (select distinct uid % 20 as plan_id, edit_id, ts, case when op = 'restore' then 'undo' else op end as op from fx_edit where op in ('delete', 'restore')),
 n as (select *, row_number() over (partition by plan_id order by ts, edit_id, op) as k from e),
 r as (select distinct plan_id, cast(0 as bigint) as k, cast([] as bigint[]) as stack, cast(null as bigint) as undo_id, cast(null as bigint) as edit_id from e
