@@ -33,7 +33,7 @@ def _spaces(c: Column) -> Column:
 def _spans(text: Column, r: Column) -> Column:
     """The matches of a rule: words in the part of the text before each (``gap``), and in the match itself (``n``)."""
     parts, found = F.split(text, r["pattern"], -1), F.regexp_extract_all(text, r["pattern"], F.lit(0))
-    spans = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, m: F.struct(_spaces(p).alias("gap"), _spaces(m).alias("n")))
+    spans = F.when(F.size(found) > 0, F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, m: F.struct(_spaces(p).alias("gap"), _spaces(m).alias("n")))).otherwise(F.array())
     return F.transform(spans, lambda s, k: F.struct(r["rule"].alias("rule"), r["label"].alias("label"), r["priority"].alias("priority"), k.alias("k"), s["gap"].alias("gap"), s["n"].alias("n")))
 
 
@@ -41,9 +41,12 @@ def _detections(text: Column) -> Column:
     """All matches in a normalised text: of base phrases (rule -1, -2, ...) and of the rules whose keyword is there."""
     table = [(k, label, p, word, rx) for k, (label, p, word, rx) in enumerate(rules())]
     table = [(-1 - k, label, 0, f" {phrase}", f" {phrase}(?= )") for k, (label, phrase) in enumerate(BASE)] + table
-    names = ("rule", "label", "priority", "keyword", "pattern")
-    rows = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in table))
-    tried = F.filter(rows, lambda r: F.contains(text, r["keyword"]))
+    names = ("rule", "label", "priority", "pattern")
+    by: dict[str, list[Column]] = {}  # each keyword is looked for once, whatever the number of its rules
+    for rule, label, priority, keyword, pattern in table:
+        by.setdefault(keyword, []).append(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, (rule, label, priority, pattern)))))
+    groups = F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*rows).alias("rules")) for k, rows in by.items()))
+    tried = F.flatten(F.transform(F.filter(groups, lambda g: F.contains(text, g["keyword"])), lambda g: g["rules"]))
     return F.flatten(F.transform(tried, lambda r: _spans(text, r)))
 
 
