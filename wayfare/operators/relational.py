@@ -200,6 +200,24 @@ def hulls(points: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "p", lower.alias("l"), upper.alias("u")).select(*keys, F.when(F.size("p") == 1, F.col("p")).otherwise(whole).alias("ring"))
 
 
+def chain_order(ring: Column | str) -> Column:
+    """The points of an array in nearest-neighbour order: from the first on, always the nearest that is left (ties: the first).
+
+    A fold over the array, for groups as small as a polygon's corners: each step looks at all points that are left.
+    """
+    points = F.transform(g.col(ring), lambda p, k: F.struct(k.alias("k"), p["x"].alias("x"), p["y"].alias("y")))
+    start = F.struct(F.slice(points, 1, 1).alias("path"), F.slice(points, 2, F.greatest(F.size(points), F.lit(1))).alias("left"))
+
+    def step(state: Column, _: Column) -> Column:
+        here = F.element_at(state["path"], -1)
+        far = lambda q: (q["x"] - here["x"]) * (q["x"] - here["x"]) + (q["y"] - here["y"]) * (q["y"] - here["y"])
+        best = F.array_min(F.transform(state["left"], lambda q: F.struct(far(q).alias("d2"), q.alias("q"))))["q"]
+        return F.struct(F.concat(state["path"], F.array(best)).alias("path"), F.filter(state["left"], lambda q: q["k"] != best["k"]).alias("left"))
+
+    walked = F.aggregate(F.slice(points, 2, F.greatest(F.size(points), F.lit(1))), start, step, lambda state: state["path"])
+    return F.transform(walked, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+
+
 def artefact_counts(**tables: DataFrame) -> DataFrame:
     """(name, n): the rows of each table."""
     out = None

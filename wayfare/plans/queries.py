@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions import geom as g
-from wayfare.operators import distance, edits, extract, graph, raster, relational, route, spatial
+from wayfare.operators import distance, edits, extract, graph, overlay, raster, relational, route, spatial
 from wayfare.operators.components import components
 from wayfare.plans.fixtures import oracle, view
 from wayfare.plans.project import Project
@@ -73,6 +73,10 @@ def deleted(spark, d):
     return units(spark, d).join(log, "uid").select("plan_id", F.concat(F.lit("  "), "block").alias("block"), F.concat("unit", F.lit("\n")).alias("unit"))
 
 
+def _offsets(rows) -> str:
+    return "(values " + ", ".join(f"({a}, {b})" for a, b in rows) + ") as o(dx, dy)"
+
+
 EDGE = """edge as (select uid, corner as seq, x as x1, y as y1, coalesce(lead(x) over w, first_value(x) over w) as x2,
   coalesce(lead(y) over w, first_value(y) over w) as y2 from fx_unit_corner window w as (partition by uid order by corner))"""
 CENTROID = f"""{EDGE}, cen as (select uid, sum((x1+x2)*(x1*y2-x2*y1)*1e0)/(3*sum((x1*y2-x2*y1)*1e0)) as mx,
@@ -400,10 +404,6 @@ _SIZE = "size as (select max(y) + 1 as hh from fx_pixel)"
 _LIT = "lit as (select x, y from fx_pixel where v >= 160)"
 
 
-def _offsets(rows) -> str:
-    return "(values " + ", ".join(f"({a}, {b})" for a, b in rows) + ") as o(dx, dy)"
-
-
 def _dilated(src: str, kernel) -> str:
     return f"(select distinct x - dx as x, y - dy as y from {src} cross join {_offsets(kernel)} cross join size where x - dx between 0 and 99 and y - dy between 0 and hh - 1)"
 
@@ -828,6 +828,29 @@ def hull_check(spark, d):
     return units(spark, d).join(hull, "uid").select("uid", F.size("hull").alias("n_corners"), has.alias("has_all"))
 
 
+@query("""p as (select uid, row_number() over (partition by uid order by corner * 5 % 7, corner) as k, x, y from fx_unit_corner),
+r as (select uid, 1 as n, [k] as path, x, y, cast(x as varchar) || ',' || cast(y as varchar) as text from p where k = 1
+union all select uid, n + 1, list_append(path, k), x, y, text || ';' || cast(x as varchar) || ',' || cast(y as varchar)
+  from (select r.uid, r.n, r.path, r.text, p.k, p.x, p.y, row_number() over (partition by r.uid order by (p.x - r.x) * (p.x - r.x) + (p.y - r.y) * (p.y - r.y), p.k) as place
+        from r join p on p.uid = r.uid and not list_contains(r.path, p.k)) s where place = 1)
+select uid, arg_max(text, n) as points from r group by uid""")
+def chain_order(spark, d):
+    mixed = F.array_sort(F.collect_list(F.struct((F.col("corner") * 5 % 7).alias("k"), "corner", "x", "y")))
+    rows = view(spark, d, "fx_unit_corner").groupBy("plan_id", "uid").agg(mixed.alias("p"))
+    text = F.array_join(F.transform(relational.chain_order("p"), lambda p: F.concat_ws(",", p["x"], p["y"])), ";")
+    return rows.select("uid", text.alias("points"))
+
+
+@query(f"""{_LINES}, dot as (select pl_id, x, y from fx_trace where seq = 1),
+spot as (select pl_id, 2 as layer, x, y, 1048576 + pl_id as colour from c union all select pl_id, 2, x - 1, y, 1048576 + pl_id from c union all select pl_id, 2, x, y - 1, 1048576 + pl_id from c
+  union all select pl_id, 2, x - 1, y - 1, 1048576 + pl_id from c union all select pl_id, 3, x + dx, y + dy, 16711680 from dot cross join {_offsets(raster.disc(3))})
+select pl_id % 3 + 1 as plan_id, x, y, cast(arg_max(colour, (layer, cast(pl_id as varchar))) as integer) as colour from spot where x between 0 and 95 and y between 0 and 88 group by 1, 2, 3""")
+def overlay_cells(spark, d):
+    trace = view(spark, d, "fx_trace").withColumn("plan_id", F.col("pl_id") % 3 + 1)
+    lines = overlay.shapes(trace, 2, "pl_id", "line", 0, 2).withColumn("colour", (1048576 + F.col("shape").cast("int")).cast("int"))
+    return overlay.painted(lines.unionByName(overlay.shapes(trace.where("seq = 1"), 3, "pl_id", "disc", "exit", 3)), (96, 89))
+
+
 # -- tables -------------------------------------------------------------------------------------------------------------
 
 

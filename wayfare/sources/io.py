@@ -85,11 +85,3 @@ def bundle(units: DataFrame, exits: DataFrame, polylines: DataFrame, route: Data
 def file_stats(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, modified) of the files under a path."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-
-
-def draw_list(units: DataFrame, polylines: DataFrame, route: DataFrame) -> DataFrame:
-    """What an overlay shows, as rows in drawing order: plan_id, layer, shape, seq, x, y (units as rings, then lines, then the route)."""
-    ring = units.select("plan_id", F.lit(1).alias("layer"), F.concat_ws("/", "block", "unit").alias("shape"), F.posexplode("ring").alias("seq", "p"))
-    ring = ring.select("plan_id", "layer", "shape", "seq", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
-    number = lambda df, layer, shape: df.select("plan_id", F.lit(layer).alias("layer"), shape.alias("shape"), F.col("seq").cast("int").alias("seq"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return ring.unionByName(number(polylines, 2, F.col("pl_id").cast("string"))).unionByName(number(route, 3, F.lit("route")))
