@@ -68,15 +68,19 @@ def _rings_of(mask: DataFrame, extent: raster.Extent, share: float) -> DataFrame
     return large_units(rings.where((F.size("ring") >= 3) & g.is_valid("ring")), *extent)
 
 
+def cleaned_mask(pixels: DataFrame, extent: raster.Extent, ranges: list[raster.Range] | None = None) -> DataFrame:
+    """The colour mask, smoothed twice and eroded by the image's scale."""
+    return raster.erode(raster.median3(raster.hsv_mask(pixels, ranges), extent, 2), raster.rect(max(1, round(2 * max(extent) / 4000))), extent)
+
+
 def color_units(pixels: DataFrame, extent: raster.Extent, ranges: list[raster.Range] | None = None, share: float = 0.012) -> DataFrame:
     """Units by colour: (plan_id, unit, uid, pass, ring, cx, cy), the coloured ones first, then white ones.
 
     The colour mask is smoothed twice and eroded; white cells are opened, cleared of what touches the image's edge, and
     count only in plans with one coloured pixel in a hundred or more.
     """
-    scale = max(extent) / 4000
-    kernel = raster.rect(max(1, round(2 * scale)))
-    mask = stored(raster.erode(raster.median3(raster.hsv_mask(pixels, ranges), extent, 2), kernel, extent), "coloured")
+    kernel = raster.rect(max(1, round(2 * max(extent) / 4000)))
+    mask = stored(cleaned_mask(pixels, extent, ranges), "coloured")
     enough = mask.groupBy("plan_id").agg(F.count("*").alias("n")).where(F.col("n") >= 0.01 * extent[0] * extent[1])
     white = raster.without_border(raster.opened(raster.white_mask(pixels), raster.rect(3), extent), extent)
     white = raster.erode(raster.median3(white, extent), kernel, extent).join(enough, "plan_id", "left_semi")
@@ -107,6 +111,27 @@ def structure_units(image: DataFrame, extent: raster.Extent, share: float = 0.01
     return edge.select(*cols).unionByName(turned.select(*cols))
 
 
+def decision_record(pixels: DataFrame, units: DataFrame, extent: raster.Extent, outputs: dict[str, str], mode: str = "auto", ranges: list[raster.Range] | None = None) -> DataFrame:
+    """(plan_id, decision): how each plan's units were found, as a struct: the mode asked for, the fraction of coloured pixels, the
+    mode taken and why, the units (plan_id, unit) found, the fraction after cleaning, the artefacts written by name, and the
+    colour ranges used.  What a manual mode or the structure mode does not look at is null.
+    """
+    probe = raster.mask_fraction(pixels, ranges).select("plan_id", "fraction", raster.choose_mode(F.col("fraction"), mode)["mode"].alias("selected"))
+    clean = cleaned_mask(pixels, extent, ranges).groupBy("plan_id").agg((F.count("*") / (extent[0] * extent[1])).alias("cleaned"))
+    found = units.groupBy("plan_id").agg(F.count_distinct("unit").alias("units_found"))
+    rows = probe.join(clean, "plan_id", "left").join(found, "plan_id", "left")
+    auto, color = F.lit(mode == "auto"), F.col("selected") == "color"
+    # The names of the record's fields and reasons.
+    reason = F.when(F.col("fraction") >= 0.02, "strict_color_frac>=0.02").otherwise("standard_preference")
+    used = F.array(*(F.array(*(F.array(*map(F.lit, end)) for end in box)) for box in ranges or raster.PRESETS["orange"]))
+    fields = {
+        "requested_mode": F.lit(mode), "color_pixel_fraction_probe": F.when(auto, F.col("fraction")), "selected_mode": F.col("selected"), "auto_reason": F.when(auto, reason), "mode": F.col("selected"),
+        "units_found": F.coalesce("units_found", F.lit(0)), "orange_pixel_fraction": F.when(color, F.coalesce("cleaned", F.lit(0.0))),
+        "outputs": F.create_map(*(F.lit(v) for kv in sorted(outputs.items()) for v in kv)).cast("map<string,string>"), "hsv_ranges_used": used,
+    }
+    return rows.select("plan_id", F.struct(*(v.alias(k) for k, v in fields.items())).alias("decision"))
+
+
 def extract(pixels: DataFrame, extent: raster.Extent, mode: str = "auto", ranges: list[raster.Range] | None = None) -> tuple[str, DataFrame]:
     """(mode, units) of one plan's image; the mode is chosen by the fraction of coloured pixels unless it is given."""
     share: Column = F.col("fraction")

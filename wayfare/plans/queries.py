@@ -470,13 +470,14 @@ def close(spark, d):
     return _xy(raster.closed(raster.hsv_mask(pixels(spark, d)), raster.rect(3), extent(spark, d)))
 
 
-@query(f"""{_SIZE}, {_HSV}, {_LIT} select 'or' as op, count(*) as n from (select * from hsv union select * from lit) union all
-select 'and', count(*) from (select * from hsv intersect select * from lit) union all select 'minus', count(*) from (select * from hsv except select * from lit)
-union all select 'not', 100 * hh - (select count(*) from hsv) from size""")
+@query(f"""{_SIZE}, {_HSV}, {_LIT} select 'or' as op, x, y from (select * from hsv union select * from lit) union all
+select 'and', x, y from (select * from hsv intersect select * from lit) union all select 'minus', x, y from (select * from hsv except select * from lit)
+union all select 'not', x, y from (select c1.x, c2.y from (select unnest(range(0, 100)) as x) c1 cross join (select unnest(range(0, hh)) as y from size) c2 except select * from hsv)""")
 def mask_algebra(spark, d):
     a, b, size = raster.hsv_mask(pixels(spark, d)), _lit(spark, d), extent(spark, d)
     every = {"or": raster.mask_or(a, b), "and": raster.mask_and(a, b), "minus": raster.mask_minus(a, b), "not": raster.mask_not(a, pixels(spark, d), size)}
-    return relational.artefact_counts(**every).withColumnRenamed("name", "op")
+    named = [df.select(F.lit(op).alias("op"), "x", "y") for op, df in every.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
 
 
 def _flood(src: str, diagonal: bool) -> str:
@@ -778,22 +779,25 @@ def exit_connectors(spark, d):
     return spatial.connect_exits(exits, line, free, 1, k=6).select("eid", "tid")
 
 
+def _points_text(corners):
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("corner", "x", "y"))), lambda p: F.concat_ws(",", p["x"], p["y"])), ";")
+    return corners.groupBy("uid").agg(text.alias("kept"))
+
+
 @query("""r as (select uid, 1 as corner, [(x, y)] as kept from fx_unit_corner where corner = 1
 union all select r.uid, c.corner, case when len(list_filter(kept, lambda q: (q[1]-c.x)*(q[1]-c.x)+(q[2]-c.y)*(q[2]-c.y) <= 2500)) = 0 then list_append(kept, (c.x, c.y)) else kept end
 from r join fx_unit_corner c on c.uid = r.uid and c.corner = r.corner + 1)
-select uid, max(len(kept)) as n from r group by uid""")
+select uid, array_to_string(list_transform(arg_max(kept, corner), lambda q: cast(q[1] as varchar) || ',' || cast(q[2] as varchar)), ';') as kept from r group by uid""")
 def dedupe_greedy(spark, d):
-    kept = relational.remove_nearby(view(spark, d, "fx_unit_corner"), KEYS, 50)
-    return kept.groupBy("uid").agg(F.count("*").alias("n"))
+    return _points_text(relational.remove_nearby(view(spark, d, "fx_unit_corner"), KEYS, 50))
 
 
 @query("""r as (select uid, 1 as corner, [(x, y)] as kept from fx_unit_corner where corner = 1
 union all select r.uid, c.corner, case when len(list_filter(kept, lambda q: (q[1]-c.x)*(q[1]-c.x)+(q[2]-c.y)*(q[2]-c.y) < 3600)) = 0 then list_append(kept, (c.x, c.y)) else kept end
 from r join fx_unit_corner c on c.uid = r.uid and c.corner = r.corner + 1)
-select uid, max(len(kept)) as n from r group by uid""")
+select uid, array_to_string(list_transform(arg_max(kept, corner), lambda q: cast(q[1] as varchar) || ',' || cast(q[2] as varchar)), ';') as kept from r group by uid""")
 def superclean(spark, d):
-    kept = relational.superclean(view(spark, d, "fx_unit_corner"), KEYS, 60)
-    return kept.groupBy("uid").agg(F.count("*").alias("n"))
+    return _points_text(relational.superclean(view(spark, d, "fx_unit_corner"), KEYS, 60))
 
 
 # a unit's cells are one rectangle or two; what is outside of it is four half planes, and the quadrant that an L leaves out
@@ -821,11 +825,15 @@ def grid_clusters(spark, d):
     return spatial.cluster_means(view(spark, d, "fx_point"), 8, method="grid").select("pid", "cx", "cy", "cluster")
 
 
-@query("select uid, case when l_shape then 5 else 4 end as n_corners, true as has_all from fx_unit_box")
+@query("""c as (select uid, k, case k when 1 then x0 when 2 then x0 + w when 3 then x0 + w when 4 then x0 + w // 2 else x0 end as x,
+  case k when 1 then y0 when 2 then y0 when 3 then case when l_shape then y0 + h // 2 else y0 + h end else y0 + h end as y
+  from fx_unit_box cross join (values (1), (2), (3), (4), (5)) as t(k) where k <> 4 or l_shape)
+select uid, string_agg(cast(x as varchar) || ',' || cast(y as varchar), ';' order by k) as points, true as has_all from c group by uid""")
 def hull_check(spark, d):
     hull = relational.hulls(view(spark, d, "fx_unit_corner"), KEYS).select("uid", F.col("ring").alias("hull"))
     has = F.forall("ring", lambda p: g.covers("hull", p["x"], p["y"]))
-    return units(spark, d).join(hull, "uid").select("uid", F.size("hull").alias("n_corners"), has.alias("has_all"))
+    text = F.array_join(F.transform("hull", lambda p: F.concat_ws(",", p["x"], p["y"])), ";")
+    return units(spark, d).join(hull, "uid").select("uid", text.alias("points"), has.alias("has_all"))
 
 
 @query("""p as (select uid, row_number() over (partition by uid order by corner * 5 % 7, corner) as k, x, y from fx_unit_corner),
@@ -870,12 +878,21 @@ def artefact_counts(spark, d):
     return relational.artefact_counts(units=units(spark, d), boxes=boxes(spark, d), points=view(spark, d, "fx_point"))
 
 
-@query(f"""{_HSV}, f as (select (select count(*) from hsv) / count(*) as f from fx_pixel)
-select 'auto' as mode, case when f >= 0.01 then 'color' else 'structure' end as selected, round(f, 9) as probe, (select count(distinct unit) from fx_unit_corner) as units_found from f""")
+def _median(src: str, out: str) -> str:
+    every = "(select c1.x, c2.y from (select unnest(range(0, 100)) as x) c1 cross join (select unnest(range(0, hh)) as y from size) c2)"
+    return f"""{out}_n as (select c.x, c.y, count(l.x) as n from {every} c cross join {_offsets([(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])} cross join size
+  left join {src} l on l.x = greatest(0, least(99, c.x + dx)) and l.y = greatest(0, least(hh - 1, c.y + dy)) group by c.x, c.y), {out} as (select x, y from {out}_n where n >= 5)"""
+
+
+@query(f"""{_SIZE}, {_HSV}, {_median('hsv', 'm1')}, {_median('m1', 'm2')}, f as (select (select count(*) from hsv) / count(*) as f from fx_pixel)
+select 'auto' as requested_mode, round(f, 9) as probe, case when f >= 0.01 then 'color' else 'structure' end as selected_mode,
+  case when f >= 0.02 then 'strict_color_frac>=0.02' else 'standard_preference' end as auto_reason, (select count(distinct unit) from fx_unit_corner) as units_found,
+  round((select count(*) from m2) / (select 1e0 * 100 * hh from size), 9) as cleaned, 'centers_csv=c.csv,units_csv=u.csv' as outputs, '4,40,140,22,255,255,22,30,170,32,255,255' as ranges from f""")
 def decision_record(spark, d):
-    probe = raster.mask_fraction(pixels(spark, d)).select("plan_id", "fraction", raster.choose_mode(F.col("fraction")).alias("m"))
-    found = relational.units_found(view(spark, d, "fx_unit_corner"))
-    return probe.join(found, "plan_id").select(F.lit("auto").alias("mode"), F.col("m.mode").alias("selected"), F.round("fraction", 9).alias("probe"), "units_found")
+    found = extract.decision_record(pixels(spark, d), view(spark, d, "fx_unit_corner"), extent(spark, d), {"units_csv": "u.csv", "centers_csv": "c.csv"}).select("decision.*")
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("outputs")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    ranges = F.array_join(F.flatten(F.flatten("hsv_ranges_used")).cast("array<string>"), ",")
+    return found.select("requested_mode", F.round("color_pixel_fraction_probe", 9).alias("probe"), "selected_mode", "auto_reason", "units_found", F.round("orange_pixel_fraction", 9).alias("cleaned"), pairs.alias("outputs"), ranges.alias("ranges"))
 
 
 @query(f"{_NODES} select id, comp as component from cp")
