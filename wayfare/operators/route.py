@@ -7,235 +7,23 @@ task for each plan, as small as the graph is after contraction.
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.operators.graph import degrees, shortest_paths
+from wayfare.operators.matching import least_matching
 from wayfare.plans.scratch import stored
 
 
-class _Blossoms:
-    """A matching of greatest weight in a general graph of nodes 1, 2, ... by shrinking odd circuits (primal-dual, cubic).
-
-    ``weight[u][v]`` are whole numbers, 0 for no edge.  Numbers above ``n`` are circuits that stand for their nodes;
-    ``edge[x][y]`` is the tightest edge of nodes between two of either.
-    """
-
-    def __init__(self, n: int, weight: list[list[int]]):
-        self.n = self.top = n
-        self.weight, size = weight, 2 * n + 2
-        self.edge = [[(u, v) if 0 < u <= n and 0 < v <= n and weight[u][v] > 0 else None for v in range(size)] for u in range(size)]
-        high = max((w for row in weight for w in row), default=0)
-        self.price = [high if 0 < u <= n else 0 for u in range(size)]
-        self.mate, self.slack, self.up, self.seen = ([0] * size for _ in range(4))
-        self.base = [u if u <= n else 0 for u in range(size)]
-        self.kind = [-1] * size  # 0: outer, 1: inner, -1: not reached
-        self.ring: list[list[int]] = [[] for _ in range(size)]
-        self.holds = [[u if u == v and u <= n else 0 for v in range(n + 1)] for u in range(size)]
-        self.queue: list[int] = []
-        self.turn = 0
-        while self._grown():
-            pass
-
-    def _gap(self, e: tuple[int, int]) -> int:
-        return self.price[e[0]] + self.price[e[1]] - 2 * self.weight[e[0]][e[1]]
-
-    def _tighter(self, u: int, x: int) -> None:
-        if not self.slack[x] or self._gap(self.edge[u][x]) < self._gap(self.edge[self.slack[x]][x]):
-            self.slack[x] = u
-
-    def _set_slack(self, x: int) -> None:
-        self.slack[x] = 0
-        for u in range(1, self.n + 1):
-            if self.edge[u][x] and self.base[u] != x and self.kind[self.base[u]] == 0:
-                self._tighter(u, x)
-
-    def _push(self, x: int) -> None:
-        if x <= self.n:
-            self.queue.append(x)
-        else:
-            for y in self.ring[x]:
-                self._push(y)
-
-    def _rebase(self, x: int, b: int) -> None:
-        self.base[x] = b
-        for y in self.ring[x] if x > self.n else ():
-            self._rebase(y, b)
-
-    def _place(self, b: int, x: int) -> int:
-        at = self.ring[b].index(x)
-        if at % 2:
-            self.ring[b][1:] = self.ring[b][:0:-1]
-            return len(self.ring[b]) - at
-        return at
-
-    def _match(self, u: int, v: int) -> None:
-        e = self.edge[u][v]
-        self.mate[u] = e[1]
-        if u > self.n:
-            x = self.holds[u][e[0]]
-            at = self._place(u, x)
-            for k in range(at):
-                self._match(self.ring[u][k], self.ring[u][k ^ 1])
-            self._match(x, v)
-            self.ring[u] = self.ring[u][at:] + self.ring[u][:at]
-
-    def _augment(self, u: int, v: int) -> None:
-        while True:
-            after = self.base[self.mate[u]]
-            self._match(u, v)
-            if not after:
-                return
-            self._match(after, self.base[self.up[after]])
-            u, v = self.base[self.up[after]], after
-
-    def _meet(self, u: int, v: int) -> int:
-        self.turn += 1
-        while u or v:
-            if u:
-                if self.seen[u] == self.turn:
-                    return u
-                self.seen[u] = self.turn
-                u = self.base[self.mate[u]]
-                if u:
-                    u = self.base[self.up[u]]
-            u, v = v, u
-        return 0
-
-    def _shrink(self, u: int, top: int, v: int) -> None:
-        b = self.n + 1
-        while b <= self.top and self.base[b]:
-            b += 1
-        self.top = max(self.top, b)
-        self.price[b], self.kind[b], self.mate[b] = 0, 0, self.mate[top]
-        sides = []
-        for x in (u, v):
-            side = []
-            while x != top:
-                y = self.base[self.mate[x]]
-                side += [x, y]
-                self._push(y)
-                x = self.base[self.up[y]]
-            sides.append(side)
-        self.ring[b] = [top, *sides[0][::-1], *sides[1]]
-        self._rebase(b, b)
-        for x in range(1, self.top + 1):
-            self.edge[b][x] = self.edge[x][b] = None
-        self.holds[b] = [0] * (self.n + 1)
-        for y in self.ring[b]:
-            for x in range(1, self.top + 1):
-                e = self.edge[y][x]
-                if e and (not self.edge[b][x] or self._gap(e) < self._gap(self.edge[b][x])):
-                    self.edge[b][x], self.edge[x][b] = e, self.edge[x][y]
-            for x in range(1, self.n + 1):
-                if self.holds[y][x]:
-                    self.holds[b][x] = y
-        self._set_slack(b)
-
-    def _expand(self, b: int) -> None:
-        for x in self.ring[b]:
-            self._rebase(x, x)
-        x = self.holds[b][self.edge[b][self.up[b]][0]]
-        at = self._place(b, x)
-        for k in range(0, at, 2):
-            inner, outer = self.ring[b][k], self.ring[b][k + 1]
-            self.up[inner] = self.edge[outer][inner][0]
-            self.kind[inner], self.kind[outer], self.slack[inner] = 1, 0, 0
-            self._set_slack(outer)
-            self._push(outer)
-        self.kind[x], self.up[x] = 1, self.up[b]
-        for y in self.ring[b][at + 1 :]:
-            self.kind[y] = -1
-            self._set_slack(y)
-        self.base[b] = 0
-
-    def _found(self, e: tuple[int, int]) -> bool:
-        u, v = self.base[e[0]], self.base[e[1]]
-        if self.kind[v] == -1:
-            self.up[v], self.kind[v] = e[0], 1
-            after = self.base[self.mate[v]]
-            self.slack[v] = self.slack[after] = 0
-            self.kind[after] = 0
-            self._push(after)
-        elif self.kind[v] == 0:
-            top = self._meet(u, v)
-            if not top:
-                self._augment(u, v)
-                self._augment(v, u)
-                return True
-            self._shrink(u, top, v)
-        return False
-
-    def _grown(self) -> bool:
-        """One more pair, if that makes the matching heavier."""
-        n, size = self.n, len(self.kind)
-        self.kind, self.slack, self.queue = [-1] * size, [0] * size, []
-        for x in range(1, self.top + 1):
-            if self.base[x] == x and not self.mate[x]:
-                self.up[x], self.kind[x] = 0, 0
-                self._push(x)
-        if not self.queue:
-            return False
-        while True:
-            k = 0
-            while k < len(self.queue):
-                u = self.queue[k]
-                k += 1
-                if self.kind[self.base[u]] == 1:
-                    continue
-                for v in range(1, n + 1):
-                    if self.edge[u][v] and self.base[u] != self.base[v]:
-                        if self._gap(self.edge[u][v]):
-                            self._tighter(u, self.base[v])
-                        elif self._found(self.edge[u][v]):
-                            return True
-            outer = [x for x in range(1, self.top + 1) if self.base[x] == x]
-            steps = [self.price[b] // 2 for b in outer if b > n and self.kind[b] == 1]
-            for x in outer:
-                if self.slack[x] and self.kind[x] < 1:
-                    gap = self._gap(self.edge[self.slack[x]][x])
-                    steps.append(gap if self.kind[x] == -1 else gap // 2)
-            step = min(steps, default=None)
-            free = [u for u in range(1, n + 1) if self.kind[self.base[u]] == 0]
-            if step is None or any(self.price[u] <= step for u in free):
-                return False
-            for u in range(1, n + 1):
-                self.price[u] += {0: -step, 1: step, -1: 0}[self.kind[self.base[u]]]
-            for b in outer:
-                if b > n:
-                    self.price[b] += {0: 2 * step, 1: -2 * step, -1: 0}[self.kind[b]]
-            self.queue = []
-            for x in range(1, self.top + 1):
-                s = self.slack[x]
-                if self.base[x] == x and s and self.base[s] != x and not self._gap(self.edge[s][x]) and self._found(self.edge[s][x]):
-                    return True
-            for b in range(n + 1, self.top + 1):
-                if self.base[b] == b and self.kind[b] == 1 and not self.price[b]:
-                    self._expand(b)
-
-
 def match_odd(nodes: list[int], dist: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
-    """A perfect matching of least weight, exact at every size; KeyError if there is none.
-
-    Distances are taken as whole numbers of their common binary fraction, so nothing is rounded.
-    """
-    exact = {k: Fraction(w) for k, w in dist.items()}
-    unit = max((w.denominator for w in exact.values()), default=1)  # all are powers of two
-    whole = {k: int(w * unit) for k, w in exact.items()}
-    n, far = len(nodes), max(whole.values(), default=0) * (len(nodes) + 1) + 1  # one more pair outweighs all distances
-    weight = [[0] * (n + 1) for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(i):
-            if (nodes[j], nodes[i]) in whole:
-                weight[i + 1][j + 1] = weight[j + 1][i + 1] = far - whole[nodes[j], nodes[i]]
-    mate = _Blossoms(n, weight).mate[1 : n + 1]
-    if not all(mate):
-        raise KeyError("no perfect matching")
-    return [(nodes[i], nodes[m - 1]) for i, m in enumerate(mate) if i < m - 1]
+    """A perfect matching of least weight, exact at every size; KeyError if there is none."""
+    at = {v: k for k, v in enumerate(nodes)}
+    weight = np.full((len(nodes), len(nodes)), np.inf)
+    for (a, b), d in dist.items():
+        weight[at[a], at[b]] = weight[at[b], at[a]] = d
+    return [(nodes[k], nodes[m]) for k, m in enumerate(least_matching(weight)) if k < m]
 
 
 def circuit(edges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
