@@ -252,6 +252,32 @@ def test_shortest_paths_and_route(spark):
     assert route.route(e.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_shortest_paths_of_random_graphs(spark, monkeypatch, few):
+    """Against Floyd and Warshall, with parallel edges, loops, two plans, and a source without edges; predecessors lie on a shortest path."""
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = random.Random(9)
+    rows = [(p, p * 100 + k, p * 100 + rng.randrange(12), p * 100 + rng.randrange(12), float(rng.randrange(1, 5))) for p in (1, 2) for k in range(20)]
+    dist = {(n, n): 0.0 for _, _, u, v, _ in rows for n in (u, v)} | {(150, 150): 0.0}
+    for _, _, u, v, w in rows:
+        for a, b in ((u, v), (v, u)):
+            dist[a, b] = min(dist.get((a, b), math.inf), w)
+    ids = sorted({a for a, _ in dist})
+    for k in ids:
+        for a in ids:
+            for b in ids:
+                if dist.get((a, k), math.inf) + dist.get((k, b), math.inf) < dist.get((a, b), math.inf):
+                    dist[a, b] = dist[a, k] + dist[k, b]
+    edges = spark.createDataFrame(rows, "plan_id long, eid long, u long, v long, length double")
+    sources = spark.createDataFrame([(n // 100, n) for n in ids], "plan_id long, node long")
+    got = graph.shortest_paths(edges, sources).collect()
+    assert {(r.source, r.node): r.dist for r in got} == dist and len(got) == len(dist)
+    least = {(min(u, v), max(u, v)): min(x[4] for x in rows if {x[2], x[3]} == {u, v}) for _, _, u, v, _ in rows}
+    for r in got:
+        assert (r.via is None) == (r.source == r.node)
+        assert r.via is None or dist[r.source, r.via] + least[min(r.via, r.node), max(r.via, r.node)] == r.dist
+
+
 def test_matching_is_least(spark):
     rng = random.Random(2)
     for n in (2, 4, 6, 8):

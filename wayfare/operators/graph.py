@@ -7,6 +7,7 @@ each round to the shared folder.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -183,13 +184,60 @@ def bridges(nodes: DataFrame, edges: DataFrame, cell: float = 50.0) -> DataFrame
     return out.select("plan_id", "u", "v", "length")
 
 
+def _paths_at_once(steps: DataFrame, sources: DataFrame) -> DataFrame:
+    """``shortest_paths`` of a graph small enough to be sent whole: at most FEW steps of 24 bytes."""
+    rows = steps.select("node", "other", "length").orderBy("node", "other").toArrow()
+    nodes, at = np.unique(np.concatenate([rows.column(c).to_numpy() for c in ("node", "other")]), return_inverse=True)
+    first = np.searchsorted(at[: rows.num_rows], np.arange(len(nodes) + 1))
+    graph = steps.sparkSession.sparkContext.broadcast((nodes, first, at[rows.num_rows :], rows.column("length").to_numpy()))
+
+    def walk(source: int, first: list[int], other: list[int], length: list[float]) -> tuple[list[int], list[float], list[int]]:
+        best, via, done = {source: 0.0}, {source: -1}, []
+        heap, settled = [(0.0, source)], set()
+        while heap:
+            d, u = heappop(heap)
+            if u in settled:
+                continue
+            settled.add(u)
+            done.append(u)
+            for k in range(first[u], first[u + 1]):
+                v, new = other[k], d + length[k]
+                old = best.get(v)
+                if old is None or new < old:
+                    best[v], via[v] = new, u
+                    heappush(heap, (new, v))
+                elif new == old and v not in settled and u < via[v]:
+                    via[v] = u
+        return done, [best[u] for u in done], [via[u] for u in done]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, *parts = graph.value
+        first, other, length = (p.tolist() for p in parts)
+        for batch in batches:
+            for plan, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                k = int(np.searchsorted(nodes, source))
+                there = k < len(nodes) and nodes[k] == source
+                done, dist, via = walk(k, first, other, length) if there else ([0], [0.0], [-1])
+                v = np.array(via)
+                cols = pa.array(np.full(len(done), plan)), pa.array(np.full(len(done), source)), pa.array(nodes[done] if there else np.array([source])), pa.array(dist)
+                before = pa.array(nodes[np.maximum(v, 0)] if there else v, mask=v < 0)
+                yield pa.RecordBatch.from_arrays([*cols, before], ["plan_id", "source", "node", "dist", "via"])
+
+    own = sources.select("plan_id", F.col("node").cast("long").alias("node")).where("node is not null").distinct()
+    parts = max(own.sparkSession.sparkContext.defaultParallelism, 1)
+    return own.repartition(parts, "node").mapInArrow(task, "plan_id long, source long, node long, dist double, via long")
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, most: int = 10_000) -> DataFrame:
     """(plan_id, source, node, dist, via): the least length from each source to all nodes that it reaches, and the node before.
 
     Each round extends only what the last one improved.  Parallel edges count by the shortest; ties by the least node.
+    A graph of at most FEW steps goes to all tasks, which walk it from their own sources without rounds.
     """
-    steps = ends(edges).where("node <> other").groupBy("plan_id", "node", "other").agg(F.min("length").alias("length"))
+    steps = ends(edges).where("node <> other").groupBy("plan_id", "node", "other").agg(F.min("length").cast("double").alias("length"))
     steps = stored(steps, "steps")
+    if steps.count() <= FEW:
+        return _paths_at_once(steps, sources)
     best = stored(sources.select("plan_id", F.col("node").alias("source"), "node", F.lit(0).cast("double").alias("dist"), F.lit(None).cast("long").alias("via")).distinct(), "paths")
     front, key = best, ["plan_id", "source", "node"]
     for _ in range(most):

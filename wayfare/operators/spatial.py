@@ -6,6 +6,10 @@ cell are compared.  Nothing is broadcast by hand; Spark's adaptive execution spl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,13 +164,49 @@ def tiles(cells: DataFrame, *keys: str) -> DataFrame:
     return own.groupBy(*keys, "tx", "ty").agg(F.bit_or("bit").alias("bits"))
 
 
+def line_tiles(lines: DataFrame, key: str, chunk: int = 1 << 20) -> DataFrame:
+    """The cells of lines (plan_id, key, x0, y0, x1, y1: cells; see ``line_cells``) as tiles: plan_id, key, tx, ty, bits.
+
+    A line passes a tile once, so its cells there follow on each other: tiles are made line by line, and nothing is grouped
+    or shuffled.  About ``chunk`` cells are worked on at once.
+    """
+    schema = f"plan_id long, {key} {lines.schema[key].dataType.simpleString()}, tx long, ty long, bits long"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x0, y0, x1, y1 = (batch.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1"))
+            dx, dy = np.abs(x1 - x0), np.abs(y1 - y0)
+            n, m = np.maximum(dx, dy), np.minimum(dx, dy)
+            ends, a = np.cumsum(n + 1), 0
+            while a < len(n):
+                before = int(ends[a - 1]) if a else 0
+                b = max(a + 1, int(np.searchsorted(ends, before + chunk, "right")))
+                line = np.repeat(np.arange(a, b), n[a:b] + 1)
+                i = np.arange(len(line)) - (np.repeat(ends[a:b] - n[a:b] - 1, n[a:b] + 1) - before)
+                short = (2 * i * m[line] + n[line]) // np.maximum(2 * n[line], 1)
+                wide = dx[line] >= dy[line]
+                x = x0[line] + np.where(x1 > x0, 1, -1)[line] * np.where(wide, i, short)
+                y = y0[line] + np.where(y1 > y0, 1, -1)[line] * np.where(wide, short, i)
+                tx, ty = x >> 3, y >> 3
+                bit = np.left_shift(np.uint64(1), ((y & 7) * 8 + (x & 7)).astype(np.uint64))
+                new = np.ones(len(line), bool)
+                new[1:] = (line[1:] != line[:-1]) | (tx[1:] != tx[:-1]) | (ty[1:] != ty[:-1])
+                at = np.flatnonzero(new)
+                own = pa.array(line[at])
+                cols = [batch.column("plan_id").take(own), batch.column(key).take(own), pa.array(tx[at]), pa.array(ty[at]), pa.array(np.bitwise_or.reduceat(bit, at).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, ["plan_id", key, "tx", "ty", "bits"])
+                a = b
+
+    return lines.select("plan_id", key, "x0", "y0", "x1", "y1").where("x0 + y0 + x1 + y1 is not null").mapInArrow(cut, schema)
+
+
 def segments_free(segments: DataFrame, free: DataFrame, downscale: int = 1, key: str = "sid") -> DataFrame:
     """``segments`` (x1, y1, x2, y2 in full size) with ``is_free``: all cells of the line are in the mask ``free``.
 
     Lines and mask meet by tiles of 64 cells, one bit a cell.
     """
-    line = line_cells(*(to_cell(c, downscale) for c in ("x1", "y1", "x2", "y2")))
-    own = tiles(segments.select("plan_id", key, F.explode(line).alias("c")).select("plan_id", key, "c.x", "c.y"), "plan_id", key)
+    ends = {new: to_cell(old, downscale).alias(new) for new, old in zip(("x0", "y0", "x1", "y1"), ("x1", "y1", "x2", "y2"))}
+    own = line_tiles(segments.select(F.col("plan_id").cast("long").alias("plan_id"), key, *ends.values()), key)
     have = tiles(free.select("plan_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")), "plan_id").withColumnRenamed("bits", "have")
     lacks = own.join(have, ["plan_id", "tx", "ty"], "left").where("(bits & ~coalesce(have, 0L)) <> 0")
     blocked = lacks.select("plan_id", key).distinct().withColumn("blocked", F.lit(True))

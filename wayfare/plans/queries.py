@@ -586,7 +586,16 @@ def adaptive_threshold(spark, d):
     return _xy(raster.adaptive_threshold(pixels(spark, d).withColumn("gray", F.col("v")), extent(spark, d)))
 
 
-@query()
+_AROUND = _offsets([(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy])
+
+
+@query(f"""{_SIZE}, sobel as (select p.x, p.y, sum(q.v * dx * case when dy = 0 then 2 else 1 end) as gx, sum(q.v * dy * case when dx = 0 then 2 else 1 end) as gy
+  from fx_pixel p cross join {_AROUND} join fx_pixel q on q.x = p.x + dx and q.y = p.y + dy cross join size where p.x between 1 and 98 and p.y between 1 and hh - 2 group by p.x, p.y),
+turn as (select *, abs(gx) + abs(gy) as m, abs(gy) / greatest(abs(gx), 1e-9) as t from sobel),
+grad as (select x, y, m, case when t > 2.41421356 then 0 else 1 end as sx, case when t < 0.41421356 then 0 when t > 2.41421356 or sign(gx) * sign(gy) >= 0 then 1 else -1 end as sy from turn),
+ridge as (select a.x, a.y, a.m from grad a left join grad l on l.x = a.x - a.sx and l.y = a.y - a.sy left join grad r on r.x = a.x + a.sx and r.y = a.y + a.sy
+  where a.m > 60 and coalesce(a.m > l.m, true) and coalesce(a.m >= r.m, true)),
+reach as (select x, y from ridge where m > 160 union select r.x, r.y from reach a join ridge r on r.y between a.y - 1 and a.y + 1 and r.x between a.x - 1 and a.x + 1) select x, y from reach""")
 def canny(spark, d):
     return _xy(raster.canny(pixels(spark, d).withColumn("gray", F.col("v")), extent(spark, d)))
 
