@@ -147,10 +147,6 @@ def segment_distance2(px: Column, py: Column, e: Column) -> Column:
     return fx * fx + fy * fy
 
 
-def boundary_distance2(ring: Column | str, px: Column, py: Column) -> Column:
-    return F.array_min(F.transform(edges(ring), lambda e: segment_distance2(px, py, e)))
-
-
 def path_length(points: Column | str) -> Column:
     """Length of an open line; 0 for fewer than two points."""
     points = col(points)

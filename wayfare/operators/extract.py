@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import geom as g
 from wayfare.operators import distance, graph, raster, runs
-from wayfare.operators.relational import large_units, numbered_units
+from wayfare.operators.relational import large_units, numbered_units, usable_rings
 from wayfare.operators.route import simplified
 from wayfare.plans.scratch import stored
 
@@ -65,7 +65,7 @@ def pole_centers(units: DataFrame, extent: raster.Extent) -> DataFrame:
 
 def _rings_of(mask: DataFrame, extent: raster.Extent, share: float) -> DataFrame:
     rings = approximated(outlines(mask).where("not hole and parent_id is null"), share)  # what lies in holes is not looked at
-    return large_units(rings.where((F.size("ring") >= 3) & g.is_valid("ring")), *extent)
+    return large_units(usable_rings(rings), *extent)
 
 
 def cleaned_mask(pixels: DataFrame, extent: raster.Extent, ranges: list[raster.Range] | None = None) -> DataFrame:

@@ -300,8 +300,8 @@ def bridged(skeleton_cells: DataFrame, gap: int, extent: Extent) -> DataFrame:
 
 
 def skeleton_points(cells: DataFrame, ds: int) -> DataFrame:
-    """The middles of cells in full size."""
-    return cells.select("plan_id", ((F.col("x") + 0.5) * ds).alias("x"), ((F.col("y") + 0.5) * ds).alias("y"))
+    """(plan_id, tid, x, y): the middles of cells in full size, each with its cell's number."""
+    return cells.select("plan_id", cell_id().alias("tid"), ((F.col("x") + 0.5) * ds).alias("x"), ((F.col("y") + 0.5) * ds).alias("y"))
 
 
 def equalized(image: DataFrame) -> DataFrame:

@@ -494,6 +494,12 @@ def cell_components(spark, d):
     return rows.select("x", "y", F.col("label").bitwiseAND(low).alias("label_x"), F.shiftright("label", 20).bitwiseAND(low).alias("label_y"))
 
 
+@query(f"{_HSV}, {_flood('hsv', True)} select label % 100 as label_x, label // 100 as label_y, count(*) as size from part group by label")
+def component_sizes(spark, d):
+    low, sizes = F.lit((1 << 20) - 1), raster.component_sizes(raster.cell_components(raster.hsv_mask(pixels(spark, d))))
+    return sizes.select(F.col("label").bitwiseAND(low).alias("label_x"), F.shiftright("label", 20).bitwiseAND(low).alias("label_y"), "size")
+
+
 @query(f"{_SIZE}, {_HSV}, {_flood('hsv', False)} select x, y from part where label not in (select label from part cross join size where x in (0, 99) or y in (0, hh - 1))")
 def border_removal(spark, d):
     return _xy(raster.without_border(raster.hsv_mask(pixels(spark, d)), extent(spark, d)))
@@ -556,6 +562,21 @@ def skeleton(spark, d):
     return _xy(raster.skeleton(_lit(spark, d), extent(spark, d)))
 
 
+@query(f"{_SIZE}, {_LIT}, {_thin('lit', 'thin')} select (x + 0.5e0) * 3 as x, (y + 0.5e0) * 3 as y from thin")
+def skeleton_points(spark, d):
+    return _xy(raster.skeleton_points(raster.skeleton(_lit(spark, d), extent(spark, d)), 3))
+
+
+# points of three plans at the same places, a part of them no exits, some outside the image
+@query(f"""e as (select pid % 3 + 1 as plan_id, (x + 500) // 3 as x, (y + 500) // 3 as y from fx_point where pid % 5 <> 0 and pid % 7 <> 0),
+d as (select distinct plan_id, x + dx as x, y + dy as y from e cross join {_offsets(raster.disc(4))} where x between 0 and 299 and y between 0 and 279)
+select * from d where x between 0 and 299 and y between 0 and 279""")
+def exit_discs(spark, d):
+    at = lambda c: F.when(F.col("pid") % 7 != 0, F.col(c) + 500).cast("double")
+    exits = view(spark, d, "fx_point").select((F.col("pid") % 3 + 1).alias("plan_id"), at("x").alias("ex"), at("y").alias("ey"), (F.col("pid") % 5 != 0).alias("is_corridor"))
+    return raster.exit_discs(exits, 3, (300, 280)).select("plan_id", "x", "y")
+
+
 @query(f"{_SIZE}, {_LIT}, {_thin('lit', 'thin')}, wide as {_eroded(_dilated('thin', raster.rect(3)), raster.rect(3))}, {_thin('wide', 'again')} select x, y from again")
 def skeleton_bridged(spark, d):
     size = extent(spark, d)
@@ -868,6 +889,20 @@ def overlay_cells(spark, d):
     return overlay.painted(lines.unionByName(overlay.shapes(trace.where("seq = 1"), 3, "pl_id", "disc", "exit", 3)), (96, 89))
 
 
+@query("""select uid, 'Unit_' || cast(row_number() over (partition by uid % 3 order by uid) as varchar) as unit,
+  'Unit_' || cast(row_number() over (partition by uid % 3, block order by uid) as varchar) as unit_in_block from fx_unit_box""")
+def unit_numbers(spark, d):
+    u = view(spark, d, "fx_unit_box").select((F.col("uid") % 3).alias("plan_id"), "block", "uid")
+    inner = relational.numbered_units(u, "uid", per_block=True).select("uid", F.col("unit").alias("unit_in_block"))
+    return relational.numbered_units(u, "uid").join(inner, "uid").select("uid", "unit", "unit_in_block")
+
+
+# more than 5e-5 of an image of 10,000 x 6,000
+@query("select uid from fx_unit_box where case when l_shape then w * h - (w - w // 2) * (h - h // 2) else w * h end > 3000")
+def min_area_structure(spark, d):
+    return relational.large_units(units(spark, d), 10_000, 6_000, mode="structure").select("uid")
+
+
 # -- tables -------------------------------------------------------------------------------------------------------------
 
 

@@ -53,7 +53,7 @@ def rebuild(
     thin = stored(raster.skeleton(free, small), "skeleton")
     thin = stored(raster.bridged(thin, max(1, round(bridge_px / downscale)) if bridge_px > 0 else 0, small), "bridged")
     cells = thin.withColumn("id", raster.cell_id())
-    centre = stored(cells.select("plan_id", F.col("id").alias("tid"), ((F.col("x") + 0.5) * downscale).alias("x"), ((F.col("y") + 0.5) * downscale).alias("y")), "centre")
+    centre = stored(raster.skeleton_points(thin, downscale), "centre")
     connectors = spatial.connect_exits(exits.withColumnRenamed("uid", "eid"), centre, free, downscale, candidates)
     chain = graph.ordered_chains(graph.cell_neighbours(cells))
     dots = chain.join(centre.withColumnRenamed("tid", "node"), ["plan_id", "node"]).select("plan_id", F.col("chain").alias("pl_id"), F.col("rank").alias("seq"), "x", "y")
