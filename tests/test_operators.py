@@ -113,6 +113,13 @@ def test_exit_points(spark):
     assert not inner.is_corridor and inner.ex is None
 
 
+def test_exit_points_look_no_farther_than_the_ring(spark):
+    ring_of = lambda x, y, w=40: ring((x, y), (x + w, y), (x + w, y + w), (x, y + w))
+    units = rings(spark, ring_of(0, 0), ring_of(45, 0), ring((0, 100), (300, 100), (300, 400), (280, 400), (280, 120), (0, 120))).withColumn("cx", F.element_at("ring", 1)["x"] + 20).withColumn("cy", F.element_at("ring", 1)["y"] + 15.0)
+    few, many = (spatial.exit_points(units, max_steps=n).orderBy("uid").collect() for n in (120, 3_000_000))
+    assert few == many and all(r.is_corridor for r in few)
+
+
 def test_deletes_and_restores(spark):
     units = spark.createDataFrame([(1, "B", "U1", 1), (1, "B", "U1", 2), (1, "B", None, 3), (2, "B", "U1", 4)], "plan_id long, block string, unit string, uid long")
     keys = spark.createDataFrame([(1, " B", "U1\n")], "plan_id long, block string, unit string")
