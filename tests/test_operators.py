@@ -205,6 +205,8 @@ def test_free_mask_runs_between_units(spark):
     exits = spark.createDataFrame([(1, 120.0, 60.0, True), (1, 60.0, 120.0, True), (1, 180.0, 120.0, True), (1, 120.0, 180.0, True), (1, None, None, False)], "plan_id long, ex double, ey double, is_corridor boolean")
     free = {(r.x, r.y) for r in raster.free_mask(units, exits, (260, 260)).collect()}
     assert (40, 40) in free and not free & {(20, 20), (60, 60), (0, 0)}
+    spans = raster.free_runs(units, exits, (260, 260)).collect()
+    assert len(spans) < len(free) / 4 and {(x, r.y) for r in spans for x in range(r.x1, r.x2 + 1)} == free
 
 
 def edge_table(spark, *rows):
