@@ -102,6 +102,15 @@ def test_nearest_against_brute_force(spark):
     assert {(r.pid, r["rank"]): r.tid for r in got.collect()} == want
 
 
+def test_nearest_of_a_crowd(spark):
+    """40,000 points on four places: pairs of points would be 400 million."""
+    n = 40_000
+    at = lambda key: spark.range(n).select(F.lit(1).cast("long").alias("plan_id"), F.col("id").alias(key), (F.col("id") % 2).alias("x"), (F.col("id") % 4 / 2).cast("long").alias("y"))
+    got = spatial.nearest(at("pid"), at("tid"), k=3)
+    assert got.count() == 3 * n and got.where("d2 > 0 or tid <> pid % 4 + 4 * (rank - 1)").isEmpty()
+    assert spatial._radius(at("tid").withColumnsRenamed({"x": "tx", "y": "ty"}), 50.0, 12) < 1
+
+
 def test_exit_points(spark):
     ring_of = lambda x, y, w=40: ring((x, y), (x + w, y), (x + w, y + w), (x, y + w))
     units = rings(spark, ring_of(0, 0), ring_of(45, 0)).withColumn("cx", F.element_at("ring", 1)["x"] + 20).withColumn("cy", F.lit(20.0))
