@@ -1,6 +1,7 @@
 """Images to units, and units to a route, on drawn plans."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -22,6 +23,16 @@ def test_pole_centers(spark):
     assert got[0] == (4, 4, 25) and got[1][2] == 16
 
 
+def test_pole_centers_by_unit_and_by_cell(spark, monkeypatch):
+    """Slanted and crossing rings, two of one unit, at and beyond the edges of the image: one task a unit gives what a search of all cells gives."""
+    draw = random.Random(5)
+    shapes = [ring(*((draw.randint(-15, 55), draw.randint(-15, 55)) for _ in range(draw.randint(3, 8)))) for _ in range(60)]
+    units = rings(spark, *shapes, ring((-30, -30), (-20, -30), (-20, -20)), ring((5, 5), (30, 5))).withColumn("uid", F.col("uid") - (F.col("uid") == 7).cast("int"))
+    by_unit = sorted(tuple(r) for r in extract.pole_centers(units, (45, 40)).collect())
+    monkeypatch.setattr(extract, "BOX", 0)
+    assert by_unit == sorted(tuple(r) for r in extract.pole_centers(units, (45, 40)).collect()) and len(by_unit) > 50
+
+
 def test_units_by_colour(spark):
     size = (60, 40)
     boxes = [(5, 5, 20, 15), (30, 10, 50, 30)]

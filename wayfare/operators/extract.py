@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +13,7 @@ from wayfare.functions import geom as g
 from wayfare.operators import distance, graph, raster, runs
 from wayfare.operators.relational import large_units, numbered_units, usable_rings
 from wayfare.operators.route import simplified
-from wayfare.plans.scratch import stored
+from wayfare.plans.scratch import spread, stored
 
 
 def outlines(mask: DataFrame) -> DataFrame:
@@ -56,11 +60,98 @@ def approximated(rings: DataFrame, share: float, least: float = 0.0) -> DataFram
     return rings.drop("ring").join(back, ["plan_id", "id"])
 
 
+#: Units whose box has no more cells (and columns) than this are worked on one by one, larger ones cell by cell over all tasks.
+BOX, WIDE = 1 << 16, 1 << 10
+
+
+def _filled(rings: list, left: int, top: int, shape: tuple[int, int], extent: raster.Extent) -> np.ndarray:
+    """The cells of rings as in ``raster.polygon_runs``, within their box and one cell around it."""
+    turns, mask = np.zeros((shape[0], shape[1] + 1), np.int64), np.zeros(shape, bool)
+    for x1, y1 in rings:
+        x1, y1 = x1 - left, y1 - top
+        x2, y2 = np.roll(x1, -1), np.roll(y1, -1)
+        level, steep = y1 == y2, y1 != y2
+        np.add.at(turns, (y1[level], np.minimum(x1, x2)[level]), 1)
+        np.add.at(turns, (y1[level], np.maximum(x1, x2)[level] + 1), -1)
+        x1, y1, x2, y2 = x1[steep], y1[steep], x2[steep], y2[steep]
+        dx, dy = x2 - x1, y2 - y1
+        high = np.abs(dy)
+        e = np.repeat(np.arange(len(high)), high)
+        y = np.minimum(y1, y2)[e] + np.arange(len(e)) - np.repeat(np.cumsum(high) - high, high)
+        at = (x1 + left)[e] + ((y - y1[e]) * dx[e]) / dy[e]
+        order = np.lexsort((at, y))
+        y, at = y[order][::2], at[order]
+        a, b = np.ceil(at[::2]).astype(np.int64) - left, np.floor(at[1::2]).astype(np.int64) - left
+        some = a <= b
+        np.add.at(turns, (y[some], a[some]), 1)
+        np.add.at(turns, (y[some], b[some] + 1), -1)
+        n, m = np.maximum(np.abs(dx), high), np.minimum(np.abs(dx), high)
+        e = np.repeat(np.arange(len(n)), n + 1)
+        i = np.arange(len(e)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+        short = (2 * i * m[e] + n[e]) // (2 * n[e])
+        wide = (np.abs(dx) >= high)[e]
+        mask[y1[e] + np.sign(dy)[e] * np.where(wide, short, i), x1[e] + np.where(dx > 0, 1, -1)[e] * np.where(wide, i, short)] = True
+    mask |= turns.cumsum(1)[:, :-1] > 0
+    mask[: max(0, -top)], mask[max(0, extent[1] - top) :] = False, False
+    mask[:, : max(0, -left)], mask[:, max(0, extent[0] - left) :] = False, False
+    return mask
+
+
+def _pole(mask: np.ndarray) -> tuple[int, int, int] | None:
+    """(d2, y, x) of the cell farthest from all cells outside a mask whose edges are off; ties: least y, then x.
+
+    A cell is no farther from the outside than along its column and its row; only cells for which this is enough are measured.
+    """
+
+    def steps(m: np.ndarray) -> np.ndarray:
+        k = np.arange(len(m))[:, None]
+        before = np.maximum.accumulate(np.where(m, 0, k), 0)
+        after = np.minimum.accumulate(np.where(m, len(m), k)[::-1], 0)[::-1]
+        return np.minimum(k - before, after - k)
+
+    g = steps(mask)
+    bound, square, column = np.minimum(g, steps(mask.T).T) ** 2, g * g, np.arange(mask.shape[1])
+    if not bound.any():
+        return None
+
+    def measured(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        size = max(1, (1 << 20) // len(column))
+        return np.concatenate([((x[k : k + size, None] - column) ** 2 + square[y[k : k + size]]).min(1) for k in range(0, len(y), size)])
+
+    y, x = np.nonzero(bound >= measured(*np.nonzero(bound == bound.max())).max())
+    d2 = measured(y, x)
+    k = int(d2.argmax())
+    return int(d2[k]), int(y[k]), int(x[k])
+
+
 def pole_centers(units: DataFrame, extent: raster.Extent) -> DataFrame:
-    """(uid, cx, cy, d2): the cell of each unit farthest from all cells outside it (exact; ties: least y, then x)."""
-    cells = raster.fill_polygons(units.select(F.col("uid").alias("plan_id"), "ring"), 1, extent)
+    """(uid, cx, cy, d2): the cell of each unit farthest from all cells outside it (exact; ties: least y, then x).
+
+    A unit of at most BOX cells is filled and measured as a whole by one task; no cells are shuffled.
+    """
+    whole = lambda c: F.transform("ring", lambda p: F.floor(p[c]))
+    ends = [f(whole(c)).alias(n) for n, f, c in (("xa", F.array_min, "x"), ("xb", F.array_max, "x"), ("ya", F.array_min, "y"), ("yb", F.array_max, "y"))]
+    own = units.where(F.size("ring") >= 3).select("uid", F.transform("ring", lambda p: F.struct(F.floor(p["x"]).alias("x"), F.floor(p["y"]).alias("y"))).alias("ring"), *ends, F.exists("ring", lambda p: p["x"].isNull() | p["y"].isNull()).alias("gap"))
+    named = spread(own, "uid").groupBy("uid").agg(F.collect_list("ring").alias("rings"), F.min("xa").alias("xa"), F.max("xb").alias("xb"), F.min("ya").alias("ya"), F.max("yb").alias("yb"), F.bool_or("gap").alias("gap"))
+    named = stored(named.withColumn("small", F.expr(f"not gap and xb - xa < {WIDE} and (xb - xa + 1) * (yb - ya + 1) <= {BOX}")), "rings")
+
+    def poles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for uid, rings, xa, xb, ya, yb in zip(*(batch.column(c).to_pylist() for c in ("uid", "rings", "xa", "xb", "ya", "yb"))):
+                arrays = [tuple(np.array([p[c] for p in ring], np.int64) for c in "xy") for ring in rings]
+                found = _pole(_filled(arrays, xa - 1, ya - 1, (yb - ya + 3, xb - xa + 3), extent))
+                if found:
+                    rows.append((uid, found[2] + xa - 1, found[1] + ya - 1, found[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["uid", "cx", "cy", "d2"])
+
+    small = spread(named.where("small").select("uid", "rings", "xa", "xb", "ya", "yb"), "uid").mapInArrow(poles, "uid long, cx long, cy long, d2 long")
+    large = named.where("not small").select("uid", F.explode("rings").alias("ring"))
+    if large.isEmpty():
+        return small
+    cells = raster.fill_polygons(large.select(F.col("uid").alias("plan_id"), "ring"), 1, extent)
     far = distance.euclidean(cells).groupBy(F.col("plan_id").alias("uid")).agg(F.min(F.struct((-F.col("d2")).alias("n"), "y", "x")).alias("b"))
-    return far.select("uid", F.col("b.x").alias("cx"), F.col("b.y").alias("cy"), (-F.col("b.n")).alias("d2"))
+    return small.unionByName(far.select("uid", F.col("b.x").alias("cx"), F.col("b.y").alias("cy"), (-F.col("b.n")).alias("d2")))
 
 
 def _rings_of(mask: DataFrame, extent: raster.Extent, share: float) -> DataFrame:
