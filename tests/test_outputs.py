@@ -15,6 +15,15 @@ def _draw(spark, *rows):
     return spark.createDataFrame([(p, layer, s, kind, c, w, k, float(x), float(y)) for p, layer, s, kind, c, w, pts in rows for k, (x, y) in enumerate(pts)], "plan_id long, layer int, shape string, kind string, colour int, width int, seq long, x double, y double")
 
 
+def test_painted_cells_are_not_sorted(spark):
+    rows = [(1, 2, str(k), "line", k, 2, i, float(i * 9), float(k)) for k in range(12) for i in (0, 1)] + [(1, 2, None, "disc", 7, 1, 0, 4.0, 4.0)]
+    draw = spark.createDataFrame(rows, "plan_id long, layer int, shape string, kind string, colour int, width int, seq long, x double, y double")
+    found = overlay.painted(draw, (10, 12))
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.x, r.y): r.colour for r in found.collect()}
+    assert got[0, 0] == 1 and got[0, 8] == 9 and got[0, 9] == 9 and got[0, 10] == 11 and got[4, 5] == 6 and got[4, 9] == 9
+
+
 def test_painted_cells(spark):
     """Rings are closed, lines open, higher layers and later names on top; plans at the same places do not mix."""
     draw = _draw(

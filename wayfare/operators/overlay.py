@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from wayfare.operators.raster import CELL, disc
 from wayfare.operators.runs import Extent
 from wayfare.operators.spatial import line_cells
+from wayfare.plans.scratch import stored
 
 # Colours of layers.
 COLOURS = {"unit": 0x00FF00, "block": 0x0000FF, "centre": 0xFF00FF, "line": 0xC800C8, "connector": 0x008000, "exit": 0xFF0000, "route": 0xC800C8, "mask": 0xFFFFFF}
@@ -64,12 +66,24 @@ def painted(draw: DataFrame, extent: Extent) -> DataFrame:
     steps = at.where("kind <> 'disc'").withColumn("x2", onto("x")).withColumn("y2", onto("y")).withColumn("n", count)
     steps = steps.where("x2 is not null or n = 1")
     cells = F.explode(line_cells(F.col("x"), F.col("y"), F.coalesce("x2", "x"), F.coalesce("y2", "y")))
-    own = "plan_id", "layer", "shape", "colour", "width"
-    lines = steps.select(*own, cells.alias("c")).select(*own, "c.*").distinct().withColumn("o", F.explode(_thick(F.col("width"))))
-    discs = at.where("kind = 'disc'").select(*own, "x", "y").withColumn("o", F.explode(_round(F.col("width"))))
-    moved = lines.unionByName(discs).select("plan_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "layer", "shape", "colour")
+    # what is on top is told by a number, so that tasks keep a row a cell and no cells are sorted
+    own = "plan_id", "layer", "shape", "colour"
+    number = F.dense_rank().over(Window.partitionBy("plan_id").orderBy("layer", "shape", "colour"))  # a row a shape
+    tops = stored(draw.select(*own).distinct().withColumn("top", number), "tops").alias("t")
+
+    def numbered(rows: DataFrame, *columns: str) -> DataFrame:
+        same = reduce(Column.__and__, (F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in own))
+        return rows.alias("r").join(tops, same).select("r.plan_id", "t.top", "r.colour", "r.width", *(f"r.{c}" for c in columns))
+
+    def upper(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*CELL, *keys).agg(F.max_by("colour", "top").alias("colour"), F.max("top").alias("top"))
+
+    kept = "plan_id", "top", "colour", "width"
+    lines = upper(numbered(steps, "x", "y", "x2", "y2").select(*kept, cells.alias("c")).select(*kept, "c.*"), "width").withColumn("o", F.explode(_thick(F.col("width"))))
+    discs = upper(numbered(at.where("kind = 'disc'"), "x", "y"), "width").withColumn("o", F.explode(_round(F.col("width"))))
+    moved = lines.unionByName(discs).select("plan_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "top", "colour")
     inside = moved.where(F.col("x").between(0, extent[0] - 1) & F.col("y").between(0, extent[1] - 1))
-    return inside.groupBy(*CELL).agg(F.max_by("colour", F.struct("layer", "shape", "colour")).alias("colour"))
+    return upper(inside).select(*CELL, "colour")
 
 
 def mask_mosaic(left: DataFrame, right: DataFrame, width: int, colour: int = COLOURS["mask"]) -> DataFrame:
