@@ -296,6 +296,22 @@ def test_shortest_paths_of_random_graphs(spark, monkeypatch, few):
         assert r.via is None or dist[r.source, r.via] + least[min(r.via, r.node), max(r.via, r.node)] == r.dist
 
 
+def test_shortest_paths_of_plans_without_rounds(spark, monkeypatch):
+    """Of a large table only plans that are large themselves take rounds; both ways give the same distances."""
+    monkeypatch.setattr(graph, "FEW", 0)
+    rng = random.Random(4)
+    rows = [(p, p * 100 + k, p * 100 + rng.randrange(12), p * 100 + rng.randrange(12), float(rng.randrange(1, 5))) for p in (1, 2, 3) for k in range(20 if p < 3 else 60)]
+    edges = spark.createDataFrame(rows, "plan_id long, eid long, u long, v long, length double")
+    sources = spark.createDataFrame([(p, p * 100 + k) for p in (1, 2, 3, 4) for k in range(12)], "plan_id long, node long")
+    rounds, seen = graph._paths_in_rounds, []
+    monkeypatch.setattr(graph, "_paths_in_rounds", lambda steps, own, most: seen.append({r.plan_id for r in own.distinct().collect()}) or rounds(steps, own, most))
+    found = []
+    for paths in (1 << 20, 600, 0):
+        monkeypatch.setattr(graph, "PATHS", paths)
+        found.append(sorted((r.plan_id, r.source, r.node, r.dist) for r in graph.shortest_paths(edges, sources).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 300 and seen == [{3}, {1, 2, 3}]
+
+
 def test_matching_is_least(spark):
     rng = random.Random(2)
     for n in (2, 4, 6, 8):

@@ -184,6 +184,27 @@ def bridges(nodes: DataFrame, edges: DataFrame, cell: float = 50.0) -> DataFrame
     return out.select("plan_id", "u", "v", "length")
 
 
+def _walk(source: int, first: list[int], other: list[int], length: list[float]) -> tuple[list[int], list[float], list[int]]:
+    """Nodes that a source reaches, nearest first, their distances and the nodes before them (-1: none)."""
+    best, via, done = {source: 0.0}, {source: -1}, []
+    heap, settled = [(0.0, source)], set()
+    while heap:
+        d, u = heappop(heap)
+        if u in settled:
+            continue
+        settled.add(u)
+        done.append(u)
+        for k in range(first[u], first[u + 1]):
+            v, new = other[k], d + length[k]
+            old = best.get(v)
+            if old is None or new < old:
+                best[v], via[v] = new, u
+                heappush(heap, (new, v))
+            elif new == old and v not in settled and u < via[v]:
+                via[v] = u
+    return done, [best[u] for u in done], [via[u] for u in done]
+
+
 def _paths_at_once(steps: DataFrame, sources: DataFrame) -> DataFrame:
     """``shortest_paths`` of a graph small enough to be sent whole: at most FEW steps of 24 bytes."""
     rows = steps.select("node", "other", "length").orderBy("node", "other").toArrow()
@@ -191,25 +212,6 @@ def _paths_at_once(steps: DataFrame, sources: DataFrame) -> DataFrame:
     first = np.searchsorted(at[: rows.num_rows], np.arange(len(nodes) + 1))
     graph = steps.sparkSession.sparkContext.broadcast((nodes, first, at[rows.num_rows :], rows.column("length").to_numpy()))
 
-    def walk(source: int, first: list[int], other: list[int], length: list[float]) -> tuple[list[int], list[float], list[int]]:
-        best, via, done = {source: 0.0}, {source: -1}, []
-        heap, settled = [(0.0, source)], set()
-        while heap:
-            d, u = heappop(heap)
-            if u in settled:
-                continue
-            settled.add(u)
-            done.append(u)
-            for k in range(first[u], first[u + 1]):
-                v, new = other[k], d + length[k]
-                old = best.get(v)
-                if old is None or new < old:
-                    best[v], via[v] = new, u
-                    heappush(heap, (new, v))
-                elif new == old and v not in settled and u < via[v]:
-                    via[v] = u
-        return done, [best[u] for u in done], [via[u] for u in done]
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, *parts = graph.value
         first, other, length = (p.tolist() for p in parts)
@@ -217,7 +219,7 @@ def _paths_at_once(steps: DataFrame, sources: DataFrame) -> DataFrame:
             for plan, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 k = int(np.searchsorted(nodes, source))
                 there = k < len(nodes) and nodes[k] == source
-                done, dist, via = walk(k, first, other, length) if there else ([0], [0.0], [-1])
+                done, dist, via = _walk(k, first, other, length) if there else ([0], [0.0], [-1])
                 v = np.array(via)
                 cols = pa.array(np.full(len(done), plan)), pa.array(np.full(len(done), source)), pa.array(nodes[done] if there else np.array([source])), pa.array(dist)
                 before = pa.array(nodes[np.maximum(v, 0)] if there else v, mask=v < 0)
@@ -228,16 +230,53 @@ def _paths_at_once(steps: DataFrame, sources: DataFrame) -> DataFrame:
     return own.repartition(parts, "node").mapInArrow(task, "plan_id long, source long, node long, dist double, via long")
 
 
+#: Plans with no more pairs of a source and a step than this are walked by one task each.
+PATHS = 1 << 20
+
+
+def _paths_by_plan(steps: DataFrame, sources: DataFrame) -> DataFrame:
+    """``shortest_paths`` of plans with at most PATHS pairs of a source and a step: a plan's steps and sources meet in one task."""
+
+    def walk(steps: pa.Table, sources: pa.Table) -> pa.Table:
+        own = np.unique(sources.column("node").to_numpy())
+        rows = steps.sort_by([("node", "ascending"), ("other", "ascending")])
+        node, other = rows.column("node").to_numpy(), rows.column("other").to_numpy()
+        nodes, at = np.unique(np.concatenate([node, other, own]), return_inverse=True)
+        first = np.searchsorted(at[: len(node)], np.arange(len(nodes) + 1)).tolist()
+        onto, length = at[len(node) : 2 * len(node)].tolist(), rows.column("length").to_pylist()
+        found = [_walk(k, first, onto, length) for k in at[2 * len(node) :].tolist()]
+        size = [len(done) for done, _, _ in found]
+        done, dist, via = (np.array([v for f in found for v in f[k]], kind) for k, kind in ((0, np.int64), (1, float), (2, np.int64)))
+        plan = pa.array(np.full(len(done), (sources if len(own) else steps).column("plan_id")[0].as_py()), pa.int64())
+        cols = plan, pa.array(np.repeat(own, size), pa.int64()), pa.array(nodes[done], pa.int64()), pa.array(dist), pa.array(nodes[np.maximum(via, 0)], pa.int64(), mask=via < 0)
+        return pa.table(list(cols), ["plan_id", "source", "node", "dist", "via"])
+
+    both = (t.select(F.col("plan_id").cast("long").alias("plan_id"), *c).groupBy("plan_id") for t, c in ((steps, (F.col("node").cast("long").alias("node"), F.col("other").cast("long").alias("other"), "length")), (sources, ("node",))))
+    return next(both).cogroup(next(both)).applyInArrow(walk, "plan_id long, source long, node long, dist double, via long")
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, most: int = 10_000) -> DataFrame:
     """(plan_id, source, node, dist, via): the least length from each source to all nodes that it reaches, and the node before.
 
     Each round extends only what the last one improved.  Parallel edges count by the shortest; ties by the least node.
-    A graph of at most FEW steps goes to all tasks, which walk it from their own sources without rounds.
+    A graph of at most FEW steps goes to all tasks, which walk it from their own sources without rounds; of a larger one only
+    plans with more than PATHS pairs of a source and a step take rounds.
     """
     steps = ends(edges).where("node <> other").groupBy("plan_id", "node", "other").agg(F.min("length").cast("double").alias("length"))
     steps = stored(steps, "steps")
     if steps.count() <= FEW:
         return _paths_at_once(steps, sources)
+    own = stored(sources.select("plan_id", F.col("node").cast("long").alias("node")).where("node is not null").distinct(), "sources")
+    size = steps.groupBy("plan_id").agg(F.count("*").alias("n")).join(own.groupBy("plan_id").agg(F.count("*").alias("k")), "plan_id")
+    crowded = stored(size.where(F.col("n") * F.col("k") > PATHS).select("plan_id"), "crowded")
+    small = _paths_by_plan(*(t.join(crowded, "plan_id", "left_anti") for t in (steps, own)))
+    if crowded.isEmpty():
+        return small
+    return small.unionByName(_paths_in_rounds(*(t.join(crowded, "plan_id", "left_semi") for t in (steps, own)), most))
+
+
+def _paths_in_rounds(steps: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    steps = stored(steps, "steps")
     best = stored(sources.select("plan_id", F.col("node").alias("source"), "node", F.lit(0).cast("double").alias("dist"), F.lit(None).cast("long").alias("via")).distinct(), "paths")
     front, key = best, ["plan_id", "source", "node"]
     for _ in range(most):
