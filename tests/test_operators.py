@@ -312,6 +312,19 @@ def test_shortest_paths_of_plans_without_rounds(spark, monkeypatch):
     assert found[0] == found[1] == found[2] and len(found[0]) > 300 and seen == [{3}, {1, 2, 3}]
 
 
+def test_simplified_lines_stay_in_columns(spark):
+    """Null, empty and short lines, columns beside them; points are not made objects one by one."""
+    from pyspark.sql import functions as F
+
+    zigzag = [(k, k % 2 * 5) for k in range(9)]
+    rows = [(0, None), (1, []), (2, [(1, 1)]), (3, [(0, 0), (5, 1), (9, 0)]), (4, zigzag), (5, None), (6, [(k, 0) for k in range(2000)])]
+    lines = spark.createDataFrame(rows, "pl_id long, points array<struct<x: long, y: long>>").repartition(1)
+    found = route.simplified(lines.withColumn("n", F.size("points")), 1.2)
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString() and found.schema["points"].dataType == lines.schema["points"].dataType
+    got = {r.pl_id: r.points and [tuple(p) for p in r.points] for r in found.collect()}
+    assert got == {0: None, 1: [], 2: [(1, 1)], 3: [(0, 0), (9, 0)], 4: zigzag, 5: None, 6: [(0, 0), (1999, 0)]}
+
+
 def test_matching_is_least(spark):
     rng = random.Random(2)
     for n in (2, 4, 6, 8):

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,29 +129,33 @@ def simplified(lines: DataFrame, eps: float) -> DataFrame:
     """
     if eps <= 0:
         return lines
-    from pyspark.sql.functions import pandas_udf
-
     kind = lines.schema["points"].dataType
 
-    @pandas_udf(kind)
-    def simple(points: pd.Series) -> pd.Series:
-        def one(line):
-            p = np.array([(v["x"], v["y"]) for v in line], float)
-            keep, stack = [0, len(p) - 1], [(0, len(p) - 1)]
-            while stack:
-                a, b = stack.pop()
-                if b - a < 2:
-                    continue
-                way, own = p[b] - p[a], p[a + 1 : b] - p[a]
-                size = way @ way
-                t = np.clip(own @ way / size, 0, 1) if size else np.zeros(len(own))
-                d = ((t[:, None] * way - own) ** 2).sum(1)
-                at = int(d.argmax())
-                if d[at] > eps * eps:
-                    keep.append(a + 1 + at)
-                    stack += [(a, a + 1 + at), (a + 1 + at, b)]
-            return [line[k] for k in sorted(keep)]
-
-        return points.map(lambda line: line if line is None or len(line) < 3 else one(line))
+    def kept(p: np.ndarray) -> list[int]:
+        keep, stack = [0, len(p) - 1], [(0, len(p) - 1)]
+        while stack:
+            a, b = stack.pop()
+            if b - a < 2:
+                continue
+            way, own = p[b] - p[a], p[a + 1 : b] - p[a]
+            size = way @ way
+            t = np.clip(own @ way / size, 0, 1) if size else np.zeros(len(own))
+            d = ((t[:, None] * way - own) ** 2).sum(1)
+            at = int(d.argmax())
+            if d[at] > eps * eps:
+                keep.append(a + 1 + at)
+                stack += [(a, a + 1 + at), (a + 1 + at, b)]
+        return sorted(keep)
+
+    @F.arrow_udf(kind)
+    def simple(points: pa.Array) -> pa.Array:
+        # points stay in Arrow's columns: a line's places are picked, no point becomes an object
+        size, flat = points.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), points.flatten()
+        place = np.stack([pc.struct_field(flat, c).to_numpy(zero_copy_only=False).astype(float) for c in "xy"], 1)
+        begin = np.cumsum(size) - size
+        some = [np.arange(a, a + n) if n < 3 else a + np.array(kept(place[a : a + n])) for a, n in zip(begin, size)]
+        ends = np.concatenate([[0], np.cumsum([len(k) for k in some])]).astype(np.int32)
+        picked = flat.take(pa.array(np.concatenate(some) if some else np.zeros(0), pa.int64()))
+        return pa.ListArray.from_arrays(pa.array(ends), picked, mask=points.is_null())
 
     return lines.withColumn("points", simple("points"))
