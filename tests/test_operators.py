@@ -257,6 +257,48 @@ def test_ranked_chains(spark, monkeypatch, few):
         graph.ranked(np.array([1, 2, 3]), np.array([2, 3, 1]))
 
 
+@pytest.fixture
+def no_rounds(monkeypatch):
+    """Small tables count as large ones, and rounds on them are errors."""
+    from wayfare.operators import components as c
+
+    def strict(df, name="stage"):
+        assert name not in ("stars", "ranks")
+        return whole(df, name)
+
+    whole = c.stored
+    for module in (c, graph):
+        monkeypatch.setattr(module, "FEW", 50)
+        monkeypatch.setattr(module, "stored", strict)
+
+
+def test_near_nodes_and_lists_are_settled_by_blocks(spark, no_rounds):
+    pairs = [(k, k + 1) for k in range(16350, 16450)] + [(70000 + k, 70001 + k) for k in range(0, 90, 3)]
+    want = {k: 16350 for k in range(16350, 16451)} | {70000 + k + j: 70000 + k for k in range(0, 90, 3) for j in (0, 1)}
+    table = spark.createDataFrame(pairs, "u long, v long")
+    assert {r.id: r.component for r in components(table, block=lambda c: F.shiftright(c, 14)).collect()} == want
+    back = table.select(F.col("v").alias("id"), F.col("u").alias("next"))  # a list from 16450 on, over the edge of a block
+    got = {r.id: (r.head, r["rank"]) for r in graph.ranked_chains(back).collect()}
+    assert got == {k: (16450, 16450 - k) for k in range(16350, 16451)} | {70000 + k + j: (70001 + k, 1 - j) for k in range(0, 90, 3) for j in (0, 1)}
+
+
+def test_outlines_within_a_tile_are_made_at_once(spark, no_rounds):
+    squares = [(x + dx, y + dy) for x in range(0, 30, 5) for y in range(505, 530, 5) for dx in range(3) for dy in range(3) if (dx, dy) != (1, 1)]
+    rows = graph.contours(cells(spark, *squares)).collect()
+    assert len(rows) == 30 * 16 and len({r.contour for r in rows if r.hole}) == len({r.contour for r in rows if not r.hole}) == 30
+    for contour in {r.contour for r in rows}:
+        own = sorted((r["rank"], r.x, r.y) for r in rows if r.contour == contour)
+        assert [r[0] for r in own] == list(range(len(own))) and min((y, x) for _, x, y in own) == own[0][:0:-1]
+        assert all(abs(a[1] - b[1]) + abs(a[2] - b[2]) == 1 for a, b in zip(own, own[1:] + own[:1]))
+
+
+@pytest.mark.parametrize("bits", [1, 2, 9])
+def test_outlines_over_tiles_are_the_same(spark, bits):
+    rng = random.Random(bits)
+    mask = cells(spark, *((x, y) for x in range(25) for y in range(20) if rng.random() < 0.6))
+    assert sorted(map(tuple, graph.contours(mask, bits).collect())) == sorted(map(tuple, graph.contours(mask).collect()))
+
+
 def test_shortest_paths_and_route(spark):
     e = edge_table(spark, (1, 2, 1), (2, 3, 1), (1, 3, 5), (3, 4, 1), (4, 5, 1), (2, 5, 9), (1, 2, 4))
     odd = graph.degrees(e).where("degree % 2 = 1")

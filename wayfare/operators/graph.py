@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import geom as g
-from wayfare.operators.components import FEW, components
+from wayfare.operators.components import FEW, blocks_of, components, near
 from wayfare.operators.spatial import cell_of, clusters
 from wayfare.plans.scratch import stored
 
@@ -60,7 +60,7 @@ def graph_from_polylines(vertices: DataFrame, snap: float = 12.0) -> tuple[DataF
     two = F.array(F.struct(F.lit(0).alias("side"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.lit(1).alias("side"), F.col("x2").alias("x"), F.col("y2").alias("y")))
     segs = stored(segs, "segments")
     tips = segs.select("plan_id", "eid", F.explode(two).alias("t")).select("plan_id", "eid", "t.*", (F.col("eid") * 2 + F.col("t.side")).alias("pid"))
-    found = stored(clusters(tips, snap), "tips")
+    found = stored(clusters(tips, snap, block=near()), "tips")
     nodes = found.groupBy("plan_id", F.col("cluster").alias("id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     pairs = found.groupBy("plan_id", "eid").agg(F.max(F.when(F.col("side") == 0, F.col("cluster"))).alias("u"), F.max(F.when(F.col("side") == 1, F.col("cluster"))).alias("v"))
     length = F.hypot((F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double"))
@@ -81,7 +81,7 @@ def chains(edges: DataFrame) -> DataFrame:
     loops = ends(edges).where("node = other").select("node").distinct()
     inner = degrees(edges).where("degree = 2").join(loops, "node", "left_anti").select("node")
     meets = ends(edges).join(inner, "node", "left_semi").groupBy("node").agg(F.min("eid").alias("u"), F.max("eid").alias("v"))
-    return edges.join(components(meets).withColumnRenamed("id", "eid"), "eid", "left").withColumn("chain", F.coalesce("component", "eid")).drop("component")
+    return edges.join(components(meets, block=near()).withColumnRenamed("id", "eid"), "eid", "left").withColumn("chain", F.coalesce("component", "eid")).drop("component")
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -98,19 +98,23 @@ def contract(edges: DataFrame) -> DataFrame:
     return sums.join(found, ["plan_id", "eid"]).select("plan_id", "eid", F.coalesce("a", "least").alias("u"), F.coalesce("b", "least").alias("v"), "length", "n_edges")
 
 
+def doubled(back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(head, rank) of each place in lists given by what is before it (a head: itself)."""
+    rank = (back != np.arange(len(back))).astype(np.int64)
+    for _ in range(64):
+        if (back[back] == back).all():
+            return back, rank
+        rank, back = rank + rank[back], back[back]
+    raise RuntimeError("a list is closed")
+
+
 def ranked(ids: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, head, rank) of lists by pointer doubling; see ``ranked_chains``."""
     every, at = np.unique(np.concatenate([ids, following]), return_inverse=True)
     back = np.arange(len(every))
     back[at[len(ids) :]] = at[: len(ids)]
-    rank = (back != np.arange(len(every))).astype(np.int64)
-    for _ in range(64):
-        if (back[back] == back).all():
-            break
-        rank, back = rank + rank[back], back[back]
-    else:
-        raise RuntimeError("a list is closed")
-    return every, every[back], rank
+    head, rank = doubled(back)
+    return every, every[head], rank
 
 
 def _ranked_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,15 +124,45 @@ def _ranked_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in ranked(rows.column("id").to_numpy(), rows.column("next").to_numpy())], ["id", "head", "rank"])
 
 
-def ranked_chains(links: DataFrame) -> DataFrame:
+def _ranked_block(rows: pa.Table) -> pa.Table:
+    """The nodes of a block with the head of what it has of their list, and their rank there; ``next`` where it goes on in another block."""
+    ids, following, own, onto = (rows.column(c).to_numpy() for c in ("id", "next", "own_a", "own_b"))
+    alone = np.concatenate([ids[own & ~onto], following[onto & ~own]])  # what follows a node of another block is a head here
+    inner = own & onto
+    every, at = np.unique(np.concatenate([alone, ids[inner], following[inner]]), return_inverse=True)
+    back = np.arange(len(every))
+    first, then = at[len(alone) :].reshape(2, -1)
+    back[then] = first
+    head, rank = doubled(back)
+    out = np.full(len(every), -1)
+    out[at[: np.count_nonzero(own & ~onto)]] = following[own & ~onto]
+    goes_on = out != -1
+    goes_on[at[: np.count_nonzero(own & ~onto)]] = True
+    return pa.table([every, every[head], rank, pa.array(out, mask=~goes_on)], ["id", "part", "k", "next"])
+
+
+def ranked_chains(links: DataFrame, bits: int = 14) -> DataFrame:
     """(id, head, rank) for lists given as links (id, next), where heads have no link to them: place in the list, from 0.
 
-    Pointers are doubled, so a list of n takes log2(n) rounds; at most FEW links are doubled by one task.  Closed lists
-    must be cut at one link before.
+    At most FEW links are doubled by one task.  Of more, blocks of near numbers are ranked by one task each, which leaves
+    a link for each part of a list, and so on with larger blocks.  If that is no less, pointers are doubled in rounds: log2(n) for a list of n.  Closed
+    lists must be cut at one link before.
     """
     links = stored(links.select("id", "next"), "links")
-    if links.count() <= FEW:
+    size = links.count()
+    if size <= FEW:
         return links.coalesce(1).mapInArrow(_ranked_at_once, "id long, head long, rank long")
+    parts = stored(blocks_of(links, "id", "next", near(bits)).groupBy("block").applyInArrow(_ranked_block, "id long, part long, k long, next long"), "parts")
+    onward = parts.where("next is not null").select(F.col("part").alias("id"), "next", (F.col("k") + 1).alias("n"))
+    rest = onward.count()
+    order = _ranked_in_rounds(onward) if 2 * rest > size else ranked_chains(onward, min(bits + 6, 20))
+    order = order.withColumnsRenamed({"id": "part"}).join(onward.select(F.col("id").alias("part"), "n"), "part", "left")
+    before = F.sum("n").over(Window.partitionBy("head").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    placed = order.select("part", "head", F.coalesce(before, F.lit(0)).alias("before"))
+    return parts.join(placed, "part", "left").select("id", F.coalesce("head", "part").alias("head"), (F.col("k") + F.coalesce("before", F.lit(0))).alias("rank"))
+
+
+def _ranked_in_rounds(links: DataFrame) -> DataFrame:
     back = links.select(F.col("next").alias("id"), F.col("id").alias("prev"))
     every = links.select("id").union(links.select("next")).distinct()
     now = stored(every.join(back, "id", "left").select("id", F.col("prev").alias("at"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("long").alias("rank"), F.coalesce("prev", "id").alias("head")), "ranks")
@@ -351,29 +385,83 @@ def chain_points(edges: DataFrame) -> DataFrame:
     return first.unionByName(order.select("plan_id", "chain", (F.col("rank") + 1).alias("rank"), end(2).alias("p"))).select("plan_id", "chain", "rank", "p.*")
 
 
-def contours(mask: DataFrame) -> DataFrame:
+def _outlined(key: tuple, rows: pa.Table, bits: int) -> pa.Table:
+    """The sides of a tile's cells with their places in what the tile has of their outlines; see ``contours``.
+
+    A tile comes with the cells around it, so it knows what follows each side, also where that is another tile's.
+    """
+    plan, left, top = (int(k.as_py()) for k in key)
+    left, top, wide = (left << bits) - 1, (top << bits) - 1, (1 << bits) + 2
+    on = np.zeros((wide, wide), bool)
+    on[rows.column("y").to_numpy() - top, rows.column("x").to_numpy() - left] = True
+    own = np.zeros_like(on)
+    own[1:-1, 1:-1] = on[1:-1, 1:-1]
+    # a side of direction d, from (ax, ay) to (bx, by), lies between a cell and the one at (dx, dy) of it
+    found = []
+    for d, (dx, dy, ax, ay, bx, by) in enumerate(((0, -1, 0, 0, 1, 0), (1, 0, 1, 0, 1, 1), (0, 1, 1, 1, 0, 1), (-1, 0, 0, 1, 0, 0))):
+        y, x = np.nonzero(own & ~np.roll(on, (-dy, -dx), (0, 1)))
+        found.append(np.stack([y, x, y + dy, x + dx, y + ay, x + ax, y + by, x + bx, np.full(len(y), d)]))
+    y, x, ny, nx, ay, ax, by, bx, d = np.concatenate(found, 1)
+    number = lambda y, x, d: (plan << 44) + ((y + top) << 23) + ((x + left) << 2) + d
+    ids = number(ay, ax, d)
+    order = np.argsort(ids)
+    ids, y, x, ny, nx, ay, ax, by, bx, d = (c[order] for c in (ids, y, x, ny, nx, ay, ax, by, bx, d))
+    # a side of direction e begins at a corner if its cell is on, and the one across is off
+    cell, across = ((0, 0), (0, -1), (-1, -1), (-1, 0)), ((-1, 0), (0, 0), (0, -1), (-1, -1))
+    following = np.full(len(ids), -1)
+    for turn in (2, 1, 0, -1):  # the last that is there stands: the one to the left keeps cells that meet by a corner together
+        e = (d + turn) % 4
+        (cy, cx), (oy, ox) = (np.array(c)[e].T for c in (cell, across))
+        there = on[by + cy, bx + cx] & ~on[by + oy, bx + ox]
+        following[there] = number(by, bx, e)[there]
+    at = np.minimum(np.searchsorted(ids, following), max(len(ids) - 1, 0))
+    inner = ids[at] == following
+    every = np.arange(len(ids))
+    back = every.copy()
+    back[at[inner]] = every[inner]
+    # what is closed within the tile is cut at its least side
+    least, jump = every, back
+    while True:
+        new = np.minimum(least, least[jump])
+        if (new == least).all():
+            break
+        least, jump = new, jump[jump]
+    cut = (least[back] == every) & (back != every)
+    back[cut] = every[cut]
+    head, rank = doubled(back)
+    goes_on = ~inner
+    low = np.full(len(ids), len(ids))
+    np.minimum.at(low, head, every)
+    columns = [np.full(len(ids), plan), ids, ids[head], rank, cut[head], ax + left, ay + top, x + left, y + top, nx + left, ny + top]
+    onward = [pa.array(v, pa.int64(), mask=~goes_on) for v in (following, ids[low[head]] if len(ids) else low, rank[low[head]] if len(ids) else low)]
+    return pa.table([*columns, *onward], ["plan_id", "id", "part", "k", "closed", "x", "y", "cell_x", "cell_y", "out_x", "out_y", "next", "least", "k0"])
+
+
+def contours(mask: DataFrame, bits: int = 9) -> DataFrame:
     """The outlines of a mask as closed lines of cell corners: plan_id, contour, rank, x, y, the cells inside (cell_x, cell_y) and
     outside (out_x, out_y) of the side from there on, hole.
 
     Sides between a cell of the mask and one outside it are directed with the mask on their right; at a corner where
     two outlines touch, cells that meet by a corner stay together.  Outlines are lists of sides, cut at their least
-    side and ranked by pointer doubling.  Holes run the other way around.
+    side (least y, then x).  Tiles of 2^``bits`` cells on each side are outlined by one task each; outlines that leave a tile have a part for each
+    stay in one, and the parts are lists that are ranked in turn.  Holes run the other way around.
     """
-    m = mask.select("plan_id", "x", "y").distinct()
-    out = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("dx", "dy", "ax", "ay", "bx", "by", "d"), row))) for row in ((0, -1, 0, 0, 1, 0, 0), (1, 0, 1, 0, 1, 1, 1), (0, 1, 1, 1, 0, 1, 2), (-1, 0, 0, 1, 0, 0, 3))))
-    sides = m.select("plan_id", "x", "y", F.explode(out).alias("s")).select("plan_id", F.col("x").alias("cell_x"), F.col("y").alias("cell_y"), (F.col("x") + F.col("s.dx")).alias("nx"), (F.col("y") + F.col("s.dy")).alias("ny"), (F.col("x") + F.col("s.ax")).alias("ax"), (F.col("y") + F.col("s.ay")).alias("ay"), (F.col("x") + F.col("s.bx")).alias("bx"), (F.col("y") + F.col("s.by")).alias("by"), F.col("s.d").alias("d"))
-    sides = sides.join(m.select("plan_id", F.col("x").alias("nx"), F.col("y").alias("ny")), ["plan_id", "nx", "ny"], "left_anti")
-    number = F.shiftleft(F.col("plan_id"), 44) + F.shiftleft(F.col("ay"), 23) + F.shiftleft(F.col("ax"), 2) + F.col("d")
-    sides = stored(sides.withColumn("id", number), "sides")
-    onto = sides.select("plan_id", F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("id").alias("next"), F.col("d").alias("d2"))
-    # of two ways on, the one to the left keeps cells that meet by a corner together
-    pick = F.min_by("next", (F.col("d2") - F.col("d") + 5) % 4)
-    links = stored(sides.join(onto, ["plan_id", "bx", "by"]).groupBy("id").agg(pick.alias("next")), "links")
-    loops = components(links.select(F.col("id").alias("u"), F.col("next").alias("v")))
-    ranks = ranked_chains(links.join(loops.where("id = component").select(F.col("id").alias("next")), "next", "left_anti"))
-    rows = sides.join(ranks, "id").select("plan_id", F.col("head").alias("contour"), "rank", F.col("ax").alias("x"), F.col("ay").alias("y"), "cell_x", "cell_y", F.col("nx").alias("out_x"), F.col("ny").alias("out_y"), (F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).alias("cross"))
-    area = rows.groupBy("contour").agg(F.sum("cross").alias("area2"))
-    return rows.drop("cross").join(area.select("contour", (F.col("area2") < 0).alias("hole")), "contour")
+    tiles = lambda c: F.explode(F.sequence(F.shiftright(F.col(c) - 1, bits), F.shiftright(F.col(c) + 1, bits)))
+    m = mask.select("plan_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).where("plan_id is not null and x is not null and y is not null")
+    rows = m.withColumn("tx", tiles("x")).withColumn("ty", tiles("y")).groupBy("plan_id", "tx", "ty")
+    place = "x long, y long, cell_x long, cell_y long, out_x long, out_y long"
+    sides = stored(rows.applyInArrow(lambda key, t: _outlined(key, t, bits), f"plan_id long, id long, part long, k long, closed boolean, {place}, next long, least long, k0 long"), "sides")
+    parts = stored(sides.where("next is not null").select(F.col("part").alias("id"), "next", "least", "k0", (F.col("k") + 1).alias("n")), "parts")
+    loops = stored(parts.join(components(parts, "id", "next").withColumnRenamed("component", "loop"), "id"), "loops")
+    whole = loops.groupBy("loop").agg(F.sum("n").alias("total"), F.min(F.struct("least", "id", "k0")).alias("f")).select("loop", "total", F.col("f.least").alias("contour"), F.col("f.id").alias("start"), F.col("f.k0").alias("skip"))
+    whole = stored(whole, "whole")
+    links = parts.join(whole.select(F.col("start").alias("next")), "next", "left_anti").select("id", "next")
+    order = loops.join(whole, "loop").join(ranked_chains(links).select("id", "rank"), "id", "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("loop").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    order = order.select(F.col("id").alias("part"), "contour", (before - F.col("skip")).alias("before"), "total")
+    columns = ["x", "y", "cell_x", "cell_y", "out_x", "out_y", (F.col("contour").bitwiseAND(3) != 0).alias("hole")]
+    inside = sides.where("closed").withColumn("contour", F.col("part")).select("plan_id", "contour", F.col("k").alias("rank"), *columns)
+    return inside.unionByName(sides.where("not closed").join(order, "part").select("plan_id", "contour", F.pmod(F.col("before") + F.col("k"), "total").alias("rank"), *columns))
 
 
 def line_tips(vertices: DataFrame) -> DataFrame:
