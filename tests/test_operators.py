@@ -299,6 +299,15 @@ def test_outlines_over_tiles_are_the_same(spark, bits):
     assert sorted(map(tuple, graph.contours(mask, bits).collect())) == sorted(map(tuple, graph.contours(mask).collect()))
 
 
+def test_blocks_are_first_searched_for_in_small_cells(spark, monkeypatch):
+    sizes, whole = [], relational.ring_cells
+    monkeypatch.setattr(relational, "ring_cells", lambda t, size, *more: sizes.append(size) or whole(t, size, *more))
+    blocks = rings(spark, SQUARE, ELL).select("plan_id", F.col("uid").alias("idx"), F.col("unit").alias("name"), "ring")
+    points = spark.createDataFrame([(1, 1, 2.0, 2.0), (1, 2, 30.0, 2.0), (1, 3, 900.0, 2.0), (1, 4, 7.0, 12.0)], "plan_id long, pid long, x double, y double")
+    got = {r.pid: r.block for r in relational.assign_block(points, blocks, "pid", cell=100.0).collect()}
+    assert got == {1: "U0", 2: "U0", 3: "U0", 4: "U0"} and sizes[:2] == [25.0, 50.0]
+
+
 def test_shortest_paths_and_route(spark):
     e = edge_table(spark, (1, 2, 1), (2, 3, 1), (1, 3, 5), (3, 4, 1), (4, 5, 1), (2, 5, 9), (1, 2, 4))
     odd = graph.degrees(e).where("degree % 2 = 1")
