@@ -282,6 +282,12 @@ def test_near_nodes_and_lists_are_settled_by_blocks(spark, no_rounds):
     assert got == {k: (16450, 16450 - k) for k in range(16350, 16451)} | {70000 + k + j: (70001 + k, 1 - j) for k in range(0, 90, 3) for j in (0, 1)}
 
 
+def test_plans_of_near_nodes_are_connected_without_rounds(spark, no_rounds):
+    e = spark.createDataFrame([(k // 40, k, k, k + 1, 1) for k in range(0, 400) if k % 40 < 30], "plan_id long, eid long, u long, v long, length long")
+    nodes = e.select("plan_id", F.col("u").alias("id")).union(e.select("plan_id", "v")).distinct()
+    assert {r.id: r.component for r in graph.connected(nodes, e).collect()} == {k: k // 40 * 40 for k in range(400) if k % 40 < 31}
+
+
 def test_outlines_within_a_tile_are_made_at_once(spark, no_rounds):
     squares = [(x + dx, y + dy) for x in range(0, 30, 5) for y in range(505, 530, 5) for dx in range(3) for dy in range(3) if (dx, dy) != (1, 1)]
     rows = graph.contours(cells(spark, *squares)).collect()

@@ -174,7 +174,7 @@ def _ranked_in_rounds(links: DataFrame) -> DataFrame:
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` with ``component``: its least node."""
-    comps = components(edges)
+    comps = components(edges, block=near())
     return nodes.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
