@@ -85,6 +85,43 @@ def test_snapping_moves_to_the_commonest_place(spark):
     assert spatial.snap_vertices(df.where("false"), 14).count() == 0
 
 
+def _near_by_hand(rows, tol):
+    """Pairs of (plan, key, x, y) and the least key of each one's cluster, comparing all with all."""
+    pairs = [(p, a, b, (x - u) ** 2 + (y - v) ** 2) for p, a, x, y in rows for q, b, u, v in rows if p == q and a < b and None not in (x, y, u, v) and (x - u) ** 2 + (y - v) ** 2 <= tol * tol]
+    least = {k: k for _, k, *_ in rows}
+    for _ in rows:
+        for _, a, b, _ in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    return sorted(pairs), least
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_near_points_over_tiles_are_those_of_all_pairs(spark, kind, monkeypatch):
+    rng = random.Random(kind)
+    place = (lambda n: rng.randint(-n, n)) if kind == "long" else lambda n: rng.uniform(-n, n)
+    rows = [(1 + k % 2, k, place(40 * (1 + k % 3)), place(40)) for k in range(400)]  # tiles of 64 cells of 1.5 and 1.05
+    rows += [(1, 400 + k, rows[k][2], rows[k][3]) for k in range(0, 40, 4)] + [(1, 500, None, rows[0][3]), (2, 501, rows[1][2], rows[1][3])]
+    df = spark.createDataFrame(rows, f"plan_id long, pid long, x {kind}, y {kind}")
+    pairs, least = _near_by_hand(rows, 1.5)
+    assert sorted((r.plan_id, r.a, r.b, r.d2) for r in spatial.radius_pairs(df, 1.5).collect()) == pairs
+    monkeypatch.setattr(spatial, "radius_pairs", None)  # clusters make no row for a pair
+    assert {r.pid: r.cluster for r in spatial.clusters(df, 1.5).collect()} == least
+
+
+def test_crowded_points_are_clustered_without_a_row_for_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "radius_pairs", None)
+    df = spark.range(40_000).select(F.lit(1).cast("long").alias("plan_id"), F.col("id").alias("pid"), (F.col("id") % 200).alias("x"), F.floor(F.col("id") / 200).alias("y"))
+    assert spatial.clusters(df, 12).where("cluster = 0").count() == 40_000  # 8.6 million pairs
+
+
+def test_batches_are_cut_between_tiles(spark):
+    import pyarrow as pa
+
+    batches = [pa.record_batch([[1] * 4, [0, 0, 1, 1]], ["p", "t"]), pa.record_batch([[1] * 3, [1, 1, 1]], ["p", "t"]), pa.record_batch([[1, 2], [2, 2]], ["p", "t"])]
+    got = [[tuple(r.values()) for r in t.to_pylist()] for t in spatial._whole(iter(batches), ["p", "t"], 3)]
+    assert got == [[(1, 0)] * 2, [(1, 1)] * 5 + [(1, 2), (2, 2)]]  # a tile over two batches stays whole
+
+
 def test_clusters_are_transitive_and_means_weigh_copies(spark):
     df = spark.createDataFrame([(1, k, x, 0) for k, x in enumerate([0, 0, 10, 20, 50])], "plan_id long, pid long, x long, y long")
     got = {r.pid: (r.cluster, r.cx) for r in spatial.cluster_means(df, 12).collect()}
