@@ -319,6 +319,21 @@ def test_near_nodes_and_lists_are_settled_by_blocks(spark, no_rounds):
     assert got == {k: (16450, 16450 - k) for k in range(16350, 16451)} | {70000 + k + j: (70001 + k, 1 - j) for k in range(0, 90, 3) for j in (0, 1)}
 
 
+def test_chains_are_found_once_and_ordered_by_numbers_of_directions(spark, monkeypatch):
+    # a path over shuffled nodes, a ring, a ring on a stalk, a self-loop, a pair of parallel edges
+    rows = [(1, 1, 5, 3), (1, 2, 9, 3), (1, 3, 9, 2), (2, 11, 22, 21), (2, 12, 22, 23), (2, 13, 21, 23), (3, 21, 31, 32), (3, 22, 33, 32), (3, 23, 33, 34), (3, 24, 34, 32), (4, 31, 41, 41), (5, 41, 51, 52), (5, 42, 52, 51)]
+    e = spark.createDataFrame([(*r, 1.0) for r in rows], "plan_id long, eid long, u long, v long, length double")
+    calls, whole, sent, ranked = [], graph.components, [], graph.ranked_chains
+    monkeypatch.setattr(graph, "components", lambda t, *a, **k: calls.append(t) or whole(t, *a, **k))
+    monkeypatch.setattr(graph, "ranked_chains", lambda t, *a: sent.append(t.count()) or ranked(t, *a))
+    got = {}
+    for r in sorted(graph.ordered_edges(e).collect(), key=lambda r: (r.chain, r["rank"])):
+        got.setdefault(r.chain, [r.a]).append(r.b)
+        assert (r.a, r.b) in ((u, v) if r.d == 0 else (v, u) for _, k, u, v in rows if k == r.eid)
+    assert got == {1: [2, 9, 3, 5], 11: [21, 22, 23, 21], 21: [31, 32], 22: [32, 33, 34, 32], 31: [41, 41], 41: [51, 52, 51]}
+    assert len(calls) == 1 and sent == [2 * 2 + 2 * 2 + 2 * 2 + 1 * 2]  # two a joint, none where a ring begins
+
+
 def test_plans_of_near_nodes_are_connected_without_rounds(spark, no_rounds):
     e = spark.createDataFrame([(k // 40, k, k, k + 1, 1) for k in range(0, 400) if k % 40 < 30], "plan_id long, eid long, u long, v long, length long")
     nodes = e.select("plan_id", F.col("u").alias("id")).union(e.select("plan_id", "v")).distinct()

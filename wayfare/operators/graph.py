@@ -76,20 +76,30 @@ def prune_spurs(edges: DataFrame, least: float, rounds: int = 3) -> DataFrame:
     return edges
 
 
-def chains(edges: DataFrame) -> DataFrame:
-    """``edges`` with ``chain``: edges that meet in nodes of degree 2 (not self-loops) are one chain, named by its least edge."""
-    loops = ends(edges).where("node = other").select("node").distinct()
-    inner = degrees(edges).where("degree = 2").join(loops, "node", "left_anti").select("node")
-    meets = ends(edges).join(inner, "node", "left_semi").groupBy("node").agg(F.min("eid").alias("u"), F.max("eid").alias("v"))
+def joints(edges: DataFrame) -> DataFrame:
+    """Nodes where two edges meet that are no self-loops: node, p < q.
+
+    An edge's end is twice its number, plus 1 where it is ``v``: also the number of the direction of the edge that leaves there.
+    """
+    two = F.explode(F.array(F.struct(F.col("u").alias("node"), (F.col("eid") * 2).alias("k")), F.struct(F.col("v").alias("node"), (F.col("eid") * 2 + 1).alias("k"))))
+    tips = edges.select((F.col("u") == F.col("v")).alias("loop"), two.alias("e")).select("e.*", "loop")
+    met = tips.groupBy("node").agg(F.count("*").alias("n"), F.min("k").alias("p"), F.max("k").alias("q"), F.max("loop").alias("loop"))
+    return met.where("n = 2 and not loop").select("node", "p", "q")
+
+
+def chains(edges: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """``edges`` with ``chain``: edges that meet in nodes of degree 2 (not self-loops) are one chain, named by its least edge.  ``met``: their joints, if known."""
+    meets = (joints(edges) if met is None else met).select(F.shiftright("p", 1).alias("u"), F.shiftright("q", 1).alias("v"))
     return edges.join(components(meets, block=near()).withColumnRenamed("id", "eid"), "eid", "left").withColumn("chain", F.coalesce("component", "eid")).drop("component")
 
 
-def contract(edges: DataFrame) -> DataFrame:
+def contract(edges: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Chains as single edges: plan_id, eid (the chain), u <= v, length (sum), n_edges.
 
-    A chain that closes at a node of another degree, or on itself, is a self-loop there, or at its least node.
+    A chain that closes at a node of another degree, or on itself, is a self-loop there, or at its least node.  ``rows``:
+    the edges with their chains, if they are known.
     """
-    rows = stored(chains(edges), "chains")
+    rows = stored(chains(edges), "chains") if rows is None else rows
     tips = ends(rows.select("plan_id", F.col("chain").alias("eid"), "u", "v", "length")).groupBy("plan_id", "eid", "node").agg(F.count("*").alias("n"))
     whole = degrees(edges).withColumnRenamed("degree", "all")
     tips = tips.join(whole, ["plan_id", "node"]).withColumn("open", (F.col("n") % 2 == 1) | (F.col("all") != F.col("n")))
@@ -346,22 +356,21 @@ def ordered_edges(edges: DataFrame) -> DataFrame:
     """The edges of each chain in order: plan_id, chain, rank, eid, a, b, d (1: the edge is walked from v to u).
 
     Chains begin at their lesser end; closed ones at it too.  Each edge is taken in both directions; a direction goes on
-    with the other edge at an inner node.  Both directions of a chain are lists, of which the one from the lesser end is
-    kept, and ranked by pointer doubling.
+    with the other edge at a joint, where no ring begins.  Both directions of a chain are lists, ranked by pointer doubling,
+    of which the one from the lesser end is kept; only numbers of directions are sent until then.
     """
-    rows = stored(chains(edges), "chains")
-    whole = stored(contract(edges), "whole")
-    two = F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(0).alias("d")), F.struct(F.col("v").alias("a"), F.col("u").alias("b"), F.lit(1).alias("d"))))
-    darts = rows.select("plan_id", "chain", "eid", two.alias("t")).select("plan_id", "chain", "eid", "t.*").withColumn("id", F.col("eid") * 2 + F.col("d"))
-    cut = whole.select(F.col("eid").alias("chain"), F.col("u").alias("tip"), F.col("v").alias("tail"))
-    darts = stored(darts.join(cut, "chain"), "darts")
-    follow = darts.where("b <> tip and b <> tail").select("chain", F.col("id").alias("from"), F.col("eid").alias("e1"), F.col("b").alias("node"))
-    onto = darts.select("chain", F.col("id").alias("next"), F.col("eid").alias("e2"), F.col("a").alias("node"))
-    links = follow.join(onto, ["chain", "node"]).where("e1 <> e2").select(F.col("from").alias("id"), "next")
-    ranks = ranked_chains(links)
-    placed = darts.join(ranks, "id", "left").withColumn("head", F.coalesce("head", "id")).withColumn("rank", F.coalesce("rank", F.lit(0)))
-    first = placed.where("rank = 0 and a = tip").groupBy("chain").agg(F.min("head").alias("head"))
-    return stored(placed.join(first, ["chain", "head"], "left_semi").select("plan_id", "chain", "rank", "eid", "a", "b", "d"), "ordered")
+    met = stored(joints(edges), "joints")
+    rows = stored(chains(edges, met).select("plan_id", "chain", "eid", "u", "v", "length"), "chains")
+    whole = stored(contract(edges, rows).select(F.col("eid").alias("chain"), F.col("u").alias("tip"), F.col("v").alias("tail")), "whole")
+    on = met.join(whole.where("tip = tail").select(F.col("tip").alias("node")), "node", "left_anti")
+    both = F.array(*(F.struct(F.col(a).bitwiseXOR(1).alias("id"), F.col(b).alias("next")) for a, b in ("pq", "qp")))
+    ranks = ranked_chains(on.select(F.explode(both).alias("l")).select("l.*"))
+    leaves = F.least(*(F.when(F.col(c) == F.col("tip"), F.col("eid") * 2 + d) for d, c in enumerate("uv")))
+    first = stored(rows.join(whole.select("chain", "tip"), "chain").groupBy("chain").agg(F.min(leaves).alias("head")).select("head"), "heads")
+    kept = first.select(F.col("head").alias("id"), F.lit(0).cast("long").alias("rank")).unionByName(ranks.where("rank > 0").join(first, "head", "left_semi").select("id", "rank"))
+    placed = rows.join(kept.select(F.shiftright("id", 1).alias("eid"), F.col("id").bitwiseAND(1).cast("int").alias("d"), "rank"), "eid")
+    end = lambda d, c: F.when(F.col("d") == d, F.col("u")).otherwise(F.col("v")).alias(c)
+    return stored(placed.select("plan_id", "chain", "rank", "eid", end(0, "a"), end(1, "b"), "d"), "ordered")
 
 
 def _nodes_in_order(order: DataFrame) -> DataFrame:
