@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from wayfare.operators import distance, extract, raster, relational, runs
+from wayfare.operators import distance, extract, raster, relational, runs, tiles
 
 W, H = 15, 11
 CELLS = [(x, y) for y in range(H) for x in range(W)]
@@ -203,3 +204,76 @@ def test_islands_have_outlines_but_are_not_outermost(spark):
     big = [(p, 10 * x + i, 10 * y + j) for p, x, y in rows for i in range(10) for j in range(10)]
     units = extract._rings_of(spark.createDataFrame(big, "plan_id long, x long, y long"), (300, 300), 0.012).collect()
     assert sorted((r.plan_id, max(p.x for p in r.ring)) for r in units) == [(1, 220), (2, 160)]
+
+
+@pytest.fixture
+def stored_rows(monkeypatch):
+    """The rows of each table that the components by tiles store, by name."""
+    from wayfare.operators import tiles
+
+    found, whole = {}, tiles.stored
+
+    def counted(df, name="stage"):
+        out = whole(df, name)
+        found[name] = out.count()
+        return out
+
+    monkeypatch.setattr(tiles, "stored", counted)
+    return found
+
+
+@pytest.mark.parametrize("bits", [1, 2, 9])
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_components_over_tiles_are_the_same(table, masks, bits, diagonal):
+    by_runs = runs.labelled(runs.runs_of(table), diagonal)
+    want = {(r.plan_id, x, r.y, r.label) for r in by_runs.collect() for x in range(r.x1, r.x2 + 1)}
+    got = [tuple(r) for r in tiles.labelled(table, diagonal, bits).select("plan_id", "x", "y", "label").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    sizes = {}
+    for _, _, _, label in want:
+        sizes[label] = sizes.get(label, 0) + 1
+    marked = {label for _, x, _, label in want if x == 7}
+    rows = table.select("plan_id", "x", "y", F.lit(True).alias("on"), (F.col("x") == 7).alias("hit"))
+    some = tiles.selected(rows, lambda n, hit: (n > 3) & ~hit, diagonal, bits)
+    assert _got(some) == {(p, x, y) for p, x, y, label in want if sizes[label] > 3 and label not in marked}
+
+
+def test_components_within_a_tile_leave_nothing_to_join(spark, stored_rows):
+    cells = spark.createDataFrame([(1, x, y) for x in range(0, 500, 5) for y in range(0, 500, 50)], "plan_id long, x long, y long")
+    assert raster.cell_components(cells).select("label").distinct().count() == 1000
+    assert stored_rows == {"parts": 1000, "roots": 0}
+
+
+def _canny(image, width, height, low, high):
+    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+    grad = {}
+    for x, y in ((x, y) for x in range(1, width - 1) for y in range(1, height - 1)):
+        gx, gy = (sum(d[k] * (1 if d[1 - k] else 2) * image[x + d[0], y + d[1]] for d in near) for k in (0, 1))
+        t = abs(gy) / max(abs(gx), 1e-9)
+        same = gx * gy >= 0
+        grad[x, y] = abs(gx) + abs(gy), (1, 0) if t < 0.41421356 else (0, 1) if t > 2.41421356 else (1, 1) if same else (1, -1)
+    least = (-1, None)
+    ridge = {(x, y): m for (x, y), (m, (a, b)) in grad.items() if m > low and m > grad.get((x - a, y - b), least)[0] and m >= grad.get((x + a, y + b), least)[0]}
+    found = [c for c, m in ridge.items() if m > high]
+    reached = set(found)
+    while found:
+        x, y = found.pop()
+        new = {(x + a, y + b) for a, b in near} & ridge.keys() - reached
+        reached |= new
+        found += new
+    return reached
+
+
+@pytest.mark.parametrize("bits", [1, 3, 9])
+def test_canny_over_tiles(spark, bits):
+    rng, size = random.Random(bits), (21, 17)
+    images = {p: {(x, y): rng.randrange(0, top) + 40 * (x + y > 20) for x in range(size[0]) for y in range(size[1])} for p, top in ((1, 25), (2, 60), (4, 120))}
+    rows = spark.createDataFrame([(p, x, y, v) for p, image in images.items() for (x, y), v in image.items()], "plan_id long, x long, y long, gray int")
+    want = _each(images, lambda image: _canny(image, *size, 60, 160))
+    assert len(want) > 50 and _got(raster.canny(rows, size, bits=bits)) == want
+
+
+def test_canny_stores_edges_only(spark, stored_rows):
+    image = spark.createDataFrame([(1, x, y, 200 * (x > 30)) for x in range(60) for y in range(60)], "plan_id long, x long, y long, gray int")
+    assert raster.canny(image, (60, 60)).count() == 58
+    assert stored_rows == {"parts": 58, "roots": 0}  # not the gradients of 3,364 cells
