@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wayfare.functions import geom as g
 from wayfare.operators import edits, graph, raster, relational, route, spatial
 from wayfare.operators.components import components
+from wayfare.plans.queries import QUERIES
 from wayfare.sources import io
 
 RING = "array<struct<x:double,y:double>>"
@@ -232,6 +233,15 @@ def test_contours_of_a_frame(spark):
         assert all(abs(a.x - b.x) + abs(a.y - b.y) == 1 for a, b in zip(v, v[1:] + v[:1]))
 
 
+def test_outlines_are_looked_up_once_each(spark):
+    frame = [(x, y) for x in range(2, 7) for y in range(2, 7) if x in (2, 6) or y in (2, 6)]
+    got = graph.contour_sizes(cells(spark, *frame, (10, 10), (11, 11))).collect()
+    assert sorted((r.n_sides, r.hole) for r in got) == [(8, False), (12, True), (20, False)]
+    assert {(r.x, r.y) for r in got} <= {*frame, (10, 10), (11, 11)}
+    plan = QUERIES["contours"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan  # sides were joined with cells, and written twice to count outlines of each
+
+
 def test_ranges_and_modes(spark):
     assert raster.parse_range("-5,300,10:200,1,999") == ((0, 255, 10), (179, 1, 255))
     with pytest.raises(ValueError):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wayfare.functions import geom as g
 from wayfare.operators.components import FEW, blocks_of, components, near
 from wayfare.operators.spatial import cell_of, clusters
+from wayfare.operators.tiles import tiled
 from wayfare.plans.scratch import stored
 
 
@@ -455,9 +456,7 @@ def contours(mask: DataFrame, bits: int = 9) -> DataFrame:
     side (least y, then x).  Tiles of 2^``bits`` cells on each side are outlined by one task each; outlines that leave a tile have a part for each
     stay in one, and the parts are lists that are ranked in turn.  Holes run the other way around.
     """
-    tiles = lambda c: F.explode(F.sequence(F.shiftright(F.col(c) - 1, bits), F.shiftright(F.col(c) + 1, bits)))
-    m = mask.select("plan_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).where("plan_id is not null and x is not null and y is not null")
-    rows = m.withColumn("tx", tiles("x")).withColumn("ty", tiles("y")).groupBy("plan_id", "tx", "ty")
+    rows = tiled(mask.select("plan_id", "x", "y"), 1, bits)
     place = "x long, y long, cell_x long, cell_y long, out_x long, out_y long"
     sides = stored(rows.applyInArrow(lambda key, t: _outlined(key, t, bits), f"plan_id long, id long, part long, k long, closed boolean, {place}, next long, least long, k0 long"), "sides")
     parts = stored(sides.where("next is not null").select(F.col("part").alias("id"), "next", "least", "k0", (F.col("k") + 1).alias("n")), "parts")
@@ -473,6 +472,12 @@ def contours(mask: DataFrame, bits: int = 9) -> DataFrame:
     return inside.unionByName(sides.where("not closed").join(order, "part").select("plan_id", "contour", F.pmod(F.col("before") + F.col("k"), "total").alias("rank"), *columns))
 
 
+def contour_sizes(mask: DataFrame) -> DataFrame:
+    """A row for each outline: plan_id, contour, hole, n_sides, and one of the cells inside that it runs along (x, y)."""
+    found = contours(mask).groupBy("plan_id", "contour", "hole").agg(F.count("*").alias("n_sides"), F.min(F.struct("cell_y", "cell_x")).alias("c"))
+    return found.select("plan_id", "contour", "hole", "n_sides", F.col("c.cell_x").alias("x"), F.col("c.cell_y").alias("y"))
+
+
 def line_tips(vertices: DataFrame) -> DataFrame:
     """Both ends of lines of two or more points: plan_id, pl_id, tid, x, y, and (dx, dy), the line's direction there.
 
