@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from wayfare.llm import decontamination, licenses, neardup, packing, pii, quality, suffix_dedup, token_index, toxicity, warc
+from wayfare.llm import decontamination, licenses, neardup, packing, pii, quality, suffix_dedup, suffixes, token_index, toxicity, warc
 from wayfare.llm.files import get
 from wayfare.llm.license_rules import rules
 from wayfare.llm.suffixes import suffix_array
@@ -271,6 +271,30 @@ def test_suffix_array():
         assert suffix_array(t, int(t.max()) + 1).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
+def test_suffix_array_induces_twice(monkeypatch):
+    """Names that are not unique are ordered by doubling: a text is induced twice, however deep its repeats go."""
+    done, induce = [], suffixes._induce
+    monkeypatch.setattr(suffixes, "_induce", lambda t, *rest: (done.append(len(t)), induce(t, *rest)))
+    t = np.append(np.tile(np.random.default_rng(5).integers(1, 4, 300), 6), 0)
+    assert suffix_array(t, 4).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    assert done == [len(t)] * 2
+
+
+def test_a_shard_is_sorted_in_piles(monkeypatch):
+    """Segments of a shard go to arrays by their anchors, so no array has all of them."""
+    rng, sizes, earliest = np.random.default_rng(6), [], suffix_dedup.earliest
+    monkeypatch.setattr(suffix_dedup, "earliest", lambda text, *rest: (sizes.append(len(text)), earliest(text, *rest))[1])
+    texts = [bytes(rng.integers(97, 123, 3000).tolist()).decode() for _ in range(6)]
+    table = pa.table({"doc_id": pa.array(range(12), pa.int64()), "text": texts * 2, "part": pa.array([0] * 12, pa.int64())})
+    found = suffix_dedup._anchors(50, 1, suffix_dedup.CROWD)(table)
+    shared = suffix_dedup._shared(suffix_dedup.HOT)(found)
+    segments = suffix_dedup._segments(50, 1)(table, shared)
+    early = suffix_dedup._sorted_shard(50)(segments)
+    assert len(sizes) == suffix_dedup.PILES and max(sizes) * 3 < sum(sizes)
+    rows = suffix_dedup._cut(50)(table, early).to_pylist()
+    assert [r["n_removed"] for r in rows] == [0] * 6 + [3000] * 6
+
+
 def test_warc(spark):
     html = ["<p>a</p>", "<p>a</p>", None, "", "x" * 50_000, "é\r\n\r\nWARC/1.1", "<p>a</p>"] + [f"page {k} " * (k % 50) for k in range(300)]
     pages = [(k, f"http://e.org/{k} ü", t, "z") for k, t in enumerate(html)] + [(None, None, "<p>a</p>", "z"), (None, "u", "only", "z"), (3, "u", "again", "z")]

@@ -9,7 +9,7 @@ A byte goes if it is covered by a ``length``-byte string that also starts in a d
    Each part sends its distinct segments, with the least and largest document of each, to the shard of the anchor:
    all places of a string meet in one shard.  Anchors with very many segments (a passage that stands in many
    documents, each with its own neighbours) are hot: their strings go to shards one by one, by their own hashes.
-3. A shard joins its distinct segments, sorts their suffixes by induced sorting (``suffixes``), and finds by
+3. A shard joins its distinct segments, sorts their suffixes by induced sorting (``suffixes``; in piles by anchor), and finds by
    permuted common prefixes which neighbours share ``length`` bytes: these are equal strings, and each gets the
    least document of its group.
 4. Parts get back, for their segments, the ranges whose strings have a smaller document than some of theirs, and
@@ -45,6 +45,8 @@ TAG = 40
 PART_BYTES = 6 << 20
 #: Bytes of text for each shard; its segments are a fraction of them.
 SHARD_BYTES = 4 << 20
+#: A shard's segments are sorted in so many piles: arrays of about a megabyte of text are sorted faster than longer ones.
+PILES = 8
 #: An anchor with so many different segments in a part is counted; one with more than HOT of them in all parts is hot: its
 #: strings are dealt to shards one by one, each by its own hash, and not as segments by the anchor.
 CROWD, HOT = 8, 20_000
@@ -256,7 +258,8 @@ def _segments(length: int, shards: int):
         one = order[first]
         low, high = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
         shard = (spread[one] % U64(shards)).astype(np.int64)
-        table = _packed("shard", shard, shards, left.column("part")[0].as_py(), (size[one], lambda x: _planes(x, 2)), (low, _planes), (high, _planes), (hot[one], lambda x: _planes(x, 1)))
+        pile = (spread[one] // U64(shards) % U64(PILES)) << U64(1) | hot[one]
+        table = _packed("shard", shard, shards, left.column("part")[0].as_py(), (size[one], lambda x: _planes(x, 2)), (low, _planes), (high, _planes), (pile, lambda x: _planes(x, 1)))
         by = np.argsort(shard, kind="stable")
         n = size[one][by]
         ends = np.cumsum(n)
@@ -296,43 +299,55 @@ def earliest(text: np.ndarray, sizes: np.ndarray, low: np.ndarray, length: int)
     return out, whole
 
 
+def _found(sizes: np.ndarray, low: np.ndarray, high: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The prints of segments (joined in ``text``), and the ranges of their strings with a smaller document than some of theirs: segment, first, stop, document."""
+    begin = np.cumsum(sizes) - sizes
+    prints = byte_prints(text, begin, begin + sizes)
+    order, first = _grouped(prints)
+    _same_bytes(text, begin, sizes, first, order)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    one = order[first]
+    least = np.minimum.reduceat(low[order], first)
+    n = sizes[one]
+    starts = np.cumsum(n) - n
+    early, whole = earliest(text[_ranges(begin[one], n)], n, least, length)
+    # runs of strings with one earliest document, by segment
+    change = np.ones(len(early), bool)
+    change[1:] = (early[1:] != early[:-1]) | (whole[1:] != whole[:-1])
+    change[starts] = True
+    a = np.flatnonzero(change)
+    b = np.append(a[1:], len(early))
+    seg = np.searchsorted(starts, a, "right") - 1
+    some = whole[a]
+    a, b, seg, doc = a[some] - starts[seg[some]], b[some] - starts[seg[some]], seg[some], early[a[some]]
+    cut = np.searchsorted(seg, np.arange(len(one) + 1))
+    runs = cut[which + 1] - cut[which]
+    k = _ranges(cut[which], runs)
+    entry = np.repeat(np.arange(len(prints)), runs)
+    good = doc[k] < high[entry]
+    k, entry = k[good], entry[good]
+    return prints, entry, a[k], b[k], doc[k]
+
+
 def _sorted_shard(length: int):
     def shard(table: pa.Table) -> pa.Table:
         sizes = np.concatenate(_numbers(table.column("c0").to_pylist(), 2)).astype(np.int64)
         low, high = (np.concatenate(_numbers(table.column(c).to_pylist())).view(np.int64) for c in ("c1", "c2"))
-        hot = np.concatenate(_numbers(table.column("c3").to_pylist(), 1))
+        pile = np.concatenate(_numbers(table.column("c3").to_pylist(), 1))
         text = _blob(table.column("bytes"), np.uint8)
         counts = [len(x) for x in table.column("c3").to_pylist()]
         part = np.repeat(table.column("part").to_numpy(), counts)
         begin = np.cumsum(sizes) - sizes
-        prints = byte_prints(text, begin, begin + sizes)
-        order, first = _grouped(prints)
-        _same_bytes(text, begin, sizes, first, order)
-        which = np.empty(len(order), np.int64)
-        which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-        one = order[first]
-        least = np.minimum.reduceat(low[order], first)
-        n = sizes[one]
-        starts = np.cumsum(n) - n
-        early, whole = earliest(text[_ranges(begin[one], n)], n, least, length)
-        # runs of strings with one earliest document, by segment
-        change = np.ones(len(early), bool)
-        change[1:] = (early[1:] != early[:-1]) | (whole[1:] != whole[:-1])
-        change[starts] = True
-        a = np.flatnonzero(change)
-        b = np.append(a[1:], len(early))
-        seg = np.searchsorted(starts, a, "right") - 1
-        some = whole[a]
-        a, b, seg, doc = a[some] - starts[seg[some]], b[some] - starts[seg[some]], seg[some], early[a[some]]
-        cut = np.searchsorted(seg, np.arange(len(one) + 1))
-        runs = cut[which + 1] - cut[which]
-        k = _ranges(cut[which], runs)
-        entry = np.repeat(np.arange(len(prints)), runs)
-        good = doc[k] < high[entry]
-        k, entry = k[good], entry[good]
-        names, back = np.unique(part[entry], return_inverse=True)
+        found = []
+        for own in np.unique(pile):  # equal strings are in one pile
+            at = np.flatnonzero(pile == own)
+            prints, entry, *ranges = _found(sizes[at], low[at], high[at], text[_ranges(begin[at], sizes[at])], length)
+            found.append((part[at[entry]], prints[entry], *ranges, np.full(len(entry), own & U64(1))))
+        part, prints, a, b, doc, hot = (np.concatenate(c) for c in zip(*found))
+        names, back = np.unique(part, return_inverse=True)
         two = lambda x: _planes(x, 2)
-        out = _packed("at", back, len(names), 0, (prints[entry], bytes), (a[k], two), (b[k], two), (doc[k], _planes), (hot[entry], lambda x: _planes(x, 1)))
+        out = _packed("at", back, len(names), 0, (prints, bytes), (a, two), (b, two), (doc, _planes), (hot, lambda x: _planes(x, 1)))
         return out.set_column(1, "part", pa.array(names, pa.int64())).drop_columns(["at"])
 
     return shard

@@ -3,6 +3,9 @@
 An induction pass reads the suffix array in blocks.  A block is good up to the first place that it writes to
 itself; so a block spans as much as is final already, and the number of blocks is about the alphabet's size times
 the longest run of one symbol, whatever the length of the text.
+
+The reduced text of names has an alphabet nearly as large as itself, so blocks there are a few places long.  It is
+therefore ordered by doubling prefixes (Larsson and Sadakane 2007), where a round is one sort of what is not unique yet.
 """
 
 from __future__ import annotations
@@ -99,6 +102,33 @@ def _induce(t: np.ndarray, s: np.ndarray, edges: np.ndarray, sa: np.ndarray) ->
         e = i
 
 
+def doubled(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of ``names``, whose last one is the least and occurs there only."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    place = np.arange(n)
+    rank = np.empty(n, np.int64)  # the first place of all suffixes that are alike so far
+    new = np.ones(n, bool)
+    new[1:] = names[order[1:]] != names[order[:-1]]
+    rank[order] = np.maximum.accumulate(np.where(new, place, 0))
+    known = 1
+    while True:
+        # places of suffixes that are not alone; what they share does not reach the last name
+        alone = new & np.append(new[1:], True)
+        place = place[~alone]
+        if not len(place):
+            return order
+        own = order[place]
+        key = rank[own] * n + rank[own + known]
+        by = np.argsort(key)
+        own, key = own[by], key[by]
+        order[place] = own
+        new = np.ones(len(own), bool)
+        new[1:] = key[1:] != key[:-1]
+        rank[own] = np.maximum.accumulate(np.where(new, place, 0))
+        known *= 2
+
+
 def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     """The order of the suffixes of ``t``, whose last symbol is 0 and occurs there only."""
     n = len(t)
@@ -135,7 +165,7 @@ def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     if name[-1] + 1 < len(found):
         names = np.empty(n, np.int64)
         names[found] = name
-        found = lms[suffix_array(names[lms], int(name[-1]) + 1)]
+        found = lms[doubled(names[lms])]
     return induced(found)
 
 
