@@ -277,3 +277,29 @@ def test_canny_stores_edges_only(spark, stored_rows):
     image = spark.createDataFrame([(1, x, y, 200 * (x > 30)) for x in range(60) for y in range(60)], "plan_id long, x long, y long, gray int")
     assert raster.canny(image, (60, 60)).count() == 58
     assert stored_rows == {"parts": 58, "roots": 0}  # not the gradients of 3,364 cells
+
+
+@pytest.mark.parametrize("bits", [3, 9])
+def test_free_cells_over_tiles_are_the_same(spark, bits):
+    """By tiles, and by the runs' set algebra over the whole image; plan 2 has too few exits for a hull."""
+    rng, extent = random.Random(11), (61, 47)
+    units, exits = [], [(2, 90.0, 60.0, True), (2, None, None, True), (1, 500.0, 20.0, True)]
+    for plan in (1, 2):
+        for k in range(7):
+            x, y, w, h = rng.randrange(-10, 160), rng.randrange(-10, 130), rng.randrange(6, 40), rng.randrange(6, 30)
+            units.append((plan, k, [(x, y), (x + w, y + h // 3), (x + w // 2, y + h), (x, y + h)]))
+    exits += [(1, rng.uniform(0, 182), rng.uniform(0, 140), k != 3) for k in range(9)]
+    units = spark.createDataFrame(units, "plan_id long, uid long, ring array<struct<x: long, y: long>>")
+    exits = spark.createDataFrame(exits, "plan_id long, ex double, ey double, is_corridor boolean")
+    taken = raster.polygon_runs(units, 3, extent)
+    usable = exits.where("is_corridor and ex is not null and plan_id = 1").select("plan_id", F.col("ex").alias("x"), F.col("ey").alias("y"))
+    hull = raster.polygon_runs(relational.hulls(usable, ["plan_id"]), 3, extent).unionByName(runs.canvas(units.where("plan_id = 2"), extent))
+    near, walls = runs.discs(taken, 10, extent), runs.dilated(taken, raster.ellipse(2), extent)
+    free = runs.median3(runs.difference(runs.intersection(hull, near), walls), extent)
+    want = _got(runs.cells_of(runs.touching(free, runs.runs_of(raster.exit_discs(exits, 3, extent, 6)), 9)))
+    assert {p for p, _, _ in want} == {1, 2}
+    sizes = {"clearance": 6, "near": 30, "exit_radius": 6, "least_area": 81, "bits": bits}
+    rows = raster.free_runs(units, exits, (185, 143), **sizes)
+    got = [(r.plan_id, x, r.y) for r in rows.collect() for x in range(r.x1, r.x2 + 1)]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {r.plan_id for r in rows.where(f"x1 >> {bits} <> x2 >> {bits}").collect()} == set()
