@@ -115,6 +115,52 @@ def test_crowded_points_are_clustered_without_a_row_for_a_pair(spark, monkeypatc
     assert spatial.clusters(df, 12).where("cluster = 0").count() == 40_000  # 8.6 million pairs
 
 
+def test_points_without_a_place_are_near_nothing(spark):
+    df = spark.createDataFrame([(1, 7, 3, 3), (1, 8, None, 3), (1, 9, None, 3), (1, 4, 3, 4)], "plan_id long, pid long, x long, y long")
+    assert {r.pid: r.cluster for r in spatial.clusters(df, 2).collect()} == {7: 4, 8: 8, 9: 9, 4: 4}
+
+
+def test_components_of_points_make_no_row_for_a_pair(spark, monkeypatch):
+    from wayfare.plans import queries
+
+    rng = random.Random(8)
+    rows = [(1, k, rng.randint(0, 60), rng.randint(0, 60)) for k in range(600)] + [(1, 600 + k, 200 + k % 9, 7 * (k // 9)) for k in range(60)] + [(1, 700, 130, 30)]
+    points = spark.createDataFrame(rows, "plan_id long, pid long, x long, y long").cache()
+    monkeypatch.setattr(queries, "view", lambda *a: points)
+    pairs, least = _near_by_hand(rows, 12)
+    at, sizes = {k: (x, y) for _, k, x, y in rows}, {}
+    for c in least.values():
+        sizes[c] = sizes.get(c, 0) + 1
+    first, *more = sorted(sizes)
+    assert len(more) == 2
+    best = min(sizes, key=lambda c: (-sizes[c], c))
+    got = [(r.a, r.b) for r in queries.largest_component(spark, "").collect()]
+    assert sorted(got) == [(a, b) for _, a, b, _ in pairs if least[a] == best]
+    monkeypatch.setattr(spatial, "radius_pairs", None)
+    want = {min((round(math.dist(at[u], at[v]), 6), v, u) for u in at if least[u] == c for v in at if least[v] < c) for c in more}
+    assert {(r.length, r.v, r.u) for r in queries.bridge_components(spark, "").collect()} == want
+
+
+def test_a_block_keeps_no_row_for_each_link(spark, monkeypatch):
+    """Crowded nodes whose numbers say nothing of their places: links between blocks far outnumber nodes."""
+    from wayfare.operators import components as c
+
+    found, whole = {}, c.stored
+
+    def counted(df, name="stage"):
+        out = whole(df, name)
+        found[name] = max(out.count(), found.get(name, 0))
+        return out
+
+    monkeypatch.setattr(c, "FEW", 50)
+    monkeypatch.setattr(c, "stored", counted)
+    pairs = [(a, b) for a in range(120) for b in range(a + 1, 120) if (b - a) % 2 == 0] + [(500, 500)]
+    table = spark.createDataFrame(pairs, "u long, v long")
+    got = {r.id: r.component for r in components(table, block=lambda k: F.shiftright(k, 4)).collect()}
+    assert got == {k: k % 2 for k in range(120)} | {500: 500}
+    assert found["edges"] == len(pairs) and found["blocks"] < len(pairs) / 3
+
+
 def test_batches_are_cut_between_tiles(spark):
     import pyarrow as pa
 

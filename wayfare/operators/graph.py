@@ -189,22 +189,33 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def largest(rows: DataFrame, by: str = "component") -> DataFrame:
+    """The rows of each plan's component with most of them (ties: the least)."""
+    size = rows.groupBy("plan_id", by).agg(F.count("*").alias("n"))
+    best = size.groupBy("plan_id").agg(F.min(F.struct((-F.col("n")).alias("n"), by)).alias("b")).select(F.col(f"b.{by}").alias(by))
+    return rows.join(best, by, "left_semi")
+
+
 def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges of each plan's component with most nodes (ties: the least node)."""
-    rows = stored(connected(nodes, edges), "components")
-    size = rows.groupBy("plan_id", "component").agg(F.count("*").alias("n"))
-    best = size.groupBy("plan_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "component")).alias("b")).select(F.col("b.component").alias("component"))
-    kept = rows.join(best, "component", "left_semi").select(F.col("id").alias("u"))
+    kept = largest(stored(connected(nodes, edges), "components")).select(F.col("id").alias("u"))
     return edges.join(kept, "u", "left_semi").select(*edges.columns)
 
 
 def bridges(nodes: DataFrame, edges: DataFrame, cell: float = 50.0) -> DataFrame:
+    """``bridges_between`` the components of a graph."""
+    return bridges_between(connected(nodes, edges), cell)
+
+
+def bridges_between(rows: DataFrame, cell: float = 50.0) -> DataFrame:
     """One straight edge (plan_id, u, v, length) for each component but a plan's first: the shortest to any component before it.
 
+    ``rows``: nodes (plan_id, id, x, y) with their component.
+
     Components are in the order of their least nodes; ties go to the least (v, u).  The search radius doubles for
     components that have found nothing within it.
     """
-    rows = stored(connected(nodes, edges), "components")
+    rows = stored(rows, "components")
     order = F.dense_rank().over(Window.partitionBy("plan_id").orderBy("component"))
     names = rows.select("plan_id", "component").distinct().withColumn("place", order)
     rows = stored(rows.join(names, ["plan_id", "component"]), "placed")
