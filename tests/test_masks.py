@@ -303,3 +303,15 @@ def test_free_cells_over_tiles_are_the_same(spark, bits):
     got = [(r.plan_id, x, r.y) for r in rows.collect() for x in range(r.x1, r.x2 + 1)]
     assert len(got) == len(set(got)) and set(got) == want
     assert {r.plan_id for r in rows.where(f"x1 >> {bits} <> x2 >> {bits}").collect()} == set()
+
+
+def test_upright_sides_send_no_cells(spark, monkeypatch):
+    """A spike up and down, a box, a slanted side and a box beyond the image: few rows are merged, and all cells are there."""
+    rings = [[(5, 5), (5, 30), (5, 5)], [(10, 2), (30, 2), (30, 32), (10, 32)], [(40, 2), (50, 2), (46, 12), (40, 12)], [(35, -5), (38, -5), (38, 60), (35, 60)]]
+    units = spark.createDataFrame([(1, k, r) for k, r in enumerate(rings)], "plan_id long, uid long, ring array<struct<x: long, y: long>>")
+    sent, merged = [], raster.merged_runs
+    monkeypatch.setattr(raster, "merged_runs", lambda t: sent.append(t.count()) or merged(t))
+    got = _got(runs.cells_of(raster.polygon_runs(units, 1, (60, 40))))
+    want = {(1, 5, y) for y in range(5, 31)} | {(1, x, y) for x in range(10, 31) for y in range(2, 33)} | {(1, x, y) for x in range(35, 39) for y in range(40)}
+    assert {c for c in got if c[1] < 40} == want and {c for c in got if c[1] >= 40} >= {(1, x, y) for x in range(40, 47) for y in range(2, 13)}
+    assert sent[0] < 25 + 30 + 10 + 40 + 25  # a row for each row of a polygon, and some
